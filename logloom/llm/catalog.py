@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, repetition
+from . import language, neardup, packing, repetition, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_quality_rules": repetition.op4_quality_rules,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_near_duplicates": neardup.op7_near_duplicates,
+        "op8_language_id": language.op8_language_id,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_warc": warc.op10_warc,
     }
 
 

@@ -17,35 +17,87 @@ LENGTH = 2048
 SMALL = 256
 #: Groups of equal cardinality that large lengths are rounded up within.
 GROUPS = 96
-#: Words whose ids a task remembers at most; then it starts anew.
-CACHE_WORDS = 400_000
-
-
-def _encoder(path: str):
-    """A function from a list of texts to their ids as little-endian unsigned 32-bit bytes, with id 0 at the end."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    cache: dict[bytes, bytes] = {}
-    end = b"\0\0\0\0"
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        # The vocabulary's pieces never span white space, so a text's ids are those of its words in a row.
-        split = [t.split() for t in texts]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, found in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                cache[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([*map(cache.__getitem__, words), end]) for words in split]
-
-    return encode
+#: Words whose ids a worker remembers at most; then it starts anew.
+CACHE_WORDS = 500_000
+
+
+#: ASCII punctuation that never joins a run of letters before it (an apostrophe may).
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_encoders: dict[str, object] = {}
+
+
+class _Encoder:
+    """Texts to their ids as little-endian unsigned 32-bit bytes, with id 0 at the end.
+
+    The vocabulary's pieces never span white space and never join a run of letters to punctuation other than an
+    apostrophe, and upper and lower case have equal ids. So a text's ids are those of its words in a row, and each
+    distinct word, or run of letters, is encoded once in a worker.
+    """
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def _each(self, runs: list[str]) -> None:
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast(runs, add_special_tokens=False), strict=True):
+            self.runs[run] = np.array(found.ids, "<u4").tobytes()
+
+    def _letters(self, runs: list[str]) -> None:
+        """Runs of letters, many at a time; each is one word of the tokenizer (or else they are encoded one by one)."""
+        for i in range(0, len(runs), 2000):
+            part = runs[i : i + 2000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            owner = np.array(found.word_ids, np.int64)
+            ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
+            if len(ends) != len(part):
+                self._each(part)
+                continue
+            ids = np.array(found.ids, "<u4").tobytes()
+            start = 0
+            for run, end in zip(part, (ends * 4).tolist(), strict=True):
+                self.runs[run] = ids[start:end]
+                start = end
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.lower().split() for t in texts]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+            self.runs = {"": b""}
+        new = {w for words in split for w in words if w not in self.words}
+        cut = {}
+        letters, others = set(), set()
+        for w in new:
+            word = w.decode("utf-8", "replace")
+            head = word.rstrip(_TAIL)
+            if head.isalpha():
+                tail = word[len(head) :]
+                if head not in self.runs:
+                    letters.add(head)
+                if tail not in self.runs:
+                    others.add(tail)
+                cut[w] = (head, tail)
+            else:
+                others.add(word)
+                cut[w] = (word, "")
+        self._letters(list(letters))
+        self._each(list(others))
+        for w, (head, tail) in cut.items():
+            self.words[w] = self.runs[head] + self.runs[tail]
+        return [b"".join([*map(self.words.__getitem__, words), b"\0\0\0\0"]) for words in split]
+
+
+def _encoder(path: str) -> _Encoder:
+    """One for each worker process, which serves several tasks."""
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_column: str = "doc_id", text: str = "text") -> DataFrame:
