@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, neardup, packing, repetition, toxicity, warc
+from . import bpe, language, licenses, lm, neardup, packing, repetition, toxicity, warc, winnow
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": winnow.op1_fingerprints,
+        "op2_license_scans": licenses.op2_license_scans,
+        "op3_lm_scoring": lm.op3_lm_scoring,
         "op4_quality_rules": repetition.op4_quality_rules,
+        "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_near_duplicates": neardup.op7_near_duplicates,
         "op8_language_id": language.op8_language_id,
@@ -21,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scans": licenses.op2_sql()}

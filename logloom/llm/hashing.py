@@ -58,5 +58,5 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(mix(grams + np.uint64(width)))
 
 
-def multipliers(n: int) -> np.ndarray:
-    return _MANY[16 : 16 + n]
+def multipliers(n: int, skip: int = 0) -> np.ndarray:
+    return _MANY[16 + skip : 16 + skip + n]

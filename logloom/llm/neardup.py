@@ -22,18 +22,19 @@ MISS = 1e-6
 MARGIN = 0.22
 
 
-def bands(similarity: float, miss: float = MISS) -> tuple[int, int]:
+def bands(similarity: float, rows: int | None = None, miss: float = MISS) -> tuple[int, int]:
     """(bands, registers in each) for a threshold."""
-    rows = 5 if similarity >= 0.85 else 4 if similarity >= 0.7 else 2
+    rows = rows or (5 if similarity >= 0.85 else 4 if similarity >= 0.7 else 2)
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows)), rows
 
 
-def registers(grams: np.ndarray, m: int) -> np.ndarray:
+def registers(grams: np.ndarray, m: int, skip: int = 0) -> np.ndarray:
     """SetSketch of a set of hashes. Registers of a union are the larger ones of its parts."""
-    a = hashing.multipliers(m)
+    a = hashing.multipliers(m, skip)
     least = np.full(m, 2**64 - 1, np.uint64)
-    for i in range(0, len(grams), 512):
-        least = np.minimum(least, (grams[i : i + 512, None] * a).min(0))
+    block = max(16, 65536 // m)
+    for i in range(0, len(grams), block):
+        least = np.minimum(least, (grams[i : i + block, None] * a).min(0))
     h = -np.log1p(-(least.astype(np.float64) + 0.5) / 2**64) / A
     return np.clip(np.floor(1 - np.log(np.maximum(h, 1e-300)) / math.log(B)), 0, TOP).astype("<u2")
 
@@ -110,34 +111,52 @@ def _confirmed(pairs: DataFrame, percent: int, width: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in `edges` (a, b): the smallest id reachable.
 
-    Smallest labels of neighbours, then labels of labels, until nothing changes; a written table each round.
+    Each a first falls to its smallest b; what is left is a graph of the b's, far smaller when many a's share few b's.
+    There, labels are the smallest of the neighbours' and then labels of labels, until nothing changes.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
-    both = common.written(both, "edges")
-    state = common.written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("_b")).select("id", F.least("id", "_b").alias("component")), "labels")
+    edges = common.written(edges.select("a", "b").distinct(), "edges")
+    first = common.written(edges.groupBy("a").agg(F.min("b").alias("to")), "first")
+    hubs = edges.join(first, "a").filter("b <> to").select(F.col("b").alias("x"), F.col("to").alias("y")).distinct()
+    # an a that is also somebody's b ties its own b to itself
+    both_roles = first.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("x"), F.col("to").alias("y"))
+    pairs = hubs.union(both_roles)
+    pairs = common.written(pairs.union(pairs.select("y", "x")).distinct(), "hubs")
+    state = common.written(edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component")), "labels")
+
+    def step(labels: DataFrame) -> DataFrame:
+        told = pairs.join(labels, pairs["y"] == labels["id"]).select(F.col("x").alias("id"), "component")
+        least = told.unionByName(labels.select("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
+        jump = least.select(F.col("id").alias("_j"), F.col("component").alias("_c"))
+        return least.join(jump, least["component"] == jump["_j"]).select("id", F.col("_c").alias("component"))
+
     while True:
-        told = both.join(state, both["b"] == state["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        nearer = state.join(told, state["id"] == told["a"], "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = state.select(F.col("id").alias("_j"), F.col("component").alias("_c"))
-        new = nearer.join(jump, nearer["component"] == jump["_j"], "left").select("id", "old", F.least("component", F.coalesce("_c", "component")).alias("component"))
-        new = common.written(new, "labels")
-        state = new.select("id", "component")
-        if not new.filter("component <> old").limit(1).count():
-            return state
+        new = common.written(step(state), "labels")
+        if not new.join(state.withColumnRenamed("component", "old"), "id").filter("component <> old").limit(1).count():
+            break
+        state = new
+    leaves = first.join(state, first["to"] == state["id"]).select(F.col("a").alias("id"), "component")
+    return common.written(leaves.unionByName(state).groupBy("id").agg(F.min("component").alias("component")), "components").transform(_lowest)
+
 
+def _lowest(state: DataFrame) -> DataFrame:
+    """Components named by their smallest id (a leaf may be smaller than all hubs)."""
+    least = state.groupBy("component").agg(F.min("id").alias("low"))
+    return state.join(least, "component").select("id", F.col("low").alias("component"))
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_column: str = "doc_id", text: str = "text", rounds: int = 12) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_column: str = "doc_id", text: str = "text", rounds: int = 3) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of docs.
 
     Equal sets become one class, by the smallest id, before anything is compared. Classes that share a band are
-    compared with one hub of each band's bucket, so a bucket of n gives n - 1 pairs. Buckets whose classes then still
-    lie in different components get another hub in the next round; when few pairs of different components are left,
-    or after `rounds`, all of those are compared: no candidate pair of different components is left out. Links are
-    confirmed on the full sets. Texts without words, and rows without an id, are linked with nothing (component_id is
-    their own id, null for null). Rows that share an id are one document.
+    compared with one hub of the band's bucket, so a bucket of n gives n - 1 pairs. Classes of buckets that still hold
+    several components get longer bands from fresh registers (their chance to miss a pair is as small); in these, again,
+    hubs first, at most `rounds` times while many pairs are left, and in the end every pair of different components. So no
+    candidate pair of different components is left out. Links are confirmed on the full sets. Texts without
+    words, and rows without an id, are linked with nothing (component_id is their own id, null for null). Rows that
+    share an id are one document.
     """
     least = percent / 100
     number, rows = bands(least)
@@ -145,10 +164,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_colum
     sketched = common.written(sketches(docs, width, number * rows, "id"), "sketches")
     usable = sketched.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = common.written(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
-    keys = [F.xxhash64(F.lit(i), F.substring("registers", 2 * rows * i + 1, 2 * rows)) for i in range(number)]
-    banded = classes.select("rep", F.explode(F.array(*keys)).alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-    banded = common.written(banded.join(shared, "band").select("band", "rep"), "bands")
+
+    def shared(frame: DataFrame, number: int, rows: int, name: str) -> DataFrame:
+        """(band, rep, ...) of buckets with several members."""
+        keys = [F.xxhash64(F.lit(i), F.substring("registers", 2 * rows * i + 1, 2 * rows)) for i in range(number)]
+        banded = frame.select("rep", F.explode(F.array(*keys)).alias("band"))
+        several = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
+        return common.written(banded.join(several, "band"), name)
+
+    banded = shared(classes, number, rows, "bands")
     wanted = banded.select(F.col("rep").alias("id")).distinct()
     texts = common.written(docs.join(wanted, "id", "left_semi").select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text")), "texts")
     facts = classes.select("rep", "n", "registers")
@@ -156,43 +180,59 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_colum
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         left = facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
         right = facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-        likely = common.written(_likely(pairs.join(left, "a").join(right, "b"), least).distinct(), f"{name}-likely")
+        likely = _likely(pairs.join(left, "a").join(right, "b"), least).distinct()
         told = likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return common.written(_confirmed(told, percent, width).distinct(), f"{name}-links")
+        return common.written(_confirmed(told, percent, width), f"{name}-links")
 
     def hubs(frame: DataFrame, k: int) -> DataFrame:
-        chosen = frame.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("h"), F.col("rep").alias("hub"))).alias("s")).select("band", F.col("s.hub").alias("hub"))
-        return frame.join(chosen, "band")
+        chosen = frame.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("h"), F.col("rep").alias("hub"), F.col("c").alias("hub_c"))).alias("s")).select("band", "s.hub", "s.hub_c")
+        return frame.join(chosen, "band").filter("c <> hub_c").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+
+    def told(frame: DataFrame, state: DataFrame) -> DataFrame:
+        return frame.select("band", "rep").join(state, F.col("rep") == F.col("id"), "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
+
+    links = confirm(hubs(banded.withColumn("c", F.col("rep")), 0), "first")
+    state = common.written(components(links), "state")
+    held = told(banded, state)
+    mixed = held.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("band")
+    doubtful = common.written(held.join(mixed, "band").select(F.col("rep").alias("id")).distinct(), "doubtful")
+    number, rows = bands(least, 12 if least >= 0.85 else 10)
+
+    def finer():
+        skip = 1024
+
+        def work(sets):
+            return [[registers(hashing.shingles(t, width), number * rows, skip).tobytes() for t in sets]]
+
+        return work
 
-    links = confirm(hubs(banded, 0).filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "round-0")
-    state = components(links)
+    again = common.add_columns(texts.join(doubtful, "id", "left_semi").select(F.col("id").alias("rep"), F.col("text").cast("string").alias("text")), [("registers", "binary")], finer, "text", ["rep"])
+    open_ = shared(again, number, rows, "finer")
     several = classes.count()
-    open_ = banded
     for k in range(1, rounds + 1):
-        held = open_.select("band", "rep").join(state, F.col("rep") == F.col("id"), "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
+        held = told(open_, state)
         mixed = held.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("kinds")).filter("kinds > 1")
-        open_ = common.written(held.join(mixed.select("band", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("left_pairs")), "band"), "open")
-        left = open_.select("band", "left_pairs").distinct().agg(F.sum("left_pairs")).first()[0]
-        if not left:
+        open_ = common.written(held.join(mixed.select("band", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")), "band"), "open")
+        total = open_.select("band", "pairs").distinct().agg(F.sum("pairs")).first()[0]
+        if not total:
             break
-        last = left <= 2 * several + 1000 or k == rounds
+        last = total <= several / 2 + 1000 or k == rounds
         if last:
             x, y = open_.alias("x"), open_.alias("y")
-            pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+            pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         else:
-            hub = hubs(open_.select("band", "rep", "c"), k).alias("x").join(open_.select("band", F.col("rep").alias("hub"), F.col("c").alias("hub_c")).alias("y"), ["band", "hub"])
-            pairs = hub.filter("c <> hub_c").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-        found = confirm(pairs.distinct(), f"round-{k}")
+            pairs = hubs(open_, k)
+        found = confirm(pairs, f"round-{k}")
         if found.limit(1).count():
             links = links.unionByName(found)
-            state = components(links)
+            state = common.written(components(links), "state")
         if last:
             break
     copies = classes.filter("copies > 1").select("digest", "rep")
     known = sketched.join(copies, "digest", "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
-    told = known.join(state.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    told = told.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return told.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
+    out = known.join(state.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    out = out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import common, ranges
 
 #: A file is closed once it holds so many compressed bytes; a shard holds about so many bytes of payload.
-ROLL_BYTES = 16 << 20
-SHARD_BYTES = 64 << 20
+ROLL_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 #: Equal payloads of at least so many bytes are stored once.
 LEAST_REVISIT = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -57,12 +57,16 @@ def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str |
 
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of a file of gzip members, one after another; digests and lengths are checked."""
-    at = 0
+    at, step = 0, 1 << 14
     view = memoryview(content)
     while at < len(content):
-        inflate = zlib.decompressobj(31)
-        plain = inflate.decompress(view[at:]) + inflate.flush()
-        at = len(content) - len(inflate.unused_data)
+        inflate, parts = zlib.decompressobj(31), []
+        while not inflate.eof:  # a bit at a time: what stands behind a member is copied
+            if at >= len(content):
+                raise ValueError("the last record is cut short")
+            parts.append(inflate.decompress(view[at : at + step]))
+            at = min(at + step, len(content)) - len(inflate.unused_data)
+        plain = b"".join(parts)
         head, _, rest = plain.partition(b"\r\n\r\n")
         lines = head.decode("ascii").split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines[1:])
