@@ -59,11 +59,13 @@ class Model:
         return float(-np.expm1(np.log1p(-np.minimum(self.sentence_scores(text), 1 - 1e-12)).sum()))
 
 
-def _chosen(bags: list[list[set[bytes]]], labels: list[int], least: float) -> list[bytes]:
-    """Features that documents of class 1 hold significantly more often, sorted."""
+def _chosen(texts: list[bytes], labels: list[int], least: float) -> list[bytes]:
+    """Features that documents of class 1 hold significantly more often, sorted. One text's features are held at a time."""
     held: list[dict[bytes, int]] = [{}, {}]
-    for bag, y in zip(bags, labels, strict=True):
-        for w in set().union(*bag):
+    names: dict[bytes, bytes] = {}
+    for text, y in zip(texts, labels, strict=True):
+        for w in set().union(*map(features, sentences(text))):
+            w = names.setdefault(w, w)
             held[y][w] = held[y].get(w, 0) + 1
     n1 = sum(labels)
     n0 = len(labels) - n1
@@ -80,12 +82,12 @@ def _chosen(bags: list[list[set[bytes]]], labels: list[int], least: float) -> li
 
 def fit(texts: list[bytes], labels: list[int], rounds: int = ROUNDS, least: float = LEAST_RATIO, l2: float = L2) -> Model:
     """Full-batch Adagrad on the noisy-or log-likelihood of document labels."""
-    bags = [[features(s) for s in sentences(t)] or [set()] for t in texts]
-    names = _chosen(bags, labels, least)
+    names = _chosen(texts, labels, least)
     if not names:
         return Model(START_BIAS, {})
     ids = {w: i for i, w in enumerate(names)}
-    rows = [[ids[w] for w in s & ids.keys()] for bag in bags for s in bag]
+    bags = [[[ids[w] for w in features(s) & ids.keys()] for s in sentences(t)] or [[]] for t in texts]
+    rows = [r for bag in bags for r in bag]
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     word = np.fromiter(chain.from_iterable(rows), np.int64, len(row))
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
