@@ -1,0 +1 @@
+"""Where the engine's tables come from: logs, graphs, embeddings, manifests, reports, reviews and event streams."""
