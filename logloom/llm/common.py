@@ -79,9 +79,10 @@ def add_columns(df: DataFrame, fields: list[tuple[str, str]], start: Callable[[]
     """df's columns in `keep` (all by default) and the new `fields`.
 
     `start()` runs once in each task and returns a function from a list of texts (bytes) to one list or array for
-    each field. Rows stay where they are: no shuffle.
+    each field. Rows stay where they are: no shuffle. A new field takes the place of a column with its name.
     """
-    keep = df.columns if keep is None else keep
+    new = {n.lower() for n, _ in fields}
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     inner = list(dict.fromkeys([*keep, text]))
     frame = df.select(*[F.col(f"`{c}`") for c in inner])
     schema = T.StructType([frame.schema[c] for c in keep] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
@@ -92,7 +93,7 @@ def add_columns(df: DataFrame, fields: list[tuple[str, str]], start: Callable[[]
         work = start()
         for batch in batches:
             for part, texts in blocks(batch, text):
-                new = [pa.array(v, type=t) for v, t in zip(work(texts), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + new, names=names)
+                made = [pa.array(v, type=t) for v, t in zip(work(texts), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + made, names=names)
 
     return frame.mapInArrow(run, schema)

@@ -161,7 +161,7 @@ class Network:
         out = np.zeros((len(texts), len(self.languages)))
         sizes = np.array([len(t) for t in texts], np.int64)
         windows = -(-sizes // WINDOW)
-        if not windows.sum():
+        if not windows.sum() or not self.languages:
             return out
         whole = np.full((int(windows.sum()), WINDOW), 32, np.uint8)
         flat = whole.reshape(-1)

@@ -316,9 +316,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_column: str = "d
             by_text = np.add.reduceat(p, np.cumsum(size) - size)
             sums, seen, rare, times = [], [], [], []
             for words in split:
-                cold = Counter(w for w in words if w not in logs)
+                cold = Counter(w for w in (*words, END) if w not in logs)
                 sums.append(sum(logs[w] for w in words if w in logs) + logs.get(END, 0.0))
-                seen.append(len(words) - sum(cold.values()) + (END in logs))
+                seen.append(len(words) + 1 - sum(cold.values()))
                 rare.append(list(cold.keys()))
                 times.append(list(cold.values()))
             return [size, seen, sums, by_text, rare, times]

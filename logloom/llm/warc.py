@@ -36,11 +36,11 @@ def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def record_id(page_id: str, digest: str) -> str:
+def record_id(page_id: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {digest}')}>"
 
 
-def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def record(page_id: str | None, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One gzip member: headers are made anew from the content, so equal input gives equal bytes."""
     body = b"" if refers_to is not None else payload
     lines = ["WARC/1.1", f"WARC-Type: {'resource' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}"]
@@ -50,7 +50,9 @@ def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str |
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(body)}"]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}"]
-    lines += [f"X-Page: {page_id}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
+    if page_id is not None:
+        lines.append(f"X-Page: {page_id}")
+    lines += [f"X-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     plain = "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
     return gzip.compress(plain, 6, mtime=0)
 
@@ -132,7 +134,7 @@ def write_warc(pages: DataFrame, folder: str, id_column: str = "page_id", url: s
                     continue
                 refers_to = known.get(sha1) if current == id_ and id_ is not None else None
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                buffer.write(record(str(id_), columns[1][i].as_py(), columns[2][i].as_py(), digest, None if refers_to is None else str(refers_to)))
+                buffer.write(record(None if id_ is None else str(id_), columns[1][i].as_py(), columns[2][i].as_py(), digest, None if refers_to is None else str(refers_to)))
                 count += 1
                 if buffer.tell() >= roll:
                     close()
@@ -165,7 +167,7 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, held = [], 0
                 for h, block in records(content.as_py()):
-                    rows.append((path, h["X-Page"], h["WARC-Record-ID"], "revisit" if h["WARC-Type"] == "revisit" else "response", h.get("X-Refers-To-Page"), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), block if payloads else None))
+                    rows.append((path, h.get("X-Page"), h["WARC-Record-ID"], "revisit" if h["WARC-Type"] == "revisit" else "response", h.get("X-Refers-To-Page"), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), block if payloads else None))
                     held += len(block)
                     if held > common.BLOCK_BYTES:
                         yield _batch(rows)
@@ -189,4 +191,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     found = read_warc(spark, folder, payloads=False)
     kind = pages.schema["page_id"].dataType
-    return found.select(F.when(F.col("page") != "None", F.col("page")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return found.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
