@@ -43,7 +43,7 @@ def rows_of(text: Column, keys: list[str]) -> Column:
 
 def salvaged(reply: Column) -> Column:
     """JSON of a model's reply: of a fenced block, else the text, else its largest bracketed part; null if none is valid."""
-    fenced = F.trim(F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1))
+    fenced = F.trim(F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)\s*```", 1))
     part = lambda p: F.nullif(F.regexp_extract(reply, p, 0), F.lit(""))
     options = [F.nullif(fenced, F.lit("")), F.trim(reply), part(r"(?s)\[.*\]"), part(r"(?s)\{.*\}")]
     return F.coalesce(*[F.when(F.try_parse_json(o).isNotNull(), o) for o in options])
