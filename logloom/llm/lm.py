@@ -11,6 +11,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ HOT = 1 << 17
 CLUSTERED, AROUND, CLASSES = 16_384, 32, 128
 #: Classes of the most frequent words hold one word each.
 SINGLE = 32
-CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 24, 48, 2048, 0.05
+CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 16, 48, 2048, 0.05
 #: Documents that the model starts from before it is trained on the whole corpus, and their longest text in bytes.
 WARM_DOCUMENTS, WARM_BYTES, WARM_ROUNDS = 1500, 100_000, 3
 #: Different words that a task counts before it hands the counts on.
@@ -157,58 +158,63 @@ class LogBilinear:
         n = len(prior)
         return cls(rng.normal(0, 0.1, (n, DIMENSIONS)), np.full((CONTEXT, DIMENSIONS), 1 / CONTEXT) + rng.normal(0, 0.02, (CONTEXT, DIMENSIONS)), rng.normal(0, 0.1, (n, DIMENSIONS)), np.log(prior))
 
-    def context(self, classes: np.ndarray) -> np.ndarray:
-        """classes: (rows, CONTEXT), the nearest first."""
-        return sum(self.R[classes[:, j]] * self.C[j] for j in range(CONTEXT))
-
     def train(self, contexts: np.ndarray, target: np.ndarray, prior: np.ndarray, rng: np.random.Generator) -> None:
         """One pass of Adagrad steps on the noise-contrastive objective; noise classes are shared by a batch."""
         n, d = self.R.shape
-        sums = lambda ids, rows: np.stack([np.bincount(ids, rows[:, k], n) for k in range(d)], 1)
+        R, Q, C, b = (np.ascontiguousarray(v, np.float32) for v in (self.R.T, self.Q.T, self.C, self.b))
         if not self.gains:
-            self.gains = {k: np.full(getattr(self, k).shape, 1e-2) for k in "RCQb"}
-        log_noise = np.log(prior * NOISE)
+            self.gains = {k: np.full(v.shape, 1e-2, np.float32) for k, v in (("R", R), ("C", C), ("Q", Q), ("b", b))}
+        log_noise = np.log(prior * NOISE).astype(np.float32)
+        edges = np.cumsum(prior)
         for i in range(0, len(target), BATCH):
-            x, y = contexts[i : i + BATCH], target[i : i + BATCH]
-            r = self.context(x)
-            noise = np.searchsorted(np.cumsum(prior), rng.random(NOISE)).clip(0, n - 1)
-            own = (r * self.Q[y]).sum(1) + self.b[y] - log_noise[y]
-            other = r @ self.Q[noise].T + self.b[noise] - log_noise[noise]
+            x, y = np.ascontiguousarray(contexts[i : i + BATCH].T), target[i : i + BATCH]
+            size = len(y)
+            near = [R[:, x[j]] for j in range(CONTEXT)]  # dimensions, batch
+            r = sum(C[j][:, None] * near[j] for j in range(CONTEXT))
+            noise = np.searchsorted(edges, rng.random(NOISE)).clip(0, n - 1)
+            q, qn = Q[:, y], Q[:, noise]
+            own = (r * q).sum(0) + b[y] - log_noise[y]
+            other = qn.T @ r + (b[noise] - log_noise[noise])[:, None]
             up = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # 1 - P(data | own)
             down = -1 / (1 + np.exp(-np.clip(other, -30, 30)))  # -P(data | other)
-            size = len(y)
-            dr = (up[:, None] * self.Q[y] + down @ self.Q[noise]) / size
-            dQ = sums(y, up[:, None] * r)
-            np.add.at(dQ, noise, down.T @ r)
+            dr = (up * q + qn @ down) / size
+            won = up * r
+            flat = x.ravel()
+            dR, dQ = np.empty_like(R), np.empty_like(Q)
+            for k in range(d):
+                dQ[k] = np.bincount(y, won[k], n)
+                dR[k] = np.bincount(flat, (C[:, k, None] * dr[k]).ravel(), n)
+            np.add.at(dQ.T, noise, down @ r.T)
             db = np.bincount(y, up, n)
-            np.add.at(db, noise, down.sum(0))
-            dR, dC = np.zeros_like(self.R), np.zeros_like(self.C)
-            for j in range(CONTEXT):
-                dR += sums(x[:, j], dr * self.C[j])
-                dC[j] = (dr * self.R[x[:, j]]).sum(0)
-            for k, g in (("R", dR), ("C", dC), ("Q", dQ / size), ("b", db / size)):
+            np.add.at(db, noise, down.sum(1))
+            dC = np.stack([(dr * near[j]).sum(1) for j in range(CONTEXT)])
+            for k, v, g in (("R", R, dR), ("C", C, dC), ("Q", Q, dQ / size), ("b", b, (db / size).astype(np.float32))):
                 self.gains[k] += g * g
-                setattr(self, k, getattr(self, k) + RATE * g / np.sqrt(self.gains[k]))
+                v += RATE * g / np.sqrt(self.gains[k])
+        self.R, self.Q, self.C, self.b = R.T.astype(float), Q.T.astype(float), C.astype(float), b.astype(float)
 
     def log_probabilities(self, contexts: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all classes."""
-        R, C, Q, b = (v.astype(np.float32) for v in (self.R, self.C, self.Q.T, self.b))
+        R, C, Q, b = (np.ascontiguousarray(v, np.float32) for v in (self.R.T, self.C, self.Q, self.b))
         out = np.empty(len(target))
-        for i in range(0, len(target), 8192):
-            x, y = contexts[i : i + 8192], target[i : i + 8192]
-            z = sum(R[x[:, j]] * C[j] for j in range(CONTEXT)) @ Q
-            z += b
-            z -= z.max(1, keepdims=True)
-            chosen = z[np.arange(len(y)), y].astype(np.float64)
+        for i in range(0, len(target), 4096):
+            x, y = np.ascontiguousarray(contexts[i : i + 4096].T), target[i : i + 4096]
+            r = sum(C[j][:, None] * R[:, x[j]] for j in range(CONTEXT))
+            z = Q @ r
+            z += b[:, None]
+            chosen = z[y, np.arange(len(y))].astype(np.float64)
+            most = float(z.max(initial=0.0))
+            if most > 60:  # beyond what single precision can add up
+                z -= most
             np.exp(z, out=z)
-            out[i : i + 8192] = chosen - np.log(z.sum(1, dtype=np.float64))
+            out[i : i + 4096] = chosen - np.log(z.sum(0) + 1e-37) - (most if most > 60 else 0.0)
         return out
 
 
 def windows(sequences: list[list[int]], end: int) -> tuple[np.ndarray, np.ndarray]:
     """(contexts, targets) of classes of several texts; before a text stand ends of texts."""
     pad = [end] * CONTEXT
-    flat = np.fromiter((c for s in sequences for c in (*pad, *s, end)), np.int32)
+    flat = np.fromiter(chain.from_iterable(x for s in sequences for x in (pad, s, (end,))), np.int32)
     size = np.array([len(s) + 1 for s in sequences])
     first = np.cumsum(size + CONTEXT) - size
     at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -316,8 +322,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_column: str = "d
             by_text = np.add.reduceat(p, np.cumsum(size) - size)
             sums, seen, rare, times = [], [], [], []
             for words in split:
-                cold = Counter(w for w in (*words, END) if w not in logs)
-                sums.append(sum(logs[w] for w in words if w in logs) + logs.get(END, 0.0))
+                found = [*map(logs.get, words), logs.get(END)]
+                cold = Counter(w for w, x in zip((*words, END), found, strict=True) if x is None)
+                sums.append(sum(x for x in found if x is not None))
                 seen.append(len(words) + 1 - sum(cold.values()))
                 rare.append(list(cold.keys()))
                 times.append(list(cold.values()))
