@@ -118,6 +118,13 @@ def verdict(locatable: Column, tests: Column, report: Column, execution_failure:
     )
 
 
+def related(cases: Column, needles: Column) -> Column:
+    """Whether a failing case (outcome, node_id, traceback) mentions one of the needles (file, module, function name)."""
+    failing = F.filter(cases, lambda c: c["outcome"].isin("failed", "error"))
+    hay = lambda c: F.concat_ws("\n", c["node_id"], c["traceback"])
+    return F.exists(failing, lambda c: F.exists(needles, lambda n: (n != "") & F.contains(hay(c), n)))
+
+
 def tally(verdicts: DataFrame, status: str = "status") -> DataFrame:
     """status, n for every status there is, zero included."""
     spark = verdicts.sparkSession

@@ -89,6 +89,51 @@ def token_calls(functions: DataFrame, calls: DataFrame, shortest: int = 6, most:
     return ranked.filter(F.col("_r") <= most).select("src", "dst", F.lit(True).alias("synthetic"), F.lit("token").alias("reason"))
 
 
+def property_calls(functions: DataFrame, calls: DataFrame, most: int = 20) -> DataFrame:
+    """Synthetic edges to getters and setters (getX, setX) from sources that hold the property's name as a word.
+
+    A caller that already calls a function of that name gets none; at most `most` for each accessor, by fid.
+    """
+    accessor = functions.filter(F.col("name").rlike("^(get|set)[A-Z]") & (F.length("name") > 3)).select(F.col("fid").alias("dst"), F.col("name").alias("accessor"), F.concat(F.lower(F.substring("name", 4, 1)), F.expr("substring(name, 5)")).alias("property"))
+    words = functions.select(F.col("fid").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(r"\w+"), F.lit(0)))).alias("property"))
+    named = calls.join(functions.select(F.col("fid").alias("dst"), F.col("name").alias("accessor")), "dst").select("src", "accessor").distinct()
+    pairs = words.join(accessor, "property").filter("src <> dst").join(named, ["src", "accessor"], "left_anti")
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("dst").orderBy("src")))
+    return ranked.filter(F.col("_r") <= most).select("src", "dst", F.lit(True).alias("synthetic"), F.lit("property").alias("reason"))
+
+
+def inner_calls(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """Synthetic edges from builder functions (with..., build) to functions of their file that they call by name."""
+    builders = functions.filter(F.col("name").rlike("^with|^build$"))
+    used = builders.select(F.col("fid").alias("src"), "path", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(r"\.([a-z]\w*)\("), F.lit(1)))).alias("name"))
+    pairs = used.join(functions.select(F.col("fid").alias("dst"), "path", "name"), ["path", "name"]).filter("src <> dst")
+    return pairs.join(calls.select("src", "dst").distinct(), ["src", "dst"], "left_anti").select("src", "dst", F.lit(True).alias("synthetic"), F.lit("inner").alias("reason")).distinct()
+
+
+def call_targets(nodes: DataFrame, functions: DataFrame) -> DataFrame:
+    """nodes with call_target_id: a function whose name is unique, else the one that class.method names."""
+    unique = functions.groupBy("name").agg(F.count("*").alias("_n"), F.min("fid").alias("_by_name")).filter("_n = 1").select(F.col("name").alias("_m"), "_by_name")
+    full = F.concat(F.lower(F.substring("class_name", 1, 1)), F.expr("substring(class_name, 2)"), F.lit("."), "name")
+    qualified = functions.groupBy(full.alias("_q")).agg(F.count("*").alias("_k"), F.min("fid").alias("_by_class")).filter("_k = 1").select("_q", "_by_class")
+    out = nodes.drop("call_target_id").withColumn("_m", fn.method_name(F.col("call_target")))
+    out = out.join(unique, "_m", "left").join(qualified, out["call_target"] == qualified["_q"], "left")
+    return out.withColumn("call_target_id", F.coalesce("_by_name", "_by_class")).drop("_m", "_q", "_by_name", "_by_class")
+
+
+def validated(names: DataFrame, functions: DataFrame) -> DataFrame:
+    """name, fid, how of names that an agent gave: class.method, a unique short name, a class hint, the first of several.
+
+    Names that fit no function are not_found, with a null fid.
+    """
+    told = names.select("name").distinct().withColumns({"_short": fn.method_name(F.col("name")), "_class": F.lower(F.when(F.contains("name", F.lit(".")), F.regexp_extract("name", r"(\w+)\.\w+$", 1)))})
+    own = functions.select("fid", F.col("name").alias("_f"), F.lower("class_name").alias("_c"))
+    hits = told.join(own, F.col("_short") == F.col("_f"), "left")
+    rank = F.when(F.col("fid").isNull(), 9).when(F.col("_class") == F.col("_c"), 0).when(F.contains("_c", F.col("_class")) | F.contains("_class", F.col("_c")), 1).otherwise(2)
+    best = hits.withColumn("_p", rank).groupBy("name").agg(F.min_by("fid", F.struct("_p", "fid")).alias("fid"), F.min("_p").alias("_p"), F.count_distinct("fid").alias("_n"))
+    how = F.when(F.col("_p") == 9, "not_found").when(F.col("_p") == 0, "class_method").when(F.col("_n") == 1, "unique").when(F.col("_p") == 1, "class_hint").otherwise("ambiguous")
+    return best.select("name", "fid", how.alias("how"))
+
+
 # -- bounded traversals ------------------------------------------------------------------------------------------------
 
 

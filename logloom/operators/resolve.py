@@ -118,3 +118,26 @@ def near_resolved(entries: DataFrame, idx: str, tier: str, thread: str | None =
     if thread:
         return open_.join(helpers.distinct(), (open_[idx] == helpers[idx]) & open_[thread].eqNullSafe(helpers["_t"]), "left_semi").select(idx)
     return open_.join(helpers.distinct(), idx, "left_semi").select(idx)
+
+
+def logger_class(line: Column, patterns: list[str]) -> Column:
+    """The logger of a line: group `logger` of the first pattern that matches, else the word between ] and a colon."""
+    from ..config import group_names, java
+
+    found = [F.when(line.rlike(java(p, anchored=True)), F.nullif(F.regexp_extract(line, java(p, anchored=True), group_names(p).index("logger") + 1), F.lit(""))) for p in patterns if "logger" in group_names(p)]
+    return F.coalesce(*found, F.nullif(F.regexp_extract(line, r"\]\s+([\w.$]+)\s+:", 1), F.lit("")))
+
+
+def by_class(entries: DataFrame, candidates: DataFrame, idx: str = "entry_idx", text: str = "static_text") -> DataFrame:
+    """idx, fid, rule of entries whose logger class is known: of the class's functions, the likeliest for the message.
+
+    entries: idx, text, class_name. candidates: class_name, fid, name, templates (array of texts). In order: a function
+    named in the message with a template in it, one with a template of more than 5 characters in it, one named in it, one
+    with any template. Longer names first, then smaller fid. Entries with an empty message have no candidate.
+    """
+    both = entries.filter(F.length(text) > 0).join(candidates, "class_name")
+    named = F.contains(F.lower(text), F.lower("name"))
+    told = F.exists(F.coalesce("templates", F.array().cast("array<string>")), lambda t: (F.length(t) > 5) & F.contains(F.col(text), t))
+    rule = F.when(named & told, 0).when(told, 1).when(named, 2).when(F.size(F.coalesce("templates", F.array().cast("array<string>"))) > 0, 3)
+    ranked = both.withColumn("rule", rule).filter("rule IS NOT NULL").withColumn("_r", F.row_number().over(Window.partitionBy(idx).orderBy("rule", F.desc(F.length("name")), "fid")))
+    return ranked.filter("_r = 1").select(idx, "fid", "rule")
