@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scans": licenses.op2_sql()}
+    return {"op2_license_scans": licenses.op2_sql(), "op4_quality_rules": repetition.op4_sql()}

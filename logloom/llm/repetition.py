@@ -94,3 +94,24 @@ def verdict(measured: DataFrame, limits: dict[int, float] = LIMITS, line_limit:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict(repetition(common.table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+def op4_sql() -> str:
+    """DuckDB SQL for op4_quality_rules, with n-grams as texts instead of hashes."""
+    space = r"[\x20\x09-\x0D]"
+    parts = [f"""w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM w),
+lines AS (SELECT doc_id, line, count(*) AS k, length(regexp_replace(line, '{space}+', '', 'g')) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, line),
+dups AS (SELECT doc_id, sum(k - 1)::BIGINT AS n_dup_lines, sum((k - 1) * c)::BIGINT AS dup_line_chars FROM lines GROUP BY doc_id),
+chars AS (SELECT doc_id, sum(length(word))::BIGINT AS word_chars FROM words GROUP BY doc_id)"""]
+    for n in LIMITS:
+        parts.append(f"""g{n} AS (SELECT doc_id, pos, array_to_string(w[pos : pos + {n - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n} + 2)) AS pos FROM w)),
+c{n} AS (SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS n_chars FROM (SELECT DISTINCT doc_id, pos + unnest(range({n})) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g{n}) WHERE k > 1) JOIN words USING (doc_id, pos) GROUP BY doc_id)""")
+    counts = ", ".join(f"coalesce(c{n}.n_chars, 0)::BIGINT AS dup_chars_{n}" for n in LIMITS)
+    joins = " ".join(f"LEFT JOIN c{n} ON c{n}.doc_id = w.doc_id" for n in LIMITS)
+    within = " AND ".join(f"dup_chars_{n} <= {most} * greatest(word_chars, 1)" for n, most in LIMITS.items())
+    return f"""WITH {', '.join(parts)},
+m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(c8.n_words, 0)::BIGINT AS n_repeat_words, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars, {counts}
+FROM w LEFT JOIN chars ON chars.doc_id = w.doc_id LEFT JOIN dups ON dups.doc_id = w.doc_id {joins}),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND dup_line_chars <= {LINE_LIMIT} * greatest(word_chars, 1) AND {within} AS kept FROM b"""
