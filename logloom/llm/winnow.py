@@ -11,7 +11,7 @@ from . import common, ranges
 #: A k-gram is so many words; a window so many k-grams (a power of two). Every passage of K + WINDOW - 1 equal words shares a selected hash.
 K, WINDOW = 3, 4
 #: Runs without white space are cut into pieces of at most so many code points, so that texts without spaces have words too.
-PIECE = 16
+PIECE = 4
 _PLACE_BITS = 27
 #: Rows of a range of ids that are put in order by one task.
 RANGE_ROWS = 2_000
