@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,59 +62,54 @@ class Table:
         return True
 
     def column(self) -> Column:
-        """The table as a literal; kept in a column of the frame, or the plan, it is folded once."""
-        return F.split(F.lit(",".join(map(str, self.entries))), ",").cast("array<bigint>")
+        """The table as a literal."""
+        return F.from_json(F.lit(json.dumps(self.entries)), "array<bigint>")
 
-    def lookup(self, table: Column, key: Column) -> Column:
-        """The number of a key, null if it isn't there."""
+    def found(self, table: Column, h: Column) -> Column:
+        """The number of the key with a hash, null if it isn't there."""
         mask = (1 << self.bits) - 1
-
-        def found(h: Column) -> Column:
-            one = F.get(table, h.bitwiseAND(F.lit(mask)).cast("int"))
-            two = F.get(table, F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(mask)).cast("int"))
-            same = lambda e: F.shiftrightunsigned(e.bitwiseXOR(h), 20) == 0
-            return F.when(same(one), one.bitwiseAND(F.lit(0xFFFFF))).when(same(two), two.bitwiseAND(F.lit(0xFFFFF)))
-
-        return let(F.xxhash64(key), found)
-
-
-def _at(array: Column, i: Column) -> Column:
-    return F.get(array, i)
+        one = F.get(table, h.bitwiseAND(F.lit(mask)).cast("int"))
+        two = F.get(table, F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(mask)).cast("int"))
+        same = lambda e: F.shiftrightunsigned(e.bitwiseXOR(h), 20) == 0
+        number = lambda e: e.bitwiseAND(F.lit(0xFFFFF)).cast("int")
+        return F.when(same(one), number(one)).when(same(two), number(two))
 
 
 def merges(piece: Column, ranks: Table, table: Column) -> Column:
-    """Ids of one piece (binary) as text, joined by a space: the lowest-ranked pair is merged, leftmost first, to the end."""
-    n = F.octet_length(piece)
-    rank = lambda a, b: ranks.lookup(table, F.concat(a, b)).cast("int")
-    empty_b, empty_i = F.array().cast("array<binary>"), F.array().cast("array<int>")
-
-    def folded(parts: Column) -> Column:
-        pairs = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: rank(p, _at(parts, i + 1)))
-
-        def step(acc: Column, _: Column) -> Column:
-            parts, ranked = acc["parts"], acc["ranks"]
+    """Ids of one piece (binary): the lowest-ranked pair of its parts is merged, the leftmost of equal ones, to the end.
 
-            def merged(i: Column) -> Column:  # i: place of the pair, from 1
-                both = F.concat(_at(parts, i - 1), _at(parts, i))
-
-                def joined(b: Column) -> Column:
-                    left = F.when(i > 1, F.array(rank(_at(parts, i - 2), b))).otherwise(empty_i)
-                    right = F.when(i + 1 < F.size(parts), F.array(rank(b, _at(parts, i + 1)))).otherwise(empty_i)
-                    return F.struct(
-                        F.concat(F.slice(parts, F.lit(1), i - 1), F.array(b), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
-                        F.concat(F.slice(ranked, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranked, i + 2, F.size(ranked) + 1)).alias("ranks"),
-                    )
-
-                return let(both, joined)
-
-            return let(F.array_min(ranked), lambda m: F.when(m.isNull(), acc).otherwise(let(F.array_position(ranked, m).cast("int"), merged)))
+    The fold's state is the parts and the ranks of their pairs (null: no such token). A merge looks up the pairs on its
+    two sides only.
+    """
+    none = F.array().cast("array<int>")
+    nothing = F.array().cast("array<bigint>")
+    found = lambda h: ranks.found(table, h)
+
+    def step(acc: Column, _: Column) -> Column:
+        parts, ranked = acc["parts"], acc["ranks"]
+        at = lambda i: F.get(parts, i)
+
+        def merged(i: Column) -> Column:  # place of the lowest pair, from 1
+            left = F.when(i > 1, F.array(F.xxhash64(F.concat(at(i - 2), at(i - 1), at(i))))).otherwise(nothing)
+            right = F.when(i + 1 < F.size(parts), F.array(F.xxhash64(F.concat(at(i - 1), at(i), at(i + 1))))).otherwise(nothing)
+            return F.when(i.isNull(), acc).otherwise(
+                F.struct(
+                    F.concat(F.slice(parts, F.lit(1), i - 1), F.array(F.concat(at(i - 1), at(i))), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
+                    F.concat(F.slice(ranked, F.lit(1), F.greatest(i - 2, F.lit(0))), F.transform(F.concat(left, right), found), F.slice(ranked, i + 2, F.size(ranked) + 1)).alias("ranks"),
+                )
+            )
+
+        return let(F.array_position(ranked, F.array_min(ranked)).cast("int"), merged)
 
-        start = F.struct(parts.alias("parts"), F.coalesce(pairs, empty_i).alias("ranks"))
-        steps = F.when(F.size(parts) > 1, F.sequence(F.lit(2), F.size(parts))).otherwise(empty_i)
-        return F.aggregate(steps, start, step, lambda acc: F.array_join(F.transform(acc["parts"], lambda p: ranks.lookup(table, p).cast("string")), " "))
+    def folded(parts: Column) -> Column:
+        pairs = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p, i: F.xxhash64(F.concat(p, F.get(parts, i + 1))))
+        start = F.struct(parts.alias("parts"), F.transform(pairs, found).alias("ranks"))
+        steps = F.when(F.size(parts) > 1, F.sequence(F.lit(2), F.size(parts))).otherwise(none)
+        ids = lambda acc: F.transform(F.transform(acc["parts"], lambda p: F.xxhash64(p)), found)
+        return F.aggregate(steps, start, step, ids)
 
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(piece, i, F.lit(1)))
-    return F.coalesce(ranks.lookup(table, piece).cast("string"), let(single, folded))
+    single = F.transform(F.sequence(F.lit(1), F.octet_length(piece)), lambda i: F.substring(piece, i, F.lit(1)))
+    return let(single, folded)
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -135,34 +131,37 @@ def frequent_pieces(docs: DataFrame, pattern: str, text: str, most: int) -> Data
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids", most: int = FREQUENT) -> DataFrame:
-    """Adds `out`, the ids of the text as decimal numbers joined by one space; null and empty texts give an empty string.
+    """Adds `out`, the ids of the text (array<int>); null and empty texts give an empty array.
 
-    Frequent distinct pieces are encoded once and become a literal table; every other piece is folded where it stands.
-    Nothing but their counts is shuffled. Very long pieces (a run of one character, say) take time that grows with the
+    Frequent distinct pieces are folded once and become a literal table; every other piece is folded where it stands.
+    Nothing but counts of pieces is shuffled. Very long pieces (a run of one character, say) take time that grows with the
     square of their length.
     """
     rank_table = Table(ranks)
-    known = frequent_pieces(docs, pattern, text, most).repartition(docs.sparkSession.sparkContext.defaultParallelism * 2)
+    known = frequent_pieces(docs, pattern, text, most)
+    known = known.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2)
     known = known.select("w", let(rank_table.column(), lambda t: merges(F.col("w"), rank_table, t)).alias("ids")).toArrow()  # at most `most` rows
-    words, ids = known.column(0).to_pylist(), known.column(1).to_pylist()
-    word_table = Table({w: i for i, w in enumerate(words)})
-    texts = F.split(F.lit(",".join(ids)), ",")
-    tables = F.struct(word_table.column().alias("words"), texts.alias("texts"), rank_table.column().alias("ranks"))
+    coded: dict[bytes, list[int]] = dict(zip(known.column(0).to_pylist(), known.column(1).to_pylist(), strict=True)) | {p: [i] for p, i in ranks.items()}
+    word_table = Table({w: i for i, w in enumerate(coded)})
+    lists = F.from_json(F.lit(json.dumps(list(coded.values()))), "array<array<int>>")
+    tables = F.struct(word_table.column().alias("words"), lists.alias("lists"), rank_table.column().alias("ranks"))
+
+    def all_of(t: Column) -> Column:
+        def each(words: Column) -> Column:
+            hashes = F.transform(words, lambda w: F.xxhash64(w))
+            one = lambda w, h: F.coalesce(F.get(t["lists"], word_table.found(t["words"], h)), merges(w.cast("binary"), rank_table, t["ranks"]))
+            return F.flatten(F.zip_with(words, hashes, one))
 
-    def coded(t: Column) -> Column:
-        one = lambda w: F.coalesce(F.get(t["texts"], word_table.lookup(t["words"], w).cast("int")), merges(w.cast("binary"), rank_table, t["ranks"]))
-        return F.array_join(F.transform(pieces(F.col(text), pattern), one), " ")
+        return let(pieces(F.col(text), pattern), each)
 
-    return docs.withColumn(out, let(tables, coded))
+    return docs.withColumn(out, let(tables, all_of))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes that ids (decimal numbers joined by one space) stand for."""
-    most = max(ranks.values()) + 1
+    """The bytes that an array of ids stands for: their pieces, joined."""
     back = {i: p for p, i in ranks.items()}
-    table = F.split(F.lit(",".join(back.get(i, b"").hex() for i in range(most))), ",")
-    hexes = F.transform(F.split(ids, " "), lambda i: F.get(table, i.cast("int")))
-    return F.when(F.length(ids) == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(hexes, "")))
+    table = F.from_json(F.lit(json.dumps([base64.b64encode(back.get(i, b"")).decode() for i in range(max(back) + 1)])), "array<binary>")
+    return let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i).cast("string")), "").cast("binary"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,5 +170,5 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode(docs, ranks, public_tokenizers.PATTERN)
-    n = F.when(F.length("ids") == 0, F.lit(0)).otherwise(F.length("ids") - F.length(F.translate("ids", " ", "")) + 1)
-    return coded.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))

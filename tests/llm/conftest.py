@@ -1,6 +1,6 @@
 import pytest
 
-LONG = ("Some words of a long text, again and again. " * 5000) + "x" * 50_000
+LONG = ("Some words of a long text, again and again. " * 5000) + "x" * 1_000
 
 
 @pytest.fixture(scope="session")

@@ -184,11 +184,11 @@ def test_bpe_as_the_library(spark, docs, texts):
 
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    more = ["", " ", "  a  b c", "don't  'll ﬁ 🙂🙂 \n\n x", "=" * 3000, "aaaaaaaaaabaaaaaaaab" * 10, "日本語テキスト ٣٤ x́", None, "<|endoftext|>", "a\u0085b c"]
+    more = ["", " ", "  a  b c", "don't  'll ﬁ 🙂🙂 \n\n x", "=" * 300, "aaaaaaaaaabaaaaaaaab" * 10, "日本語テキスト ٣٤ x́", None, "<|endoftext|>", "a\u0085b c"]
     frame = spark.createDataFrame(list(enumerate([*more, *list(texts.values())[:60]])), "i int, text string")
     coded = bpe.encode(frame, ranks, P.PATTERN).withColumn("back", bpe.decode(F.col("ids"), ranks))
     for r in coded.collect():
-        assert r.ids == " ".join(map(str, library.encode_ordinary(r.text or ""))) and bytes(r.back) == (r.text or "").encode()
+        assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode()
 
 
 def test_toxic_sentences_are_learned(spark):
