@@ -16,29 +16,46 @@ from . import common, hashing
 
 #: Registers: minima of exponential variables of rate A, spaced by powers of B, as unsigned 16-bit numbers.
 B, A, TOP = 1.001, 20.0, 2**16 - 1
+#: Registers that a pair's bits are taken from before its rows are put together.
+BITS = 2048
 #: A pair at the threshold shares no band with at most this probability.
 MISS = 1e-6
-#: Pairs whose likeliest similarity is this far below the threshold aren't confirmed (about six standard errors).
-MARGIN = 0.22
+#: Pairs whose likeliest similarity is this far below the threshold aren't confirmed (about five standard errors).
+MARGIN = 0.16
 
 
-def bands(similarity: float, rows: int | None = None, miss: float = MISS) -> tuple[int, int]:
+def bands(similarity: float, miss: float = MISS) -> tuple[int, int]:
     """(bands, registers in each) for a threshold."""
-    rows = rows or (5 if similarity >= 0.85 else 4 if similarity >= 0.7 else 2)
+    rows = 5 if similarity >= 0.85 else 4 if similarity >= 0.7 else 2
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows)), rows
 
 
-def registers(grams: np.ndarray, m: int, skip: int = 0) -> np.ndarray:
-    """SetSketch of a set of hashes. Registers of a union are the larger ones of its parts."""
+def minima(grams: np.ndarray, m: int, skip: int = 0) -> np.ndarray:
     a = hashing.multipliers(m, skip)
     least = np.full(m, 2**64 - 1, np.uint64)
     block = max(16, 65536 // m)
     for i in range(0, len(grams), block):
         least = np.minimum(least, (grams[i : i + block, None] * a).min(0))
-    h = -np.log1p(-(least.astype(np.float64) + 0.5) / 2**64) / A
+    return least
+
+
+def registers(grams: np.ndarray, m: int) -> np.ndarray:
+    """SetSketch of a set of hashes. Registers of a union are the larger ones of its parts."""
+    h = -np.log1p(-(minima(grams, m).astype(np.float64) + 0.5) / 2**64) / A
     return np.clip(np.floor(1 - np.log(np.maximum(h, 1e-300)) / math.log(B)), 0, TOP).astype("<u2")
 
 
+def bits(grams: np.ndarray) -> np.ndarray:
+    """One bit of each of BITS further registers, as bigints: sets of similarity J differ in about (1 - J) / 2 of them."""
+    return np.packbits((hashing.mix(minima(grams, BITS, 1024)) & np.uint64(1)).astype(np.uint8)).view("<i8")
+
+
+def most_bits(similarity: float) -> int:
+    """As many bits as sets at a threshold differ in, and 6.5 standard deviations more."""
+    p = (1 - similarity) / 2
+    return math.ceil(BITS * p + 6.5 * math.sqrt(BITS * p * (1 - p)))
+
+
 def merged(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(x, y)
 
@@ -114,49 +131,35 @@ def _confirmed(pairs: DataFrame, percent: int, width: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in `edges` (a, b): the smallest id reachable.
 
-    Each a first falls to its smallest b; what is left is a graph of the b's, far smaller when many a's share few b's.
-    There, labels are the smallest of the neighbours' and then labels of labels, until nothing changes.
+    Each round an id takes the smallest label around it, then that label's own label, until nothing changes; edges
+    between members and hubs need few rounds. Labels are a written table after each round.
     """
-    edges = common.written(edges.select("a", "b").distinct(), "edges")
-    first = common.written(edges.groupBy("a").agg(F.min("b").alias("to")), "first")
-    hubs = edges.join(first, "a").filter("b <> to").select(F.col("b").alias("x"), F.col("to").alias("y")).distinct()
-    # an a that is also somebody's b ties its own b to itself
-    both_roles = first.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("x"), F.col("to").alias("y"))
-    pairs = hubs.union(both_roles)
-    pairs = common.written(pairs.union(pairs.select("y", "x")).distinct(), "hubs")
-    state = common.written(edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component")), "labels")
-
-    def step(labels: DataFrame) -> DataFrame:
-        told = pairs.join(labels, pairs["y"] == labels["id"]).select(F.col("x").alias("id"), "component")
-        least = told.unionByName(labels.select("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
-        jump = least.select(F.col("id").alias("_j"), F.col("component").alias("_c"))
-        return least.join(jump, least["component"] == jump["_j"]).select("id", F.col("_c").alias("component"))
-
+    both = common.written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    state = common.written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
     while True:
-        new = common.written(step(state), "labels")
-        if not new.join(state.withColumnRenamed("component", "old"), "id").filter("component <> old").limit(1).count():
-            break
-        state = new
-    leaves = first.join(state, first["to"] == state["id"]).select(F.col("a").alias("id"), "component")
-    return common.written(leaves.unionByName(state).groupBy("id").agg(F.min("component").alias("component")), "components").transform(_lowest)
-
-
-def _lowest(state: DataFrame) -> DataFrame:
-    """Components named by their smallest id (a leaf may be smaller than all hubs)."""
-    least = state.groupBy("component").agg(F.min("id").alias("low"))
-    return state.join(least, "component").select("id", F.col("low").alias("component"))
-
-
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_column: str = "doc_id", text: str = "text", rounds: int = 3) -> DataFrame:
+        around = both.join(state.select(F.col("id").alias("b"), "component"), "b").select(F.col("a").alias("id"), "component", F.lit(None).cast(state.schema["id"].dataType).alias("old"))
+        own = state.select("id", "component", F.col("component").alias("old"))
+        nearest = around.unionByName(own).groupBy("id").agg(F.min("component").alias("component"), F.max("old").alias("old"))
+        further = state.select(F.col("id").alias("_i"), F.col("component").alias("_c"))
+        new = nearest.join(further, nearest["component"] == further["_i"]).select("id", F.col("_c").alias("component"), "old")
+        new = common.written(new, "labels")
+        state = new.select("id", "component")
+        if not new.filter("component <> old").limit(1).count():
+            return state
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for every row of docs.
 
-    Equal sets become one class, by the smallest id, before anything is compared. Classes that share a band are
-    compared with one hub of the band's bucket, so a bucket of n gives n - 1 pairs. Classes of buckets that still hold
-    several components get longer bands from fresh registers (their chance to miss a pair is as small); in these, again,
-    hubs first, at most `rounds` times while many pairs are left, and in the end every pair of different components. So no
-    candidate pair of different components is left out. Links are confirmed on the full sets. Texts without
-    words, and rows without an id, are linked with nothing (component_id is their own id, null for null). Rows that
-    share an id are one document.
+    Equal sets become one class, by the smallest id, before anything is compared. Classes meet where they share a band.
+    Of these, shingles that no other class holds are counted: if m is the lesser of what two classes hold besides, they
+    share at most m shingles, so most pairs that merely have a passage or a template in common are ruled out by
+    numbers alone, exactly, and so are classes that can't be linked with any other; one-bit registers rule out most of
+    the others that are far below the threshold. In each bucket of a band all are
+    compared with one hub, the class with the smallest share of such shingles, so a bucket of n gives n - 1 pairs. Then pairs
+    of a bucket that lie in different components and that the numbers allow are compared too: no candidate is left out.
+    Links are confirmed on the full sets. Texts without words, and rows without an id, are linked with nothing
+    (component_id is their own id, null for null). Rows that share an id are one document.
     """
     least = percent / 100
     number, rows = bands(least)
@@ -164,70 +167,51 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_colum
     sketched = common.written(sketches(docs, width, number * rows, "id"), "sketches")
     usable = sketched.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = common.written(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
-
-    def shared(frame: DataFrame, number: int, rows: int, name: str) -> DataFrame:
-        """(band, rep, ...) of buckets with several members."""
-        keys = [F.xxhash64(F.lit(i), F.substring("registers", 2 * rows * i + 1, 2 * rows)) for i in range(number)]
-        banded = frame.select("rep", F.explode(F.array(*keys)).alias("band"))
-        several = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
-        return common.written(banded.join(several, "band"), name)
-
-    banded = shared(classes, number, rows, "bands")
+    keys = [F.xxhash64(F.lit(i), F.substring("registers", 2 * rows * i + 1, 2 * rows)) for i in range(number)]
+    classes = classes.withColumn("keys", F.array(*keys))
+    banded = classes.select("rep", F.posexplode("keys").alias("i", "band"))
+    several = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
+    banded = common.written(banded.join(several, "band"), "bands")
     wanted = banded.select(F.col("rep").alias("id")).distinct()
-    texts = common.written(docs.join(wanted, "id", "left_semi").select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text")), "texts")
-    facts = classes.select("rep", "n", "registers")
+    texts = common.written(docs.join(wanted, "id", "left_semi").select("id", F.coalesce("text", F.lit("")).alias("text")), "texts")
+    # classes with the number of their shingles that others of these hold as well
+    sets = common.add_columns(texts, [("grams", "array<long>")], lambda: lambda ts: [[hashing.shingles(t, width).view(np.int64) for t in ts]], "text", ["id"])
+    lone = sets.select("id", F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("k"), F.min("id").alias("id")).filter("k = 1").groupBy("id").agg(F.count("*").alias("lone"))
+    facts = classes.select("rep", "n", "registers", "keys").join(wanted.withColumnRenamed("id", "rep"), "rep").join(lone.withColumnRenamed("id", "rep"), "rep", "left")
+    facts = facts.select("rep", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m"), "registers", "keys")
+    facts = facts.filter(100 * F.col("m") >= percent * F.col("n"))
+    sketch = common.add_columns(texts, [("s", "array<long>")], lambda: lambda ts: [[bits(hashing.shingles(t, width)) for t in ts]], "text", ["id"])
+    facts = common.written(facts.join(sketch.withColumnRenamed("id", "rep"), "rep"), "facts")
+    members = common.written(banded.join(facts, "rep"), "members")
+    most = most_bits(least)
+
+    def may(x: str, y: str, first_only: bool):
+        """Whether two classes can be linked by their numbers (they share at most the lesser m) and are likely to, by bits."""
+        m = F.least(F.col(f"{x}.m"), F.col(f"{y}.m"))
+        apart = sum((F.bit_count(F.get(f"{x}.s", F.lit(i)).bitwiseXOR(F.get(f"{y}.s", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+        # a pair that shares several bands is made in the first of them only
+        earlier = F.coalesce(*[F.when(F.get(f"{x}.keys", F.lit(i)) == F.get(f"{y}.keys", F.lit(i)), F.lit(i)) for i in range(number)]) < F.col(f"{x}.i")
+        return (100 * m >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - m)) & (apart <= most) & (~earlier if first_only else F.lit(True))
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        left = facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-        right = facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
-        likely = _likely(pairs.join(left, "a").join(right, "b"), least).distinct()
-        told = likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return common.written(_confirmed(told, percent, width), f"{name}-links")
-
-    def hubs(frame: DataFrame, k: int) -> DataFrame:
-        chosen = frame.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("h"), F.col("rep").alias("hub"), F.col("c").alias("hub_c"))).alias("s")).select("band", "s.hub", "s.hub_c")
-        return frame.join(chosen, "band").filter("c <> hub_c").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-
-    def told(frame: DataFrame, state: DataFrame) -> DataFrame:
-        return frame.select("band", "rep").join(state, F.col("rep") == F.col("id"), "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
-
-    links = confirm(hubs(banded.withColumn("c", F.col("rep")), 0), "first")
-    state = common.written(components(links), "state")
-    held = told(banded, state)
-    mixed = held.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("band")
-    doubtful = common.written(held.join(mixed, "band").select(F.col("rep").alias("id")).distinct(), "doubtful")
-    number, rows = bands(least, 12 if least >= 0.85 else 10)
-
-    def finer():
-        skip = 1024
-
-        def work(sets):
-            return [[registers(hashing.shingles(t, width), number * rows, skip).tobytes() for t in sets]]
-
-        return work
-
-    again = common.add_columns(texts.join(doubtful, "id", "left_semi").select(F.col("id").alias("rep"), F.col("text").cast("string").alias("text")), [("registers", "binary")], finer, "text", ["rep"])
-    open_ = shared(again, number, rows, "finer")
-    several = classes.count()
-    for k in range(1, rounds + 1):
-        held = told(open_, state)
-        mixed = held.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("kinds")).filter("kinds > 1")
-        open_ = common.written(held.join(mixed.select("band", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")), "band"), "open")
-        total = open_.select("band", "pairs").distinct().agg(F.sum("pairs")).first()[0]
-        if not total:
-            break
-        last = total <= several / 2 + 1000 or k == rounds
-        if last:
-            x, y = open_.alias("x"), open_.alias("y")
-            pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        else:
-            pairs = hubs(open_, k)
-        found = confirm(pairs, f"round-{k}")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            state = common.written(components(links), "state")
-        if last:
-            break
+        """Links among pairs of rows x and y of the same band."""
+        column = lambda side, name, out: F.col(f"{side}.{name}").alias(out)
+        told = pairs.select(column("x", "rep", "a"), column("y", "rep", "b"), column("x", "n", "na"), column("y", "n", "nb"), column("x", "registers", "ra"), column("y", "registers", "rb"))
+        likely = _likely(told, least).distinct()
+        read = likely.join(texts.select(F.col("id").alias("a"), F.col("text").cast("binary").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").cast("binary").alias("tb")), "b")
+        return common.written(_confirmed(read, percent, width), f"{name}-links")
+
+    first = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("share"), F.xxhash64("rep").alias("h"), "rep", "n", "m", "s", "registers", "keys", "i")
+    hub = members.groupBy("band").agg(F.min(first).alias("t")).select("band", "t.rep", "t.n", "t.m", "t.s", "t.registers", "t.keys", "t.i")
+    links = confirm(members.alias("x").join(hub.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") != F.col("y.rep")) & may("x", "y", False)), "hub")
+    state = components(links)
+    told = members.join(state.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    mixed = told.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("band")
+    open_ = common.written(told.join(mixed, "band").select("band", "i", "rep", "c", "n", "m", "s", "registers", "keys"), "open")
+    pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep")) & may("x", "y", True))
+    more = confirm(pairs, "rest")
+    if more.limit(1).count():
+        state = components(links.unionByName(more))
     copies = classes.filter("copies > 1").select("digest", "rep")
     known = sketched.join(copies, "digest", "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
     out = known.join(state.select(F.col("id").alias("rep"), "component"), "rep", "left")
