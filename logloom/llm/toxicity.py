@@ -40,23 +40,30 @@ def features(words: list[bytes]) -> set[bytes]:
 
 @dataclass
 class Model:
-    """A sentence's log-odds: bias + the weights of its features."""
+    """The log-odds of a sentence with a known feature: bias + the weights of its features. Others are never toxic.
+
+    A text without any known feature has the log-odds `empty`, whatever its length.
+    """
 
     bias: float
     weights: dict[bytes, float]
+    empty: float = START_BIAS
 
     def log_odds(self, words: list[bytes]) -> float:
         known = self.weights.keys() & features(words)
-        return self.bias + sum(self.weights[w] for w in known) if known else self.bias
+        return self.bias + sum(self.weights[w] for w in known) if known else -np.inf
 
     def sentence_scores(self, text: bytes) -> np.ndarray:
         """One probability for each sentence; a text without words counts as one empty sentence."""
-        z = np.array([self.log_odds(s) for s in sentences(text)] or [self.bias])
+        z = np.array([self.log_odds(s) for s in sentences(text)] or [-np.inf])
         return 1 / (1 + np.exp(-z))
 
     def score(self, text: bytes) -> float:
         """Noisy-or: the chance that at least one sentence is toxic."""
-        return float(-np.expm1(np.log1p(-np.minimum(self.sentence_scores(text), 1 - 1e-12)).sum()))
+        p = self.sentence_scores(text)
+        if not p.any():
+            return float(1 / (1 + np.exp(-self.empty)))
+        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
 def _chosen(texts: list[bytes], labels: list[int], least: float) -> list[bytes]:
@@ -81,32 +88,35 @@ def _chosen(texts: list[bytes], labels: list[int], least: float) -> list[bytes]:
 
 
 def fit(texts: list[bytes], labels: list[int], rounds: int = ROUNDS, least: float = LEAST_RATIO, l2: float = L2) -> Model:
-    """Full-batch Adagrad on the noisy-or log-likelihood of document labels."""
+    """Full-batch Adagrad on the noisy-or log-likelihood of document labels. Only sentences with a feature are rows; a bag without one is a row of its own."""
     names = _chosen(texts, labels, least)
     if not names:
         return Model(START_BIAS, {})
     ids = {w: i for i, w in enumerate(names)}
-    bags = [[[ids[w] for w in features(s) & ids.keys()] for s in sentences(t)] or [[]] for t in texts]
+    bags = [[row for s in sentences(t) if (row := [ids[w] for w in features(s) & ids.keys()])] or [[]] for t in texts]
     rows = [r for bag in bags for r in bag]
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     word = np.fromiter(chain.from_iterable(rows), np.int64, len(row))
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    bare = np.array([not r for r in rows])
     y = np.array(labels, np.float64)
-    w, b = np.full(len(ids), 2.0), START_BIAS
-    gw, gb = np.full(len(ids), 1e-6), 1e-2
+    w, b, e = np.full(len(ids), 2.0), START_BIAS, START_BIAS
+    gw, gb, ge = np.full(len(ids), 1e-6), 1e-2, 1e-2
     for _ in range(rounds):
-        z = np.clip(b + np.bincount(row, w[word], len(rows)), -30, 12)
+        z = np.clip(np.where(bare, e, b) + np.bincount(row, w[word], len(rows)), -30, 12)
         p = 1 / (1 + np.exp(-z))
         none = np.exp(np.bincount(doc, np.log1p(-p), len(bags)))  # no sentence is toxic
         pull = np.where(y == 1, none / np.maximum(1 - none, 1e-9), -1.0)
         g = pull[doc] * p / len(bags)  # of the log-likelihood by each sentence's log-odds
         dw = np.bincount(word, g[row], len(ids)) - l2 * w / len(ids)
-        db = g.sum()
+        db, de = g[~bare].sum(), g[bare].sum()
         gw += dw * dw
         gb += db * db
+        ge += de * de
         w = w + 0.3 * dw / np.sqrt(gw)
         b = min(b + 0.3 * db / np.sqrt(gb), -4.0)
-    return Model(float(b), {n: float(x) for n, x in zip(names, w, strict=True)})
+        e = min(e + 0.3 * de / np.sqrt(ge), -4.0)
+    return Model(float(b), {n: float(x) for n, x in zip(names, w, strict=True)}, float(e))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: dict[int, int] = SAMPLE_PER_CLASS, id_column: str = "doc_id", text: str = "text") -> list[tuple[bytes, int]]:
@@ -132,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, id_column: str = "doc
 
 
 def toxicity(docs: DataFrame, model: Model, out: str = "score", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds the document's probability (0 to 1); whole texts, no shuffle. Null or empty texts score as one empty sentence."""
+    """Adds the document's probability (0 to 1); whole texts, no shuffle. Null or empty texts score as those without a known feature."""
     return common.add_columns(docs, [(out, "double")], lambda: lambda texts: [[model.score(t) for t in texts]], text, keep)
 
 

@@ -203,6 +203,19 @@ def test_toxic_sentences_are_learned(spark):
     assert math.isclose(model.score(b"A b. worthless c."), 1 - np.prod(1 - p), rel_tol=1e-9)
 
 
+def test_long_clean_texts_stay_clean():
+    clean, bad = [f"the cat {i} sat on mat {i % 7}. a fine day" for i in range(200)], [f"the cat {i} sat. you worthless scum {i}" for i in range(60)]
+    long = b"a neutral remark of seven plain words. " * 20_000
+    for model in (toxicity.fit([t.encode() for t in clean + bad], [0] * 200 + [1] * 60), toxicity.fit([b"one. two"] * 3, [0, 0, 1])):
+        assert model.score(long) == model.score(long[:39]) == model.score(b"") < 0.05
+    model = toxicity.fit([t.encode() for t in clean + bad], [0] * 200 + [1] * 60)
+    none = 1.0
+    for words in toxicity.sentences(long + b"worthless words. " + long):
+        known = model.weights.keys() & toxicity.features(words)
+        none *= 1 - (1 / (1 + math.exp(-model.bias - sum(model.weights[w] for w in known))) if known else 0)
+    assert math.isclose(model.score(long + b"worthless words. " + long), 1 - none, rel_tol=1e-9) and none < 0.5
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out AND toxic IS NOT NULL").toPandas()
