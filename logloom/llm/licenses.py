@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from .winnow import let
 #: Least Dice coefficient of a match.
 LEAST = 0.8
 
+#: Complete published wording of licences, a file each (read by the driver only).
+TEXTS = Path(__file__).with_name("license_texts")
+
 # Wording of public licences and of the usual one-line notices.
 TEMPLATES = {
     "Apache-2.0 (line)": "Licensed under the Apache License, Version 2.0.",
@@ -34,7 +38,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0 (line)": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0 (line)": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 (notice)": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-}
+} | {f"{p.stem} (text)": " ".join(p.read_text(encoding="utf-8").split()) for p in sorted(TEXTS.glob("*.txt"))}
 
 
 def normal_words(text: str) -> list[str]:
@@ -77,7 +81,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     found = docs.select(F.col(id_column), F.explode(units).alias("u")).select(id_column, F.col("u.unit").alias("unit"), F.col("u.place").alias("place"), _words(F.col("u.s")).alias("w"))
     # more words than bigrams of the largest template may come from repetition only; their distinct bigrams decide
     paired = found.filter(F.size("w") > low).withColumn("b", let(F.col("w"), _pairs))
-    known = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*[F.lit(f"{a} {b}") for a, b in sorted(bigrams(t))]).alias("g")) for k, t in sorted(templates.items())])
+    known = F.array(*[F.struct(F.lit(k).alias("license"), F.split(F.lit("|".join(f"{a} {b}" for a, b in sorted(bigrams(t)))), r"\|").alias("g")) for k, t in sorted(templates.items())])
 
     def compared(b: Column) -> Column:
         fits = lambda t: (F.size(t["g"]) <= F.size(b) * reach + 1e-9) & (F.size(b) <= F.size(t["g"]) * reach + 1e-9)
