@@ -197,6 +197,11 @@ def test_base_scores_and_model(spark, docs, texts):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_size_of_the_model():
+    net = lm.LogBilinear.fresh(np.full(lm.CLASSES, 1 / lm.CLASSES))
+    assert net.R.shape == net.Q.shape == (128, 24) and net.C.shape == (4, 24)
+
+
 def test_log_bilinear_is_normalised():
     net = lm.LogBilinear.fresh(np.full(8, 1 / 8))
     x = np.random.default_rng(0).integers(0, 8, (5, lm.CONTEXT))
