@@ -27,8 +27,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose likeliest language has a pooled probability of LEAST_LANGUAGE or more."""
+    """Documents with a letter whose likeliest language has a pooled probability of LEAST_LANGUAGE or more.
+
+    Where no row has a language that can be learned, nothing can be judged: every document with a letter stays.
+    """
     net = language.train(docs)
+    if not net.languages:
+        letter = common.fresh(docs, "_letter")
+        return common.add_columns(docs, [(letter, "boolean")], lambda: lambda texts: [[language.has_letter(t) for t in texts]]).filter(letter).drop(letter)
     found, score = common.fresh(docs, "_language"), common.fresh(docs, "_certainty")
     told = language.language(docs, net, found, score)
     return told.filter((F.col(found) != language.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE)).drop(found, score)

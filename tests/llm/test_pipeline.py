@@ -11,6 +11,13 @@ def test_stages_take_effect_and_keep_columns(spark, folder, odd):
     assert 8 not in ids and 1 in ids and 2 not in ids and 3 not in ids
 
 
+def test_documents_stay_where_no_language_is_known(spark, folder, odd):
+    unknown = odd.drop("lang").selectExpr("*", "cast(null AS string) AS lang").select(odd.columns)
+    got = corpus_pipeline.keep_languages(spark, unknown, f"{folder}/odd")
+    assert got.columns == odd.columns
+    assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 4, 5, 6, 6, 7, 8]
+
+
 def test_pipeline_on_empty_tables(spark, folder):
     assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
 
