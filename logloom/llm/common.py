@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +20,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Texts are handed to numpy in blocks of about this many bytes (a longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
 
+#: Spark hands batches of at most about this many bytes to Python (or fewer, where the session says so).
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
 
 
@@ -26,10 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a temporary one where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster nothing that all could read can be made up.
+    """
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {key} to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoints-")
         spark.conf.set(key, found)
     return found.rstrip("/")
@@ -47,6 +58,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _release() -> None:
+    """Gives back what a task has freed: workers outlive their tasks and lie idle beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with batches bounded in bytes, whose workers give memory back at the end of a task."""
+    conf = df.sparkSession.conf
+    if (now := re.fullmatch(r"(\d+)b?", conf.get(_BATCH))) and int(now[1]) > BATCH_BYTES:  # what a user has set in other units stays
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
@@ -75,7 +109,7 @@ def blocks(batch: pa.RecordBatch, text: str, most: int = BLOCK_BYTES) -> Iterato
         yield batch.slice(start), values.slice(start).to_pylist()
 
 
-def add_columns(df: DataFrame, fields: list[tuple[str, str]], start: Callable[[], Callable[[list[bytes]], list]], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def add_columns(df: DataFrame, fields: list[tuple[str, str]], start: Callable[[], Callable[[list[bytes]], list]], text: str = "text", keep: list[str] | None = None, most: int = BLOCK_BYTES) -> DataFrame:
     """df's columns in `keep` (all by default) and the new `fields`.
 
     `start()` runs once in each task and returns a function from a list of texts (bytes) to one list or array for
@@ -92,8 +126,8 @@ def add_columns(df: DataFrame, fields: list[tuple[str, str]], start: Callable[[]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            for part, texts in blocks(batch, text):
+            for part, texts in blocks(batch, text, most):
                 made = [pa.array(v, type=t) for v, t in zip(work(texts), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + made, names=names)
 
-    return frame.mapInArrow(run, schema)
+    return in_arrow(frame, run, schema)

@@ -10,14 +10,18 @@ _BYTE[[9, 10, 11, 12, 13, 32]] = 0
 _BASE = np.uint64(int(_RNG.integers(1, 2**62)) * 4 + 1)
 _MANY = _RNG.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = np.ones(1, np.uint64)
+_KEPT_POWERS = 1 << 16
 
 
 def _power(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
-        more = np.full(max(n, 64, 2 * len(_powers)), _BASE, np.uint64)
+        more = np.full(max(n, 4096), _BASE, np.uint64)
         more[0] = 1
-        _powers = np.cumprod(more, dtype=np.uint64)
+        more = np.cumprod(more, dtype=np.uint64)
+        if n > _KEPT_POWERS:  # of one very long word: not kept
+            return more
+        _powers = more
     return _powers
 
 

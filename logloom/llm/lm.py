@@ -58,7 +58,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     yield batch()
         yield batch()
 
-    return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return common.in_arrow(docs.select(text), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -134,7 +134,7 @@ def around_counts(docs: DataFrame, words: list[bytes], around: int, text: str =
         rows = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(list(total[rows]), pa.list_(pa.int64()))], names=["w", "n"])
 
-    parts = docs.select(text).mapInArrow(run, "w long, n array<long>")
+    parts = common.in_arrow(docs.select(text), run, "w long, n array<long>")
     summed = parts.groupBy("w").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(around)])
     out = np.zeros((len(words), around))
     for row in summed.collect():  # a row for each of the bounded words
@@ -261,7 +261,7 @@ def train(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Mod
         yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int64()), pa.array(n), pa.array(v)], names=["k", "n", "v"])
 
     n, v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for row in counts.select("word", "c").mapInArrow(classify, "k long, n long, v long").groupBy("k").agg(F.sum("n"), F.sum("v")).collect():
+    for row in common.in_arrow(counts.select("word", "c"), classify, "k long, n long, v long").groupBy("k").agg(F.sum("n"), F.sum("v")).collect():
         n[row[0]], v[row[0]] = row[1], row[2]
     prior = (n + 1) / (n + 1).sum()
     end = classes(END)
@@ -289,7 +289,7 @@ def train(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Mod
             yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int64()), pa.array(flat), pa.array([float(seen)] * len(flat))], names=["i", "x", "n"])
 
     # sums over tasks are rounded to a grid so that their order doesn't matter
-    rows = docs.select(text).mapInArrow(copies, "i long, x double, n double").groupBy("i").agg((F.sum(F.round("x", 3).cast("decimal(38,3)")).cast("double") / F.sum("n")).alias("x")).collect()
+    rows = common.in_arrow(docs.select(text), copies, "i long, x double, n double").groupBy("i").agg((F.sum(F.round("x", 3).cast("decimal(38,3)")).cast("double") / F.sum("n")).alias("x")).collect()
     net = start
     if rows:
         flat = np.zeros(len(rows))

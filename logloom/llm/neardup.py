@@ -105,7 +105,7 @@ def _likely(pairs: DataFrame, least: float) -> DataFrame:
                 found = likeliest(x, y, part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_numpy(zero_copy_only=False))
                 yield part.select(["a", "b"]).filter(pa.array(found >= least - MARGIN))
 
-    return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, schema)
+    return common.in_arrow(sized.select("a", "b", "na", "nb", "ra", "rb"), run, schema)
 
 
 def _confirmed(pairs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _confirmed(pairs: DataFrame, percent: int, width: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, schema)
+    return common.in_arrow(pairs.select("a", "b", "ta", "tb"), run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

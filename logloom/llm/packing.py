@@ -17,8 +17,12 @@ LENGTH = 2048
 SMALL = 256
 #: Groups of equal cardinality that large lengths are rounded up within.
 GROUPS = 96
-#: Words whose ids a worker remembers at most; then it starts anew.
-CACHE_WORDS = 500_000
+#: About so many bytes of words and ids are remembered by a worker within a task; then it keeps those of the last block.
+MEMO_BYTES = 24 << 20
+#: Bytes of texts that are encoded at once, and rows that are numbered by one task.
+ENCODE_BYTES, PART_ROWS = 1 << 20, 20_000
+#: Strings that the tokenizer takes for tokens of their own wherever they stand.
+_SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
 
 #: ASCII punctuation that never joins a run of letters before it (an apostrophe may).
@@ -31,7 +35,8 @@ class _Encoder:
 
     The vocabulary's pieces never span white space and never join a run of letters to punctuation other than an
     apostrophe, and upper and lower case have equal ids. So a text's ids are those of its words in a row, and each
-    distinct word, or run of letters, is encoded once in a worker.
+    distinct word, or run of letters, is encoded once while it is remembered. Texts that hold a special token's string,
+    in any case, go through the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -41,9 +46,16 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self, but: set[bytes] = frozenset()) -> None:
+        """Drops what is remembered, but for the given words."""
+        self.words: dict[bytes, bytes] = {w: self.words[w] for w in but} if but else {}
         self.runs: dict[str, bytes] = {"": b""}
+        self.held = sum(400 + 2 * (len(w) + len(ids)) for w, ids in self.words.items())
+
+    def _plain(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _each(self, runs: list[str]) -> None:
         for run, found in zip(runs, self.tokenizer.encode_batch_fast(runs, add_special_tokens=False), strict=True):
@@ -66,11 +78,13 @@ class _Encoder:
                 start = end
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.runs = {"": b""}
-        new = {w for words in split for w in words if w not in self.words}
+        lower = [t.lower() for t in texts]
+        whole = {i: self._plain(texts[i]) + b"\0\0\0\0" for i, t in enumerate(lower) if b"<|" in t and any(x in t for x in _SPECIAL)}
+        split = [() if i in whole else t.split() for i, t in enumerate(lower)]
+        used = set().union(*split)
+        new = used - self.words.keys()
+        if self.held > MEMO_BYTES:
+            self.forget(used - new)
         cut = {}
         letters, others = set(), set()
         for w in new:
@@ -89,19 +103,25 @@ class _Encoder:
         self._letters(list(letters))
         self._each(list(others))
         for w, (head, tail) in cut.items():
-            self.words[w] = self.runs[head] + self.runs[tail]
-        return [b"".join([*map(self.words.__getitem__, words), b"\0\0\0\0"]) for words in split]
+            ids = self.words[w] = self.runs[head] + self.runs[tail]
+            self.held += 400 + 2 * (len(w) + len(ids))
+        return [whole.get(i) or b"".join([*map(self.words.__getitem__, words), b"\0\0\0\0"]) for i, words in enumerate(split)]
 
 
 def _encoder(path: str) -> _Encoder:
-    """One for each worker process, which serves several tasks."""
+    """One for each worker process, which serves several tasks; a task starts without remembered words."""
     if path not in _encoders:
         _encoders[path] = _Encoder(path)
+    _encoders[path].forget()
     return _encoders[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each piece: id, piece, start, length, ids_crc32. Texts over `length` tokens are cut, others are whole."""
+    """One row for each piece: id, piece, start, length, ids_crc32. Texts over `length` tokens are cut, others are whole.
+
+    Null and empty texts are one piece with the closing id alone. Repeated rows, and rows without an id, have pieces of
+    their own; an empty table has none. Other columns, whatever their names, are left behind.
+    """
 
     def start():
         encode = _encoder(tokenizer)
@@ -116,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_column: str
 
         return work
 
-    sized = common.add_columns(docs, [("_sizes", "array<long>"), ("_sums", "array<long>")], start, text, [id_column])
+    sized = common.add_columns(docs, [("_sizes", "array<long>"), ("_sums", "array<long>")], start, text, [id_column], ENCODE_BYTES)
     each = sized.select(F.col(id_column), F.posexplode(F.arrays_zip("_sizes", "_sums")).alias("piece", "p"))
     return each.select(id_column, F.col("piece").cast("int").alias("piece"), (F.col("piece").cast("long") * length).alias("start"), F.col("p._sizes").alias("length"), F.col("p._sums").alias("ids_crc32"))
 
@@ -263,9 +283,9 @@ _PLAN = "length long, lo long, hi long, kind long, origin long, first long, slot
 def _numbered(df: DataFrame, by: str, counts: DataFrame, order: list[str], rank: str) -> DataFrame:
     """Adds the row's number from 0 among rows with equal `by`; a common value is numbered in parts and summed up.
 
-    counts: `by`, n. One part has about 100,000 rows, so neither a hot value nor the input's size makes a long task.
+    counts: `by`, n. One part has about PART_ROWS rows, so neither a hot value nor the input's size makes a long task.
     """
-    parts = df.join(F.broadcast(counts), by).withColumn("_part", F.pmod(F.xxhash64(*order), F.ceil(F.col("n") / 100_000)))
+    parts = df.join(F.broadcast(counts), by).withColumn("_part", F.pmod(F.xxhash64(*order), F.ceil(F.col("n") / PART_ROWS)))
     within = parts.withColumn("_in", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order)).cast("long") - 1)
     offsets = parts.groupBy(by, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells that a span of values is counted in at once, and ranges that are made at most.
+#: Cells that a span of values is counted in at once, and ranges that are made at most (the plan holds their cut points).
 CELLS = 2048
-MOST = 4096
+MOST = 1 << 15
 
 
 def cut_points(df: DataFrame, column: str, weight: str, target: int) -> list[int]:

@@ -159,7 +159,7 @@ def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5, id_co
                 at, number, words, score = zip(*found, strict=True) if found else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(words, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return docs.select(id_column, text).mapInArrow(run, schema)
+    return common.in_arrow(docs.select(id_column, text), run, schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

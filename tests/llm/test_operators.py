@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import math
 import zlib
@@ -400,7 +401,6 @@ def test_packing_is_whole_and_tight(spark, docs, texts):
 
     rows = packing.op9_best_fit_packing(spark, SF).toPandas()
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     want = set()
     for i, t in texts.items():
         ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
@@ -431,14 +431,19 @@ def test_packing_of_given_lengths(spark, sizes):
     assert packed.sequence_id.nunique() <= len(first_fit)
 
 
+def _names(manifest):
+    return sorted(tuple(r) for r in manifest.collect())
+
+
 def test_archives_are_whole_and_the_same_again(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     more = pages.unionByName(pages.limit(20).withColumn("page_id", F.col("page_id") + 100_000))
-    names = warc.write_warc(more, f"{tmp_path}/a", roll=20_000, shard_bytes=100_000)
-    again = warc.write_warc(more.repartition(7), f"{tmp_path}/b", roll=20_000, shard_bytes=100_000)
-    assert len(names) > 3 and names == again
-    for n in [*names, "manifest.json"]:
-        assert (tmp_path / "a" / n).read_bytes() == (tmp_path / "b" / n).read_bytes()
+    names = _names(warc.write_warc(more, f"{tmp_path}/a", roll=20_000, shard_bytes=100_000))
+    again = _names(warc.write_warc(more.repartition(7), f"{tmp_path}/b", roll=20_000, shard_bytes=100_000))
+    assert len(names) > 3 and names == again and sorted(p.name for p in tmp_path.glob("a/*.gz")) == [n[0] for n in names]
+    for n in names:
+        data = (tmp_path / "a" / n[0]).read_bytes()
+        assert data == (tmp_path / "b" / n[0]).read_bytes() and n[2:] == (len(data), hashlib.sha1(data).hexdigest())
     assert not (tmp_path / "a" / "_temporary").exists()
     got = {r.page: r for r in warc.read_warc(spark, f"{tmp_path}/a").collect()}
     first = {}
@@ -454,18 +459,54 @@ def test_archives_are_whole_and_the_same_again(spark, tmp_path):
             assert (found.record_type, found.refers_to, bytes(found.payload)) == ("response", None, payload)
 
 
+def _independent(path):
+    """Records by the letter of the format: (type, id, refers-to id, HTTP status line, payload)."""
+    data, out = gzip.open(path).read(), []
+    while data:
+        head, data = data.split(b"\r\n\r\n", 1)
+        fields = {k.lower(): v for k, v in (x.split(": ", 1) for x in head.decode().split("\r\n")[1:])}
+        block, data = data[: int(fields["content-length"])], data[int(fields["content-length"]) :]
+        assert data[:4] == b"\r\n\r\n" and fields["content-type"] == "application/http;msgtype=response"
+        http, payload = block.split(b"\r\n\r\n", 1)
+        out.append((fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"), http.split(b"\r\n")[0], payload))
+        data = data[4:]
+    return out
+
+
+def test_archives_by_an_independent_reader(spark, folder, tmp_path):
+    pages = spark.read.parquet(f"{folder}/odd/pages.parquet")
+    warc.write_warc(pages.unionByName(pages), f"{tmp_path}/w", shard_bytes=1000)
+    found = [r for p in sorted(tmp_path.glob("w/*.gz")) for r in _independent(p)]
+    assert len(found) == 14 == len({r[1] for r in found})
+    stored = {r[1] for r in found if r[0] == "response"}
+    assert {r[0] for r in found} == {"response", "revisit"} and all(r[2] in stored and not r[4] for r in found if r[0] == "revisit")
+    assert {r[3] for r in found} == {b"HTTP/1.1 200 OK"} and {r[4] for r in found if r[0] == "response"} == {b"<p>same</p>", b"", "é".encode() * 300_000}
+
+
 def test_archives_of_odd_pages(spark, folder):
     got = sorted((r.page_id if r.page_id is not None else -1, r.record_type, r.refers_to, r.payload_bytes) for r in warc.op10_warc(spark, f"{folder}/odd").collect())
-    assert got == [(-1, "response", None, 11), (1, "response", None, 11), (2, "revisit", 1, 11), (3, "response", None, 0), (4, "revisit", 3, 0), (5, "response", None, 600_000), (5, "response", None, 600_000)]
+    assert got == [(-1, "response", None, 11), (1, "response", None, 11), (2, "revisit", 1, 11), (3, "response", None, 0), (4, "revisit", 3, 0), (5, "response", None, 600_000), (5, "revisit", 5, 600_000)]
 
 
-def test_damaged_archives_are_told(spark):
+def test_damaged_archives_are_told():
     good = warc.record("1", "http://a", b"body", warc.base32_sha1(b"body"), None)
-    assert [b for _, b in warc.records(good)] == [b"body"]
+    assert [p for _, _, p in warc.records(good)] == [b"body"]
     with pytest.raises((ValueError, zlib.error)):
         list(warc.records(good[:-9]))
 
 
+def test_special_strings_are_tokens_as_in_the_library(spark):
+    pytest.importorskip("tokenizers")
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "A<|startoftext|>B <|ENDOFTEXT|> c", "<|EndOfText|>", "x <| endoftext |>", "", None, "plain words, it's"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(frame, packing.default_tokenizer()).collect()}
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    want = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)}
+
+
 def test_pieces_of_odd_documents(spark, folder, odd):
     rows = packing.op9_best_fit_packing(spark, f"{folder}/odd").toPandas()
     _check_packed(rows)
