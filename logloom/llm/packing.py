@@ -17,16 +17,16 @@ LENGTH = 2048
 SMALL = 256
 #: Groups of equal cardinality that large lengths are rounded up within.
 GROUPS = 96
-#: About so many bytes of words and ids are remembered by a worker within a task; then it keeps those of the last block.
-MEMO_BYTES = 24 << 20
-#: Bytes of texts that are encoded at once, and rows that are numbered by one task.
-ENCODE_BYTES, PART_ROWS = 1 << 20, 20_000
+#: About so many bytes of words and ids are remembered by a worker; then it keeps those of the last block only.
+MEMO_BYTES = 64 << 20
+#: Rows that are numbered by one task.
+PART_ROWS = 20_000
 #: Strings that the tokenizer takes for tokens of their own wherever they stand.
 _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
 
 #: ASCII punctuation that never joins a run of letters before it (an apostrophe may).
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _encoders: dict[str, object] = {}
 
 
@@ -51,21 +51,29 @@ class _Encoder:
     def forget(self, but: set[bytes] = frozenset()) -> None:
         """Drops what is remembered, but for the given words."""
         self.words: dict[bytes, bytes] = {w: self.words[w] for w in but} if but else {}
-        self.runs: dict[str, bytes] = {"": b""}
-        self.held = sum(400 + 2 * (len(w) + len(ids)) for w, ids in self.words.items())
+        self.words[b""] = b""
+        self.held = sum(map(self._size, self.words.items()))
+
+    @staticmethod
+    def _size(item: tuple[bytes, bytes]) -> int:
+        return 190 + len(item[0]) + len(item[1])
 
     def _plain(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _each(self, runs: list[str]) -> None:
-        for run, found in zip(runs, self.tokenizer.encode_batch_fast(runs, add_special_tokens=False), strict=True):
-            self.runs[run] = np.array(found.ids, "<u4").tobytes()
+    def _remember(self, word: bytes, ids: bytes) -> None:
+        self.words[word] = ids
+        self.held += self._size((word, ids))
+
+    def _each(self, runs: list[bytes]) -> None:
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in runs], add_special_tokens=False), strict=True):
+            self._remember(run, np.array(found.ids, "<u4").tobytes())
 
-    def _letters(self, runs: list[str]) -> None:
+    def _letters(self, runs: list[bytes]) -> None:
         """Runs of letters, many at a time; each is one word of the tokenizer (or else they are encoded one by one)."""
         for i in range(0, len(runs), 2000):
             part = runs[i : i + 2000]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
             owner = np.array(found.word_ids, np.int64)
             ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
             if len(ends) != len(part):
@@ -74,7 +82,7 @@ class _Encoder:
             ids = np.array(found.ids, "<u4").tobytes()
             start = 0
             for run, end in zip(part, (ends * 4).tolist(), strict=True):
-                self.runs[run] = ids[start:end]
+                self._remember(run, ids[start:end])
                 start = end
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
@@ -88,31 +96,28 @@ class _Encoder:
         cut = {}
         letters, others = set(), set()
         for w in new:
-            word = w.decode("utf-8", "replace")
-            head = word.rstrip(_TAIL)
-            if head.isalpha():
-                tail = word[len(head) :]
-                if head not in self.runs:
+            head = w.rstrip(_TAIL)
+            if (head.isalpha() if head.isascii() else head.decode("utf-8", "replace").isalpha()):
+                if head not in self.words:
                     letters.add(head)
-                if tail not in self.runs:
-                    others.add(tail)
-                cut[w] = (head, tail)
+                if head != w:
+                    tail = w[len(head) :]
+                    if tail not in self.words:
+                        others.add(tail)
+                    cut[w] = (head, tail)
             else:
-                others.add(word)
-                cut[w] = (word, "")
+                others.add(w)
         self._letters(list(letters))
         self._each(list(others))
         for w, (head, tail) in cut.items():
-            ids = self.words[w] = self.runs[head] + self.runs[tail]
-            self.held += 400 + 2 * (len(w) + len(ids))
+            self._remember(w, self.words[head] + self.words[tail])
         return [whole.get(i) or b"".join([*map(self.words.__getitem__, words), b"\0\0\0\0"]) for i, words in enumerate(split)]
 
 
 def _encoder(path: str) -> _Encoder:
-    """One for each worker process, which serves several tasks; a task starts without remembered words."""
+    """One for each worker process, which serves several tasks; what it remembers is bounded."""
     if path not in _encoders:
         _encoders[path] = _Encoder(path)
-    _encoders[path].forget()
     return _encoders[path]
 
 
@@ -136,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_column: str
 
         return work
 
-    sized = common.add_columns(docs, [("_sizes", "array<long>"), ("_sums", "array<long>")], start, text, [id_column], ENCODE_BYTES)
+    sized = common.add_columns(docs, [("_sizes", "array<long>"), ("_sums", "array<long>")], start, text, [id_column])
     each = sized.select(F.col(id_column), F.posexplode(F.arrays_zip("_sizes", "_sums")).alias("piece", "p"))
     return each.select(id_column, F.col("piece").cast("int").alias("piece"), (F.col("piece").cast("long") * length).alias("start"), F.col("p._sizes").alias("length"), F.col("p._sums").alias("ids_crc32"))
 
