@@ -200,7 +200,7 @@ def test_base_scores_and_model(spark, docs, texts):
 
 def test_size_of_the_model():
     net = lm.LogBilinear.fresh(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    assert net.R.shape == net.Q.shape == (128, 24) and net.C.shape == (4, 24)
+    assert net.R.shape == net.Q.shape == (lm.CLASSES, lm.DIMENSIONS) == (128, 24) and net.C.shape == (4, 24)
 
 
 def test_log_bilinear_is_normalised():
@@ -210,6 +210,34 @@ def test_log_bilinear_is_normalised():
     assert np.allclose(total, 1, atol=1e-5)
 
 
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch, docs, texts):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)
+    one, eight = (lm.train(docs.repartition(n, "text")) for n in (1, 8))
+    assert (one.net.R == eight.net.R).all() and (one.within.Q == eight.within.Q).all()
+    a, b = ({r.doc_id: r.score for r in lm.score(docs.repartition(n), one).collect()} for n in (1, 8))
+    assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-6) for i in a)
+    # token by token: the next word's chance by the book
+    counts = collections.Counter(w for t in texts.values() for w in [*t.encode().lower().split(), b""])
+    code, k = lm.Codes([w for w, _ in one.ranked]), one.classes
+    some = [i for i in texts if 3 < len(texts[i].split()) < 40][:5]
+    for i in some:
+        total, before = 0.0, [one.end] * lm.CONTEXT
+        for w in [*texts[i].encode().lower().split(), b""]:
+            c = code[w]
+            r = sum(one.net.C[j] * one.net.R[k.context[before[-1 - j]]] for j in range(lm.CONTEXT))
+            z = np.exp(one.net.Q @ r + one.net.b)
+            p = z[k.of[c]] / z.sum()
+            lo, hi = k.first[k.of[c]], k.first[k.of[c] + 1]
+            z = np.exp(one.within.Q[lo:hi] @ r + one.within.b[lo:hi])
+            p *= z[k.entry[c] - lo] / z.sum()
+            if c >= min(lm.CLUSTERED, len(one.ranked)):
+                others = [x for x in counts if code[x] >= min(lm.CLUSTERED, len(one.ranked)) and k.entry[code[x]] == k.entry[c]]
+                p *= (counts[w] + 1) / (sum(counts[x] for x in others) + len(others) + 1)
+            total += math.log10(p)
+            before.append(c)
+        assert math.isclose(total, a[i], rel_tol=1e-4)
+
+
 def test_noise_contrast_learns_what_follows():
     y = np.tile(np.arange(4), 4000)
     x = np.stack([np.roll(y, j + 1) for j in range(lm.CONTEXT)], 1)
@@ -226,7 +254,7 @@ def test_rare_words_are_joined(spark, monkeypatch, docs, few):
     small = docs.limit(30)
     model = lm.train(small)
     told = {r.doc_id: r for r in lm.score(small, model).collect()}
-    assert len(model.hot) <= few and all(r.n_known == r.n_tokens for r in told.values())
+    assert len(model.hot) <= few and all(math.isfinite(r.score) for r in told.values()) and all(r.n_known == r.n_tokens for r in told.values())
 
 
 def test_repetition_counts(spark, docs, texts):
