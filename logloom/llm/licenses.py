@@ -60,38 +60,91 @@ def _pairs(words: Column) -> Column:
     return F.array_distinct(both)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each unit that matches a template, with the best of them: id, unit (line, paragraph or text), place (its number from 1), license, dice.
+#: Words that say little: bigrams and words without them are chosen as anchors first.
+COMMON = frozenset("a an and any are as at be by can for from in is it its may no not of on or s such that the this to under with work you your".split())
+
+
+def needed(size: int, least: float = LEAST) -> int:
+    """So many of a template's distinct bigrams that a unit with a coefficient of `least` holds at least one of them.
+
+    With s of the template's m bigrams and n >= s of its own, 2 s / (n + m) >= least needs s >= m * least / (2 - least).
+    """
+    return min(size, int(size * (1 - least / (2 - least)) + 1e-9) + 1)
+
+
+def anchors(text: str, least: float = LEAST) -> list[tuple[str, int]]:
+    """(bigram, place of its first word in the template) of the `needed` bigrams that are likely to be the rarest."""
+    words = normal_words(text)
+    first: dict[str, int] = {}
+    for i, (x, y) in enumerate(zip(words, words[1:], strict=False)):
+        first.setdefault(f"{x} {y}", i)
+    dull = lambda g: sum(w in COMMON for w in g.split())
+    return sorted(first.items(), key=lambda x: (dull(x[0]), -len(x[0]), x[1]))[: needed(len(first), least)]
 
-    Units are the lines of a text, its paragraphs (between blank lines, when they have several lines) and the whole text.
-    A unit with n distinct bigrams is compared only with templates of m where n and m allow `least` at all, that is
-    n <= m * (2 - least) / least and the other way round; all of a row's work stays in the row. Null and empty texts,
-    and units without two words, match nothing. Equal rows give equal rows.
+
+def anchor_words(templates: dict[str, str], least: float = LEAST) -> list[str]:
+    """Words of which a text holds one if any unit of it matches: of each anchor the one that is likely to be rarer."""
+    rarer = lambda g: max(g.split(), key=lambda w: (w not in COMMON, len(w), w))
+    return sorted({rarer(g) for t in templates.values() for g, _ in anchors(t, least)})
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each unit that matches a template, with the best of them: id, unit (line, paragraph, text or window), place (its number from 1), license, dice.
+
+    Units are the lines of a text, its paragraphs (between blank lines, when they have several lines), the whole text, and
+    windows of as many words as a template has, from every word on (place: its number) that puts one of the template's anchors in
+    its own place: these find a licence that stands among other lines, paragraphs or words. Windows of a template are
+    told where no other unit of the text matches it; of overlapping ones the best, of equal ones the first. A unit with
+    n distinct bigrams is compared only with templates of m where n and m allow `least` at all, that is n <= m * (2 - least) / least
+    and the other way round. A text without any of the `anchor_words` can't hold a match and is left early. All of a
+    row's work stays in the row. Null and empty texts, and units without two words, match nothing. Equal rows give equal
+    rows; an empty table gives none; other columns, whatever their names, are left behind.
     """
     sizes = {k: len(bigrams(t)) for k, t in templates.items()}
     reach = (2 - least) / least
     low, high = min(sizes.values()) / reach, max(sizes.values()) * reach
+    listed = lambda words: F.split(F.lit("|".join(words)), r"\|")  # noqa: E731  one literal, folded to an array once
+    grams = {k: listed(sorted(f"{a} {b}" for a, b in bigrams(t))).alias("g") for k, t in templates.items()}
     value = F.coalesce(F.col(text), F.lit(""))
-    lines, paragraphs = F.split(value, "\n"), F.split(value, r"\n[ \t\r]*\n")
+    lone = docs.select(F.col(id_column), value.alias("value"), _words(value).alias("w"))
+    held = lone.filter(F.arrays_overlap("w", listed(anchor_words(templates, least))))
+
+    lines, paragraphs = F.split("value", "\n"), F.split("value", r"\n[ \t\r]*\n")
     kind = lambda name, units: F.transform(units, lambda u, i: F.struct(F.lit(name).alias("unit"), (i + 1).alias("place"), u.alias("s")))
     several = F.filter(kind("paragraph", paragraphs), lambda u: F.instr(u["s"], "\n") > 0)
-    whole = F.when(F.size(lines) > 1, kind("text", F.array(value))).otherwise(kind("text", F.array(value.substr(F.lit(1), F.lit(0)))))
+    whole = F.when(F.size(lines) > 1, kind("text", F.array("value"))).otherwise(kind("text", F.array(F.substring("value", 1, 0))))
     # characters bound words and so bigrams: a unit with m bigrams has at least 2m + 1 characters
     units = F.filter(F.concat(kind("line", lines), several, whole), lambda u: F.length(u["s"]) > 2 * low)
-    found = docs.select(F.col(id_column), F.explode(units).alias("u")).select(id_column, F.col("u.unit").alias("unit"), F.col("u.place").alias("place"), _words(F.col("u.s")).alias("w"))
-    # more words than bigrams of the largest template may come from repetition only; their distinct bigrams decide
-    paired = found.filter(F.size("w") > low).withColumn("b", let(F.col("w"), _pairs))
-    known = F.array(*[F.struct(F.lit(k).alias("license"), F.split(F.lit("|".join(f"{a} {b}" for a, b in sorted(bigrams(t)))), r"\|").alias("g")) for k, t in sorted(templates.items())])
+    dice = lambda b, g: 2 * F.size(F.array_intersect(b, g)) / (F.size(b) + F.size(g))
+
+    # units: the best of the templates that match (of equal ones the last name)
+    known = F.array(*[F.struct(F.lit(k).alias("license"), g) for k, g in sorted(grams.items())])
 
     def compared(b: Column) -> Column:
         fits = lambda t: (F.size(t["g"]) <= F.size(b) * reach + 1e-9) & (F.size(b) <= F.size(t["g"]) * reach + 1e-9)
-        dice = lambda t: F.struct((2 * F.size(F.array_intersect(b, t["g"])) / (F.size(b) + F.size(t["g"]))).alias("dice"), t["license"].alias("license"))
-        # the best of the templates that match (of equal ones the last name)
+        told = lambda t: F.struct(dice(b, t["g"]).alias("dice"), t["license"].alias("license"))
         some = (F.size(b) >= low) & (F.size(b) <= high)
-        return F.array_max(F.when(some, F.filter(F.transform(F.filter(known, fits), dice), lambda t: t["dice"] >= least)))
+        return F.array_max(F.when(some, F.filter(F.transform(F.filter(known, fits), told), lambda t: t["dice"] >= least)))
 
+    found = held.select(id_column, F.explode(units).alias("u")).select(id_column, F.col("u.unit").alias("unit"), F.col("u.place").alias("place"), _words(F.col("u.s")).alias("w"))
+    paired = found.filter(F.size("w") > low).withColumn("b", let(F.col("w"), _pairs))
     matched = paired.select(id_column, "unit", "place", let(F.col("b"), compared).alias("m")).filter("m IS NOT NULL")
-    return matched.select(id_column, "unit", "place", F.col("m.license").alias("license"), F.col("m.dice").alias("dice"))
+    matched = matched.select(id_column, "unit", "place", F.col("m.license").alias("license"), F.col("m.dice").alias("dice"))
+
+    # windows: a row for each text and template with a common anchor
+    placed = F.array(*[F.struct(F.lit(k).alias("license"), grams[k], listed([g for g, _ in anchors(t, least)]).alias("anchors"), F.from_json(F.lit(str([i for _, i in anchors(t, least)])), "array<int>").alias("at"), F.lit(len(normal_words(t))).alias("words")) for k, t in sorted(templates.items())])
+    all_pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get("w", i + 1)))
+    near = held.select(id_column, "value", "w", F.explode(let(all_pairs, lambda p: F.transform(F.filter(placed, lambda t: F.arrays_overlap(p, t["anchors"])), lambda t: F.struct(t.alias("t"), p.alias("pairs"))))).alias("x"))
+    near = near.select(id_column, "value", "w", "x.t.*", "x.pairs")
+    start = lambda b, i: let(F.array_position("anchors", b), lambda p: F.when(p > 0, F.greatest(i - F.get("at", (p - 1).cast("int")), F.lit(0))))
+    starts = near.withColumn("starts", F.array_distinct(F.filter(F.transform("pairs", start), lambda i: i.isNotNull()))).drop("pairs")
+    made = F.transform("starts", lambda i: F.struct(let(_pairs(F.slice("w", i + 1, F.col("words"))), lambda b: dice(b, F.col("g"))).alias("dice"), (-i).alias("before")))
+    told = starts.withColumn("made", F.filter(made, lambda x: x["dice"] >= least)).filter(F.size("made") > 0)
+    told = told.filter(~F.exists(units, lambda u: let(_pairs(_words(u["s"])), lambda b: (F.size(b) > 0) & (dice(b, F.col("g")) >= least))))
+    better = lambda x, y: (F.abs(x["before"] - y["before"]) < F.col("words")) & (y > x)
+    best = F.filter("made", lambda x: ~F.exists("made", lambda y: better(x, y)))
+    windows = told.select(id_column, "license", F.explode(best).alias("m")).select(id_column, F.lit("window").alias("unit"), (1 - F.col("m.before")).alias("place"), "license", "m.dice")
+    return matched.unionByName(windows)
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +153,12 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sql() -> str:
-    rows = ", ".join(f"('{k}', [{', '.join(repr(f'{a} {b}') for a, b in sorted(bigrams(t)))}])" for k, t in sorted(TEMPLATES.items()))
+    listed = lambda words: f"[{', '.join(map(repr, words))}]"
+    rows = ", ".join(f"('{k}', {listed(sorted(f'{a} {b}' for a, b in bigrams(t)))}, {len(normal_words(t))})" for k, t in sorted(TEMPLATES.items()))
+    anchored = ", ".join(f"('{k}', '{g}', {i})" for k, t in sorted(TEMPLATES.items()) for g, i in anchors(t))
     return f"""
-WITH templates(license, g) AS (VALUES {rows}),
+WITH templates(license, g, words) AS (VALUES {rows}),
+anchors(license, pair, offs) AS (VALUES {anchored}),
 parts AS (
   SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS lines,
          string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n') AS paragraphs FROM documents),
@@ -113,7 +169,16 @@ units AS (
 worded AS (SELECT doc_id, unit, place, regexp_extract_all(lower(s), '[a-z0-9]+') AS w FROM units),
 paired AS (SELECT doc_id, unit, place, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM worded WHERE len(w) > 1),
 dices AS (SELECT doc_id, unit, place, license, 2.0 * len(list_intersect(b, g)) / (len(b) + len(g)) AS dice FROM paired, templates
-          WHERE len(b) * {LEAST} <= len(g) * {2 - LEAST} AND len(g) * {LEAST} <= len(b) * {2 - LEAST})
-SELECT doc_id, unit, place::BIGINT AS place, max_by(license, (dice, license)) AS license, round(max(dice), 6) AS dice
-FROM dices WHERE dice >= {LEAST} GROUP BY doc_id, unit, place
+          WHERE len(b) * {LEAST} <= len(g) * {2 - LEAST} AND len(g) * {LEAST} <= len(b) * {2 - LEAST}),
+found AS (SELECT doc_id, unit, place, max_by(license, (dice, license)) AS license, max(dice) AS dice FROM dices WHERE dice >= {LEAST} GROUP BY doc_id, unit, place),
+texts AS (SELECT doc_id, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM parts),
+pairs AS (SELECT doc_id, i - 1 AS i, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM texts)),
+starts AS (SELECT DISTINCT doc_id, license, greatest(i - offs, 0) AS start FROM pairs JOIN anchors USING (pair)),
+cut AS (SELECT doc_id, license, start, words, g, list_slice(w, start + 1, start + words) AS w FROM starts JOIN texts USING (doc_id) JOIN templates USING (license)
+        WHERE NOT EXISTS (SELECT 1 FROM dices f WHERE f.dice >= {LEAST} AND f.doc_id = starts.doc_id AND f.license = starts.license)),
+spans AS (SELECT doc_id, license, start, words, g, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM cut),
+windows AS (SELECT * FROM (SELECT doc_id, license, start, words, 2.0 * len(list_intersect(b, g)) / (len(b) + len(g)) AS dice FROM spans) WHERE dice >= {LEAST})
+SELECT doc_id, unit, place::BIGINT AS place, license, round(dice, 6) AS dice FROM found
+UNION ALL SELECT doc_id, 'window', (start + 1)::BIGINT, license, round(dice, 6) FROM windows x
+WHERE NOT EXISTS (SELECT 1 FROM windows y WHERE y.doc_id = x.doc_id AND y.license = x.license AND abs(x.start - y.start) < x.words AND (y.dice > x.dice OR (y.dice = x.dice AND y.start < x.start)))
 """
