@@ -72,20 +72,32 @@ def needed(size: int, least: float = LEAST) -> int:
     return min(size, int(size * (1 - least / (2 - least)) + 1e-9) + 1)
 
 
+def rare_words(text: str, least: float = LEAST) -> list[str]:
+    """Words, the longest first, that stand in `needed` of a template's bigrams at least: a unit that matches holds one of them."""
+    own = bigrams(text)
+    out: list[str] = []
+    covered: set[tuple[str, str]] = set()
+    for w in sorted(set(normal_words(text)), key=lambda w: (w in COMMON, -len(w), w)):
+        if len(covered) >= needed(len(own), least):
+            break
+        out.append(w)
+        covered |= {g for g in own if w in g}
+    return out
+
+
 def anchors(text: str, least: float = LEAST) -> list[tuple[str, int]]:
-    """(bigram, place of its first word in the template) of the `needed` bigrams that are likely to be the rarest."""
-    words = normal_words(text)
+    """(bigram, place of its first word in the template) of the bigrams with a rare word."""
+    words, rare = normal_words(text), set(rare_words(text, least))
     first: dict[str, int] = {}
     for i, (x, y) in enumerate(zip(words, words[1:], strict=False)):
-        first.setdefault(f"{x} {y}", i)
-    dull = lambda g: sum(w in COMMON for w in g.split())
-    return sorted(first.items(), key=lambda x: (dull(x[0]), -len(x[0]), x[1]))[: needed(len(first), least)]
+        if x in rare or y in rare:
+            first.setdefault(f"{x} {y}", i)
+    return list(first.items())
 
 
 def anchor_words(templates: dict[str, str], least: float = LEAST) -> list[str]:
-    """Words of which a text holds one if any unit of it matches: of each anchor the one that is likely to be rarer."""
-    rarer = lambda g: max(g.split(), key=lambda w: (w not in COMMON, len(w), w))
-    return sorted({rarer(g) for t in templates.values() for g, _ in anchors(t, least)})
+    """Words of which a text holds one if any unit of it matches."""
+    return sorted({w for t in templates.values() for w in rare_words(t, least)})
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, id_column: str = "doc_id", text: str = "text") -> DataFrame:
