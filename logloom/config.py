@@ -28,8 +28,8 @@ STACKS = {
 
 def java(pattern: str, anchored: bool = False) -> str:
     """A Python regular expression for Spark's Java dialect: group names, and the start of the text when `anchored`."""
-    pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
-    pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m[1].replace('_', '')}>", pattern)
+    pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', 'x5F')}>", pattern)
+    pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m[1].replace('_', 'x5F')}>", pattern)
     return rf"\A(?:{pattern})" if anchored else pattern
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 # Words and patterns that results depend on.
 LEVELS = r"(?i)\b(TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL)\b"
 SIGNATURE = r"""[0-9a-fA-F]{4,}|\d{4}-\d{2}-\d{2}[T_][\d:.]+Z?|\d+|"[^"]*"|'[^']*'|\s+"""
-SECRET = r"(^|[^A-Za-z0-9_])(?:dtn_|nvapi-|sk-|ghp_)[A-Za-z0-9_\-]+"
-SENSITIVE_KEYS = ["token", "secret", "password", "api_key", "apikey", "authorization"]
+SECRET = r"(?<![A-Za-z0-9_])(?:dtn_|nvapi-|sk-|ghp_)[A-Za-z0-9_\-]{3,}"
+SENSITIVE_KEYS = ["authorization", "api_key", "token", "bearer", "connection_string"]
 ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
 SYMBOLS = r"[=:/\-#@]"
 
@@ -40,9 +40,15 @@ def signature(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SIGNATURE, " "))
 
 
-def redacted(text: Column, mask: str = "[redacted]") -> Column:
-    """Tokens with a known secret prefix, when something else stands before them, as a mask."""
-    return F.regexp_replace(text, SECRET, "$1" + mask)
+def redacted(text: Column, mask: str = "[REDACTED]") -> Column:
+    """Tokens with a known secret prefix and 3 characters or more behind it, where no word character stands before, as a mask."""
+    return F.regexp_replace(text, SECRET, mask)
+
+
+def redacted_json(text: Column, mask: str = "[REDACTED]") -> Column:
+    """JSON text with the plain values (strings, numbers, true, false, null) of SENSITIVE_KEYS masked at any depth, and secrets elsewhere."""
+    value = r"""("(?:[^"\\]|\\.)*"|[-+.\w]+)"""
+    return redacted(F.regexp_replace(text, rf"""(?i)("(?:{"|".join(SENSITIVE_KEYS)})"\s*:\s*){value}""", f'$1"{mask}"'), mask)
 
 
 def matches_any(text: Column, patterns: list[str]) -> Column:

@@ -59,10 +59,11 @@ def edges(found: DataFrame) -> DataFrame:
     return step.unionByName(fall)
 
 
-def contracted(found: DataFrame, links: DataFrame, known: DataFrame, shortest: int = 4, most: int = 64) -> tuple[DataFrame, DataFrame]:
+def contracted(found: DataFrame, links: DataFrame, known: DataFrame, shortest: int = 4) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without calls of short or unknown names; edges through dropped nodes are bridged as `next`.
 
-    Chains of dropped nodes are followed a node at a time for all functions at once, until none is left.
+    Chains of dropped nodes are followed a node at a time for all functions at once, until none is left; a node on a cycle of
+    dropped ones is passed once for each source.
     """
     name = F.element_at(F.split(F.coalesce("call_target", F.lit("")), r"\."), -1)
     named = found.withColumn("_n", name).join(known.select(F.col("name").alias("_n"), F.lit(True).alias("_k")).distinct(), "_n", "left")
@@ -70,16 +71,19 @@ def contracted(found: DataFrame, links: DataFrame, known: DataFrame, shortest: i
     gone = named.filter(drop).select("fid", F.col("node_id").alias("x"))
     stay = named.filter(~drop).drop("_n", "_k")
     open_ = links.select("fid", "src", "dst", "edge_type")
-    done = None
-    for _ in range(most):
+    done = seen = None
+    while True:
         hits = open_.join(gone, (open_["fid"] == gone["fid"]) & (open_["dst"] == gone["x"]), "left").select(open_["fid"], "src", "dst", "edge_type", "x")
         fine = hits.filter("x IS NULL").drop("x")
         done = fine if done is None else done.unionByName(fine)
         through = hits.filter("x IS NOT NULL").select("fid", "src", F.col("x").alias("m"))
         on = links.select("fid", F.col("src").alias("m"), "dst")
-        open_ = _written(through.join(on, ["fid", "m"]).select("fid", "src", "dst", F.lit("next").alias("edge_type")).distinct())
+        new = through.join(on, ["fid", "m"]).select("fid", "src", "dst", F.lit("next").alias("edge_type")).distinct()
+        open_ = _written(new if seen is None else new.join(seen, ["fid", "src", "dst"], "left_anti"))
         if open_.isEmpty():
             break
+        pairs = open_.select("fid", "src", "dst")
+        seen = pairs if seen is None else _written(seen.unionByName(pairs))
     bridged = done.join(gone, (done["fid"] == gone["fid"]) & (done["src"] == gone["x"]), "left_anti").distinct()
     return stay, bridged
 

@@ -28,7 +28,7 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = CHUNK, stride: int
 def top_k(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, key, score, rank of the k nearest of all vectors for each query (query_id, qvec); best chunk per key.
 
-    The queries are a stated few and are sent to every task; each task keeps its own k best before anything is shuffled.
+    The queries are a stated few and are sent to every task; scores are put together by query and key before they are ranked.
     """
     scored = vectors.crossJoin(F.broadcast(query)).select("query_id", key, dot(F.col("qvec"), F.col(embedding)).alias("score"))
     best = scored.groupBy("query_id", key).agg(F.max("score").alias("score"))
@@ -38,7 +38,7 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", emb
 
 def fused(lanes: DataFrame, k: int, key: str = "fid") -> DataFrame:
     """key, rrf, lanes, best, best_lane of ranked hits (lane, key, score, rank from 1): sum of 1 / (60 + rank)."""
-    out = lanes.groupBy(key).agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("rrf"), F.count("*").alias("lanes"), F.max("score").alias("best"), F.max_by("lane", "score").alias("best_lane"), F.min(F.col("lane") * 1000 + F.col("rank")).alias("_first"))
+    out = lanes.groupBy(key).agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("rrf"), F.count("*").alias("lanes"), F.max("score").alias("best"), F.max_by("lane", "score").alias("best_lane"), F.min(F.struct("lane", "rank")).alias("_first"))
     return out.orderBy(F.desc(F.round("rrf", 12)), "_first").limit(k).drop("_first")
 
 

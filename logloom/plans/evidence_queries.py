@@ -124,9 +124,13 @@ def q_fold_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    import tempfile
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
+        folder = tempfile.mkdtemp(prefix="spark-streams-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -148,7 +152,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '(^|[^A-Za-z0-9_])(?:dtn_|nvapi-|sk-|ghp_)[A-Za-z0-9_\\-]+', '\\1[redacted]', 'g')) AS md5 FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(text, '(^|[^A-Za-z0-9_])(?:dtn_|nvapi-|sk-|ghp_)[A-Za-z0-9_\\-]{3,}', '\\1[REDACTED]', 'g')) AS md5 FROM documents")
 def q_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(fn.redacted(F.col("text"))).alias("md5"))
 

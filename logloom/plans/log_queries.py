@@ -39,9 +39,13 @@ def q_entry_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.groupBy("doc_id", "entry_id").agg(F.min("line_no").alias("line_number"), F.max("line_no").alias("line_end"), F.sum(F.length("line")).alias("n_chars"))
 
 
-@query(f"WITH {LINES} SELECT {LEVEL} AS level, count(*) AS n, count(DISTINCT doc_id) AS docs FROM lines GROUP BY 1")
+SAID = "CASE event_type WHEN 'error' THEN 'at 9 ERROR ' WHEN 'view' THEN 'Warning: ' WHEN 'click' THEN '[debug] errors ' WHEN 'signup' THEN 'x Fatal,critical ' ELSE 'informed ' END || props"
+
+
+@query(f"WITH e AS (SELECT user_id, {SAID} AS line FROM events) SELECT {LEVEL} AS level, count(*) AS n, count(DISTINCT user_id) AS users FROM e GROUP BY 1")
 def q_level_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_of(spark, sf_dir).groupBy(fn.level(F.col("line")).alias("level")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    e = table(spark, sf_dir, "events").select("user_id", F.expr(SAID).alias("line"))
+    return e.groupBy(fn.level(F.col("line")).alias("level")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
 @query("""WITH l AS (SELECT event_id, CASE WHEN value > 20 THEN '2024-01-01 10:00:00 [t' || user_id || '] ' || event_type || ' : ' || props ELSE '2024-01-01 10:00:00 at ' || event_type || ' - ' || props END AS line, props FROM events)
@@ -212,7 +216,12 @@ def q_owned_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.owned(e, spark.createDataFrame([(7, "Purchase")], "fid bigint, name string"), "entry_idx", "fid", "function", "bad")
 
 
-@query(f"WITH {FAULTS}, e AS (SELECT * FROM faults WHERE is_error) SELECT count(*) AS errors, count(DISTINCT fid) AS roots, false AS obvious, 0.0::DOUBLE AS confidence, NULL::BIGINT AS root FROM e")
+@query(f"""WITH {FAULTS}, e AS (SELECT *, CASE WHEN value > 1 THEN 1 ELSE 2 END AS tier FROM faults WHERE is_error),
+sums AS (SELECT grp, count(*) AS errors, count(DISTINCT fid) AS roots, bool_and(tier = 1) AS certain, min(fid) AS first FROM (SELECT 'all' AS grp, * FROM e UNION ALL SELECT 'one', * FROM e WHERE fid = (SELECT min(fid) FROM e WHERE value > 1) AND value > 1) GROUP BY grp)
+SELECT grp, errors, roots, certain AND roots = 1 AS obvious, CASE WHEN certain AND roots = 1 THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN certain AND roots = 1 THEN first END AS root FROM sums""")
 def q_obvious_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = faults_of(spark, sf_dir).filter("is_error").withColumn("tier", F.when(F.col("value") > 10, 1).otherwise(2))
-    return cluster.obvious_cause(errors, "tier", "fid").withColumn("confidence", F.col("confidence").cast("double"))
+    errors = faults_of(spark, sf_dir).filter("is_error").withColumn("tier", F.when(F.col("value") > 1, 1).otherwise(2))
+    least = errors.filter("tier = 1").agg(F.min("fid").alias("fid"))
+    one = errors.filter("tier = 1").join(F.broadcast(least), "fid")  # the least root alone: a row
+    told = lambda found, grp: cluster.obvious_cause(found, "tier", "fid").withColumn("grp", F.lit(grp))
+    return told(errors, "all").unionByName(told(one, "one")).withColumn("confidence", F.col("confidence").cast("double"))

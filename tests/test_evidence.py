@@ -113,8 +113,14 @@ def test_clusters_and_windows(spark):
 
 
 def test_secrets_are_masked(spark):
-    rows = spark.createDataFrame([("key sk-abc_1 x",), ("task-sk-1",), ("ghp_A1,dtn_9",), ("risk-free",)], "t string")
-    assert [r[0] for r in rows.select(fn.redacted(F.col("t"))).collect()] == ["key [redacted] x", "task-[redacted]", "[redacted],[redacted]", "risk-free"]
+    rows = spark.createDataFrame([("key sk-abc_1 x",), ("task-sk-123",), ("ghp_A12,dtn_999",), ("risk-free sk-1 dtn_ab",)], "t string")
+    assert [r[0] for r in rows.select(fn.redacted(F.col("t"))).collect()] == ["key [REDACTED] x", "task-[REDACTED]", "[REDACTED],[REDACTED]", "risk-free sk-1 dtn_ab"]
+
+
+def test_values_of_sensitive_keys_are_masked(spark):
+    said = '{"a": {"Token": "x\\"y", "n": 1}, "api_key": 12, "bearer": null, "note": "sk-abcd", "tokens": "z"}'
+    got = spark.createDataFrame([(said,)], "t string").select(fn.redacted_json(F.col("t"))).first()[0]
+    assert got == '{"a": {"Token": "[REDACTED]", "n": 1}, "api_key": "[REDACTED]", "bearer": "[REDACTED]", "note": "[REDACTED]", "tokens": "z"}'
 
 
 def test_frames_and_json(spark):
@@ -156,7 +162,7 @@ def test_streams_cut_anywhere(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("s", 1, 5, "my sk-secret1"), ("s", 2, 3, "ok")], "session string, seq int, t int, body string")
     sinks.record(rows, str(tmp_path / "rec"), "session", "seq", "t")
-    assert [(r.t_ms, r.body) for r in spark.read.json(str(tmp_path / "rec")).orderBy("seq").collect()] == [(5, "my [redacted]"), (5, "ok")]
+    assert [(r.t_ms, r.body) for r in spark.read.json(str(tmp_path / "rec")).orderBy("seq").collect()] == [(5, "my [REDACTED]"), (5, "ok")]
     nodes = spark.createDataFrame([(1, 'a"b', 2, False), (2, "c", 4, True)], "id int, label string, tier int, is_error boolean")
     lines = [r.line for r in sinks.dot_lines(nodes, spark.createDataFrame([(1, 2)], "src int, dst int")).orderBy("part", "line").collect()]
     assert lines == ['  "1" [label="a\'b", fillcolor=lightblue];', '  "2" [label="c", fillcolor=red];', '  "1" -> "2";']

@@ -156,3 +156,11 @@ def test_logs_of_callees_are_merged_in_place(spark):
     nodes = spark.createDataFrame(rows, "fid bigint, node_id int, type string, line int, log_level string, log_text string, call_target_id bigint")
     got = [(r.seq_no, r.fid, r.text) for r in flows.merged_logs(spark.createDataFrame([(1,)], "fid bigint"), nodes).orderBy("seq_no").collect()]
     assert got == [(1, 1, "a"), (2, 2, "b"), (3, 1, "c")]
+
+
+def test_long_and_circular_chains_are_bridged(spark):
+    nodes = [(1, i, "call", "zz") for i in range(1, 9)] + [(1, 0, "log", None), (1, 9, "log", None)] + [(2, i, "call" if i else "log", "zz" if i else None) for i in range(3)]
+    found = spark.createDataFrame(nodes, "fid bigint, node_id int, type string, call_target string")
+    links = [(1, i, i + 1, "next") for i in range(9)] + [(2, 0, 1, "next"), (2, 1, 2, "next"), (2, 2, 1, "next")]
+    stay, bridged = flows.contracted(found, spark.createDataFrame(links, "fid bigint, src int, dst int, edge_type string"), spark.createDataFrame([("call",)], "name string"))
+    assert [tuple(r) for r in bridged.collect()] == [(1, 0, 9, "next")] and stay.count() == 3
