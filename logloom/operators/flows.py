@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import _written
+from .graph import written
 
 # Line patterns of brace languages, and words that look like calls but aren't.
 RETURN = r"^\s*(?:return|throw|raise|break|continue)\b"
@@ -79,11 +79,11 @@ def contracted(found: DataFrame, links: DataFrame, known: DataFrame, shortest: i
         through = hits.filter("x IS NOT NULL").select("fid", "src", F.col("x").alias("m"))
         on = links.select("fid", F.col("src").alias("m"), "dst")
         new = through.join(on, ["fid", "m"]).select("fid", "src", "dst", F.lit("next").alias("edge_type")).distinct()
-        open_ = _written(new if seen is None else new.join(seen, ["fid", "src", "dst"], "left_anti"))
+        open_ = written(new if seen is None else new.join(seen, ["fid", "src", "dst"], "left_anti"))
         if open_.isEmpty():
             break
         pairs = open_.select("fid", "src", "dst")
-        seen = pairs if seen is None else _written(seen.unionByName(pairs))
+        seen = pairs if seen is None else written(seen.unionByName(pairs))
     bridged = done.join(gone, (done["fid"] == gone["fid"]) & (done["src"] == gone["x"]), "left_anti").distinct()
     return stay, bridged
 
@@ -106,7 +106,7 @@ def merged_logs(anchors: DataFrame, found: DataFrame, depth: int = DEPTH, most:
         down = here.filter(F.col("call_target_id").isNotNull() & ~F.array_contains("way", F.col("call_target_id")))
         new = down.select("anchor", F.col("call_target_id").alias("fid"), F.concat("at", F.array("node_id")).alias("at"), F.concat("way", F.array("call_target_id")).alias("way"))
         first = new.groupBy("anchor", "fid").agg(F.min_by(F.struct("at", "way"), "at").alias("s"))
-        level = _written(first.select("anchor", "fid", "s.at", "s.way"))
+        level = written(first.select("anchor", "fid", "s.at", "s.way"))
         if level.isEmpty():
             break
     once = logs.withColumn("_first", F.min(F.slice("at", F.lit(1), F.size("at") - 1)).over(Window.partitionBy("anchor", "fid"))).filter(F.slice("at", F.lit(1), F.size("at") - 1) == F.col("_first"))

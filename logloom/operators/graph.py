@@ -137,7 +137,7 @@ def validated(names: DataFrame, functions: DataFrame) -> DataFrame:
 # -- bounded traversals ------------------------------------------------------------------------------------------------
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df in the folder that the cluster names for checkpoints, read again; where none is named, df kept in memory and disk."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -164,7 +164,7 @@ def reach(seeds: DataFrame, edges: DataFrame, most: int, origin: bool = False) -
         step = frontier.join(edges, frontier["id"] == edges["src"])
         best = [F.lit(depth).alias("depth")] + ([F.min_by("origin", F.col("src")).alias("origin")] if origin else [])
         new = step.groupBy(F.col("dst").alias("id")).agg(*best).join(seen.select("id"), "id", "left_anti").select(keep)
-        frontier = _written(new)
+        frontier = written(new)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -179,7 +179,7 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, most: int = 6) -> DataFra
     for hop in range(1, most + 1):
         step = frontier.join(edges, frontier["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("path").alias("_p"))
         new = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hops"), F.concat("_p", F.array("id")).alias("path"))
-        frontier = _written(new)
+        frontier = written(new)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -195,7 +195,7 @@ def pair_hops(pairs: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
     for hop in range(1, most + 1):
         step = frontier.join(edges, frontier["id"] == edges["src"]).select("s", F.col("dst").alias("id")).distinct()
         new = step.join(seen.select("s", "id"), ["s", "id"], "left_anti").withColumn("hops", F.lit(hop))
-        frontier = _written(new)
+        frontier = written(new)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -210,7 +210,7 @@ def domains(functions: DataFrame, calls: DataFrame, hops: int = 5, least: int =
     frontier = seen
     for _ in range(hops):
         new = frontier.join(edges, frontier["id"] == edges["src"]).select("s", F.col("dst").alias("id")).distinct().join(seen, ["s", "id"], "left_anti")
-        frontier = _written(new)
+        frontier = written(new)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import pair_hops, written
 from .templates import matched
 
 # Confidence of each way to a function.
@@ -74,38 +75,117 @@ def previous_on_thread(entries: DataFrame, thread: str, idx: str, function: str)
     return entries.withColumn("previous", F.last(function, ignorenulls=True).over(w))
 
 
-def ambiguous_on_thread(entries: DataFrame, hops: DataFrame, thread: str = "thread_id", idx: str = "entry_idx") -> DataFrame:
-    """idx, decision, fid of ambiguous entries, each scored by hops from what the thread last resolved.
+def _scored(hops: Column, previous: Column, candidate: Column) -> Column:
+    return hop_score(hops, F.coalesce(previous == candidate, F.lit(False)), previous.isNull())
 
-    entries: idx, thread, status, fid (of resolved ones that count), candidates (array of fid). What an ambiguous entry
-    resolves to is the previous function of those behind it, so a thread is walked in order; only its resolved and
-    ambiguous rows are. hops: src, dst, hops, of candidates only.
+
+def transitions(sets: DataFrame, hops: DataFrame) -> DataFrame:
+    """before, candidates, moves: for each id that may have come before ('' for none), what the candidates are decided to be.
+
+    sets: before, candidates (arrays of ids), once each. hops: src, dst, hops. moves: map from id to (decision, fid, score).
+    """
+    pairs = sets.select("before", "candidates", F.explode_outer("before").alias("previous")).unionByName(sets.select("before", "candidates", F.lit(None).cast("bigint").alias("previous"))).distinct()
+    each = pairs.select("*", F.explode("candidates").alias("fid"))
+    scored = each.join(hops.select(F.col("src").alias("previous"), F.col("dst").alias("fid"), "hops"), ["previous", "fid"], "left").withColumn("score", _scored(F.col("hops"), F.col("previous"), F.col("fid")))
+    state = F.coalesce(F.col("previous").cast("string"), F.lit(""))
+    decided = pick(scored.withColumn("_k", F.struct("before", "candidates", state.alias("state"))), "_k")
+    return decided.groupBy("_k.before", "_k.candidates").agg(F.map_from_entries(F.collect_list(F.struct("_k.state", F.struct("decision", "fid", F.col("top").alias("score"))))).alias("moves"))
+
+
+def thread_steps(entries: DataFrame, thread: str, idx: str, block: int) -> DataFrame:
+    """_t, _b, _i, ids, ambiguous, before: entries that set or need a previous function, with what may stand before them.
+
+    A thread is cut into blocks of positions; what enters a block comes from a table of blocks, so no thread is one task.
     """
-    walk = entries.filter((F.col("status") == "ambiguous") | F.col("fid").isNotNull()).select(thread, idx, "status", "fid", "candidates")
-    own = walk.select(F.col(thread).alias("_t"), F.explode_outer("candidates").alias("dst")).distinct()
-    known = own.join(hops, "dst").groupBy("_t").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(">", "src", "dst"), F.col("hops")))).alias("hops"))
-    joined = walk.join(known, walk[thread].eqNullSafe(known["_t"]), "left").drop("_t")
-    schema = f"{idx} long, decision string, fid long"
-
-    def run(_, pdf):
-        import pandas as pd
-
-        out, previous = [], None
-        for row in pdf.sort_values(idx).itertuples():
-            if row.status != "ambiguous":
-                previous = int(row.fid)
-                continue
-            table = dict(row.hops) if row.hops is not None else {}
-            scored = sorted(((0.4 if previous is None else 0.9 if c == previous else 0.4 + 0.5 / table[f"{previous}>{c}"] if table.get(f"{previous}>{c}") else 0.4, -int(c)) for c in row.candidates), reverse=True)
-            top, gap = scored[0][0], scored[0][0] - (scored[1][0] if len(scored) > 1 else 0.0)
-            if top > 0.5 and gap > 0.2:
-                previous = -scored[0][1]
-                out.append((getattr(row, idx), "resolved", previous))
+    ambiguous = F.col("status") == "ambiguous"
+    ids = F.when(ambiguous, F.array_sort(F.array_distinct("candidates"))).otherwise(F.array("fid"))
+    walk = entries.filter(ambiguous | F.col("fid").isNotNull()).select(F.col(thread).cast("string").alias("_t"), F.floor(F.col(idx) / block).alias("_b"), F.col(idx).alias("_i"), ids.alias("ids"), ambiguous.alias("ambiguous"))
+    last = walk.groupBy("_t", "_b").agg(F.max_by("ids", "_i").alias("_last"))
+    entering = last.select(F.col("_t").alias("_t2"), F.col("_b").alias("_b2"), F.lag("_last").over(Window.partitionBy("_t").orderBy("_b")).alias("_enter"))
+    inner = walk.withColumn("_before", F.lag("ids").over(Window.partitionBy("_t", "_b").orderBy("_i")))
+    both = inner.join(entering, inner["_t"].eqNullSafe(entering["_t2"]) & (F.col("_b") == F.col("_b2")))
+    return both.select("_t", "_b", "_i", "ids", "ambiguous", F.coalesce("_before", "_enter", F.array().cast("array<bigint>")).alias("before"))
+
+
+def _in_order(steps: DataFrame, keys: list[str], order: str, run, schema: str) -> DataFrame:
+    """Rows of equal keys side by side and in order, streamed through `run`, which holds a batch at a time."""
+    return steps.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
+def _follow(moves, ambiguous: bool, fid, state: str) -> str:
+    return str(dict(moves)[state]["fid"]) if ambiguous else str(int(fid))
+
+
+def _ends(batches):
+    """What each state that may enter a block leaves it as."""
+    import pandas as pd
+
+    key, ends = None, {}
+    for pdf in batches:
+        out = []
+        for t, b, before, fid, ambiguous, moves in zip(pdf["_t"], pdf["_b"], pdf["before"], pdf["fid"], pdf["ambiguous"], pdf["moves"], strict=True):
+            if (t, b) != key:
+                out += [(*key, *x) for x in ends.items()] if key else []
+                key, ends = (t, b), {s: s for s in ["", *(str(int(x)) for x in before)]}
+            ends = {s: _follow(moves, ambiguous, fid, now) for s, now in ends.items()}
+        yield pd.DataFrame(out, columns=["_t", "_b", "start", "stop"])
+    yield pd.DataFrame([(*key, *x) for x in ends.items()] if key else [], columns=["_t", "_b", "start", "stop"])
+
+
+def _starts(batches):
+    """The state that does enter each block: blocks of a thread in order."""
+    import pandas as pd
+
+    thread, state = ..., ""
+    for pdf in batches:
+        out = []
+        for t, b, ends in zip(pdf["_t"], pdf["_b"], pdf["ends"], strict=True):
+            state = state if t == thread else ""
+            thread = t
+            out.append((t, b, state))
+            state = dict(ends)[state]
+        yield pd.DataFrame(out, columns=["_t", "_b", "enters"])
+
+
+def _decisions(batches):
+    import pandas as pd
+
+    key, state = None, ""
+    for pdf in batches:
+        out = []
+        for t, b, i, enters, fid, ambiguous, moves in zip(pdf["_t"], pdf["_b"], pdf["_i"], pdf["enters"], pdf["fid"], pdf["ambiguous"], pdf["moves"], strict=True):
+            if (t, b) != key:
+                key, state = (t, b), enters
+            if ambiguous:
+                move = dict(moves)[state]
+                out.append((i, move["decision"], move["fid"], move["score"]))
+                state = str(move["fid"])
             else:
-                out.append((getattr(row, idx), "branch" if top > 0.3 else "open", -scored[0][1]))
-        return pd.DataFrame(out, columns=[idx, "decision", "fid"])
+                state = str(int(fid))
+        yield pd.DataFrame(out, columns=["_i", "decision", "fid", "score"])
+
 
-    return joined.groupBy(thread).applyInPandas(run, schema)
+def ambiguous_on_thread(entries: DataFrame, hops: DataFrame | None = None, thread: str = "thread_id", idx: str = "entry_idx", calls: DataFrame | None = None, block: int = 50_000) -> DataFrame:
+    """idx, decision, fid, score of ambiguous entries, each scored by hops from the last function told on its thread.
+
+    entries: idx, thread, status, fid (of those that count as told), candidates (array of fid, at least one). The best
+    candidate of an ambiguous entry, resolved or branch, is the previous function of those behind it. hops: src, dst,
+    hops; without them they are searched in `calls`. Entries with a null thread are one thread. Moves are worked out once
+    for each distinct pair of candidate sets; blocks of a thread are walked side by side for every state that may enter
+    them, then again from the one that does. Nothing is held but a batch and the states that may enter a block.
+    """
+    steps = written(thread_steps(entries, thread, idx, block))
+    sets = written(steps.filter("ambiguous").select("before", F.col("ids").alias("candidates")).distinct())
+    if hops is None:
+        pairs = sets.select(F.explode("before").alias("src"), "candidates").select("src", F.explode("candidates").alias("dst")).filter("src <> dst")
+        hops = pair_hops(pairs, calls)
+    known = transitions(sets, hops).withColumnRenamed("candidates", "ids").withColumn("ambiguous", F.lit(True))
+    ready = written(steps.join(known, ["before", "ids", "ambiguous"], "left").select("_t", "_b", "_i", "before", F.get("ids", F.lit(0)).alias("fid"), "ambiguous", "moves"))
+    ends = _in_order(ready, ["_t", "_b"], "_i", _ends, "_t string, _b bigint, start string, stop string")
+    blocks = ends.groupBy("_t", "_b").agg(F.map_from_entries(F.collect_list(F.struct("start", "stop"))).alias("ends"))
+    starts = _in_order(blocks, ["_t"], "_b", _starts, "_t string, _b bigint, enters string").withColumnsRenamed({"_t": "_t2", "_b": "_b2"})
+    entered = ready.join(starts, ready["_t"].eqNullSafe(starts["_t2"]) & (F.col("_b") == F.col("_b2"))).drop("_t2", "_b2")
+    return _in_order(entered, ["_t", "_b"], "_i", _decisions, "_i bigint, decision string, fid bigint, score double").withColumnRenamed("_i", idx)
 
 
 def near_resolved(entries: DataFrame, idx: str, tier: str, thread: str | None = None, reach: int = 3) -> DataFrame:
@@ -131,13 +211,64 @@ def logger_class(line: Column, patterns: list[str]) -> Column:
 def by_class(entries: DataFrame, candidates: DataFrame, idx: str = "entry_idx", text: str = "static_text") -> DataFrame:
     """idx, fid, rule of entries whose logger class is known: of the class's functions, the likeliest for the message.
 
-    entries: idx, text, class_name. candidates: class_name, fid, name, templates (array of texts). In order: a function
-    named in the message with a template in it, one with a template of more than 5 characters in it, one named in it, one
-    with any template. Longer names first, then smaller fid. Entries with an empty message have no candidate.
+    entries: idx, text, class_name. candidates: class_name, fid, name, source (may be absent), templates (array of texts).
+    The longest function name in the message leads: it wins if a template of its own is there (rule 0), else the first
+    function with a template there does (1), else it wins all the same (2). Without a name, the first function whose
+    source holds the head of the message (3), or with a template there (4). Ties and firsts go by fid. Entries with an
+    empty message have no candidate. Functions meet distinct messages of their class, of which few are taken further.
+    """
+    functions = candidates if "source" in candidates.columns else candidates.withColumn("source", F.lit(None).cast("string"))
+    functions = functions.select("class_name", "fid", "name", "source", F.coalesce("templates", F.array().cast("array<string>")).alias("templates"))
+    messages = entries.filter(F.length(text) > 0).select("class_name", F.col(text).alias("_m")).distinct()
+    told = lambda least: F.exists("templates", lambda t: (F.length(t) > least) & F.contains(F.col("_m"), t))
+    head = F.trim(F.substring_index(F.substring_index(F.regexp_replace(F.trim("_m"), "^[- ]+", ""), "---", 1), ":", 1))
+    head = F.substring(head, 1, 40)
+    marked = messages.join(functions, "class_name").select("class_name", "_m", "fid", F.length("name").alias("_n"), F.contains(F.lower("_m"), F.lower("name")).alias("_named"), told(3).alias("_own"), told(5).alias("_told"), ((F.length(head) > 5) & F.contains("source", head)).alias("_source"))
+    first = lambda c: F.min(F.when(c, F.col("fid")))
+    best = marked.groupBy("class_name", "_m").agg(F.min(F.when(F.col("_named"), F.struct((-F.col("_n")).alias("n"), "fid", "_own"))).alias("_w"), first(F.col("_told")).alias("_t"), first(F.col("_source")).alias("_s"))
+    named = F.col("_w").isNotNull()
+    rule = F.when(named & F.col("_w._own"), 0).when(named & F.col("_t").isNotNull(), 1).when(named, 2).when(F.col("_s").isNotNull(), 3).when(F.col("_t").isNotNull(), 4)
+    fid = F.when(rule.isin(0, 2), F.col("_w.fid")).when(rule == 3, F.col("_s")).otherwise(F.col("_t"))
+    chosen = best.select("class_name", F.col("_m").alias(text), fid.alias("fid"), rule.alias("rule")).filter("rule IS NOT NULL")
+    return entries.select(idx, "class_name", text).join(chosen, ["class_name", text]).select(idx, "fid", "rule")
+
+
+def attributed(entries: DataFrame, templates: DataFrame, functions: DataFrame, calls: DataFrame, idx: str = "entry_idx", thread: str = "thread_id", text: str = "static_text", by_thread: bool = True) -> DataFrame:
+    """Entries to functions, all tiers: idx, status, tier, confidence, fid, fids, inferred, previous functions taken into account.
+
+    entries: idx, thread, text, class_name (of the logger, may be null), stack (whether a trace is there), frame (its
+    first frame of the application as `class.function`, null if it has none). templates: fid, frags, fname, line. functions: fid, class_name, name,
+    source, templates. calls: src, dst. In order:
+
+    * tier 1, a stack frame (0.95; without an fid where no function is called so);
+    * tier 2, the only template that fits (0.85);
+    * tier 3, a function of the logger's class (0.60), or of several templates the likeliest after the function that the
+      thread told last (by frame, class or choice; the score is the confidence), with the three best where none leads;
+    * tier 3, by class, for what is left near a told entry (0.55); tier 4 otherwise.
     """
-    both = entries.filter(F.length(text) > 0).join(candidates, "class_name")
-    named = F.contains(F.lower(text), F.lower("name"))
-    told = F.exists(F.coalesce("templates", F.array().cast("array<string>")), lambda t: (F.length(t) > 5) & F.contains(F.col(text), t))
-    rule = F.when(named & told, 0).when(told, 1).when(named, 2).when(F.size(F.coalesce("templates", F.array().cast("array<string>"))) > 0, 3)
-    ranked = both.withColumn("rule", rule).filter("rule IS NOT NULL").withColumn("_r", F.row_number().over(Window.partitionBy(idx).orderBy("rule", F.desc(F.length("name")), "fid")))
-    return ranked.filter("_r = 1").select(idx, "fid", "rule")
+    source = entries.select(idx, F.col(thread).cast("string").alias(thread) if by_thread else F.lit(None).cast("string").alias(thread), text, "class_name", F.coalesce("stack", F.lit(False)).alias("stack"), "frame")
+    first = first_pass(source, templates, source.filter("stack").select(idx), idx, text).drop("fname", "tier", "confidence")
+    by_name = functions.groupBy(F.concat_ws(".", "class_name", "name").alias("frame")).agg(F.min("fid").alias("_frame_fid"))
+    first = written(first.join(by_name, "frame", "left").withColumn("fids", F.transform("candidates", lambda c: c["fid"])))
+    classes = by_class(first.filter(F.col("status").isin("miss", "skip")), functions, idx, text).select(idx, F.col("fid").alias("_class_fid"))
+    told = written(first.join(classes, idx, "left"))
+    counts = F.coalesce(F.when(F.col("status") == "stack_trace", F.col("_frame_fid")), F.col("_class_fid"))
+    walked = ambiguous_on_thread(told.select(idx, thread, "status", counts.alias("fid"), F.col("fids").alias("candidates")), None, thread, idx, calls)
+    walked = walked.select(idx, "decision", F.col("fid").alias("_best"), "score")
+    out = told.join(walked, idx, "left")
+    ambiguous = F.col("status") == "ambiguous"
+    framed = (F.col("status") == "stack_trace") & F.col("frame").isNotNull()
+    kept = F.when(F.col("decision") == "branch", F.slice(F.concat(F.array("_best"), F.array_remove(F.array_sort("fids"), F.col("_best"))), 1, 3))
+    out = out.select(
+        idx, thread, text, "class_name", "status", F.coalesce("decision", F.lit("")).alias("decision"),
+        F.when(framed, 1).when(F.col("status") == "hit", 2).when(ambiguous & (F.col("decision") != "open"), 3).when(F.col("_class_fid").isNotNull(), 3).otherwise(4).alias("tier"),
+        F.when(framed, F.lit(CONFIDENCE["stack"])).when(F.col("status") == "hit", F.lit(CONFIDENCE["hit"])).when(ambiguous & (F.col("decision") != "open"), F.col("score")).when(F.col("_class_fid").isNotNull(), F.lit(CONFIDENCE["class"])).otherwise(F.lit(0.0)).alias("confidence"),
+        F.coalesce("fid", F.when(ambiguous & (F.col("decision") != "open"), F.col("_best")), counts).alias("fid"),
+        kept.alias("fids"), F.col("_class_fid").isNotNull().alias("inferred"),
+    )
+    out = written(out)
+    near = near_resolved(out, idx, "tier", thread if by_thread else None)
+    again = by_class(out.filter("tier = 4 AND class_name IS NOT NULL").join(near, idx, "left_semi"), functions, idx, text).select(idx, F.col("fid").alias("_near_fid"))
+    hit = F.col("_near_fid").isNotNull()
+    final = out.join(again, idx, "left")
+    return final.withColumns({"tier": F.when(hit, 3).otherwise(F.col("tier")), "confidence": F.when(hit, CONFIDENCE["neighbour"]).otherwise(F.col("confidence")), "fid": F.coalesce("fid", "_near_fid"), "inferred": F.col("inferred") | hit}).drop("_near_fid", text, "class_name")

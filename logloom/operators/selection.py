@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as fn
-from .graph import _written, reach
+from .graph import written, reach
 
 
 def prefix_matched(imports: DataFrame, targets: DataFrame, imported: str = "imported", target: str = "target") -> DataFrame:
@@ -48,7 +48,7 @@ def by_imports(modules: DataFrame, imports: DataFrame, most: int = 10) -> DataFr
         open_ = hits.join(seen.select(F.col("module").alias("importer")), "importer", "left_anti")
         first = open_.withColumn("_first", F.min("imported").over(Window.partitionBy("importer"))).filter("imported = _first")
         new = first.groupBy(F.col("importer").alias("module")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("origins")))).alias("origins")).select("module", F.lit(depth).alias("depth"), "origins")
-        frontier = _written(new)
+        frontier = written(new)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

@@ -22,12 +22,15 @@ def admitted(templates: DataFrame, frags: str = "frags") -> DataFrame:
 def longest_prefix(messages: DataFrame, templates: DataFrame, text: str = "static_text") -> DataFrame:
     """Pairs of a distinct message and every template at the longest key that the message starts with.
 
-    Keys and messages meet by their first characters, once for each distinct message. Of a message's candidates
+    Each distinct message gives its prefixes of the lengths that keys have (an aggregated row of numbers) and meets whole
+    keys by equality, so a head that many messages and keys begin with is no hot key. Of a message's candidates
     only the longest keys are kept, before fragments are looked at: a deeper key that fails isn't replaced by a shallower one.
     """
     distinct = messages.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
-    keys = templates.select("key").distinct().select("key", F.substring("key", 1, KEY).alias("_head"))
-    hits = distinct.withColumn("_head", F.substring("_text", 1, KEY)).join(keys, "_head").filter(F.startswith("_text", "key"))
+    keys = templates.select("key").distinct()
+    lengths = keys.agg(F.array_sort(F.collect_set(F.length("key"))).alias("_lengths"))
+    prefixes = distinct.crossJoin(F.broadcast(lengths)).select("_text", F.explode(F.filter("_lengths", lambda n: n <= F.length("_text"))).alias("_n"))
+    hits = prefixes.select("_text", F.expr("substring(_text, 1, _n)").alias("key")).join(keys, "key", "left_semi")
     longest = hits.groupBy("_text").agg(F.max_by("key", F.length("key")).alias("key"))
     return longest.join(templates, "key")
 

@@ -225,3 +225,54 @@ def q_obvious_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = errors.filter("tier = 1").join(F.broadcast(least), "fid")  # the least root alone: a row
     told = lambda found, grp: cluster.obvious_cause(found, "tier", "fid").withColumn("grp", F.lit(grp))
     return told(errors, "all").unionByName(told(one, "one")).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+TOLD = """e AS (SELECT event_id AS entry_idx, user_id % 7 AS t, event_type AS et, value AS v, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
+ks AS (SELECT DISTINCT k FROM e), edges AS (SELECT k AS src, (3 * k + 1) % 100 AS dst FROM ks), cands AS (SELECT k, unnest(list_distinct([k, (k + 1) % 100, (7 * k) % 100])) AS c FROM ks),
+hopw AS (SELECT k AS src, k AS dst, 0 AS h FROM ks UNION SELECT hopw.src, edges.dst, h + 1 FROM hopw JOIN edges ON edges.src = hopw.dst WHERE h < 6),
+hops AS (SELECT src, dst, min(h) AS h FROM hopw GROUP BY 1, 2), prevs AS (SELECT -1 AS p UNION SELECT k FROM ks UNION SELECT c FROM cands),
+scored AS (SELECT k, p, c, CASE WHEN p = -1 THEN 0.4::DOUBLE WHEN p = c THEN 0.9::DOUBLE WHEN h > 0 THEN 0.4::DOUBLE + 0.5::DOUBLE / h ELSE 0.4::DOUBLE END AS s FROM cands CROSS JOIN prevs LEFT JOIN hops ON src = p AND dst = c),
+ranked AS (SELECT *, row_number() OVER w AS r, lead(s) OVER w AS nxt FROM scored WINDOW w AS (PARTITION BY k, p ORDER BY s DESC, c)),
+moves AS (SELECT k, p, c AS best, s, CASE WHEN s > 0.5 AND s - coalesce(nxt, 0) > 0.2 THEN 'resolved' ELSE 'branch' END AS decision FROM ranked WHERE r = 1),
+steps AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY entry_idx) AS n FROM e WHERE et = 'click' OR (et = 'signup' AND v <= 20) OR (et = 'purchase' AND v > 5)),
+walk AS (SELECT DISTINCT t, 0::BIGINT AS n, -1::BIGINT AS prev, NULL::BIGINT AS entry_idx, NULL::VARCHAR AS decision, NULL::DOUBLE AS s FROM steps UNION ALL
+SELECT steps.t, steps.n, CASE WHEN et = 'click' THEN best ELSE steps.k END, steps.entry_idx, moves.decision, moves.s FROM walk JOIN steps ON steps.t = walk.t AND steps.n = walk.n + 1 JOIN moves ON moves.k = steps.k AND moves.p = walk.prev),
+told AS (SELECT e.*, CASE WHEN et = 'click' THEN w.decision END AS decision, CASE WHEN et = 'click' THEN w.prev WHEN et = 'error' OR (et = 'signup' AND v > 20) OR (et = 'purchase' AND v <= 5) THEN NULL ELSE e.k END AS fid,
+CASE WHEN et = 'signup' AND v <= 20 THEN 1 WHEN et = 'view' THEN 2 WHEN et = 'click' OR (et = 'purchase' AND v > 5) THEN 3 ELSE 4 END AS tier,
+CASE WHEN et = 'signup' AND v <= 20 THEN 0.95 WHEN et = 'view' THEN 0.85 WHEN et = 'click' THEN w.s WHEN et = 'purchase' AND v > 5 THEN 0.6 ELSE 0.0 END::DOUBLE AS confidence, et = 'purchase' AND v > 5 AS inferred FROM e LEFT JOIN walk w USING (entry_idx)),
+near AS (SELECT DISTINCT a.entry_idx FROM told a JOIN told b ON a.t = b.t AND b.tier <= 3 AND b.entry_idx BETWEEN a.entry_idx - 3 AND a.entry_idx + 3 WHERE a.et = 'signup' AND a.tier = 4)"""
+
+
+def told_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Entries, templates, functions and calls: views fit one template, clicks several, purchases a class, signups have traces."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    e = table(spark, sf_dir, "events").withColumns({"k": k, "t": F.col("user_id") % 7})
+    kind = F.col("event_type")
+    known = kind.isin("purchase", "signup") & ~((kind == "purchase") & (F.col("value") <= 5))
+    message = F.when(kind == "view", F.expr("'view item ' || k || ': seen'")).when(kind == "click", F.expr("'click item ' || k || ': done'")).when(kind == "error", "err")
+    message = message.when((kind == "purchase") & (F.col("value") > 20), F.expr("'bought after view item ' || k || ': paid'")).when(kind == "purchase", F.expr("'bought by fn' || k")).otherwise(F.expr("'signup of fn' || k || ' here'"))
+    owner = F.expr("'C' || k % 10")
+    entries = e.select(F.col("event_id").alias("entry_idx"), F.col("t").alias("thread_id"), message.alias("static_text"), F.when(known, owner).alias("class_name"), (kind == "signup").alias("stack"), F.when((kind == "signup") & (F.col("value") <= 20), F.concat(owner, F.expr("'.fn' || k"))).alias("frame"))
+    ks = e.select("k").distinct()
+    views = ks.select(F.col("k").alias("fid"), F.array(F.expr("'view item ' || k || ':'")).alias("frags"))
+    clicks = ks.select(F.explode(F.array_distinct(F.expr("array(k, (k + 1) % 100, (7 * k) % 100)"))).alias("fid"), F.array(F.expr("'click item ' || k || ':'")).alias("frags"))
+    templates_ = views.unionByName(clicks).withColumns({"fname": F.expr("'fn' || fid"), "line": F.lit(1)})
+    functions = ks.select(F.col("k").alias("fid"), owner.alias("class_name"), F.expr("'fn' || k").alias("name"), F.lit(None).cast("string").alias("source"), F.array(F.expr("'view item ' || k || ':'")).alias("templates"))
+    return entries, templates_, functions, ks.select(F.col("k").alias("src"), ((3 * F.col("k") + 1) % 100).alias("dst"))
+
+
+def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.attributed(*told_entries(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {TOLD}, both_ AS (SELECT told.*, near.entry_idx IS NOT NULL AS close_ FROM told LEFT JOIN near ON near.entry_idx = told.entry_idx)
+SELECT entry_idx, CASE WHEN close_ THEN 3 ELSE tier END::INTEGER AS tier, round(CASE WHEN close_ THEN 0.55 ELSE confidence END, 6)::DOUBLE AS confidence, CASE WHEN close_ THEN k ELSE fid END AS fid, coalesce(decision, '') AS decision, inferred OR close_ AS inferred FROM both_""")
+def q_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiers from messages, traces, classes, calls and neighbours."""
+    return told(spark, sf_dir).select("entry_idx", "tier", F.round("confidence", 6).alias("confidence"), "fid", "decision", "inferred")
+
+
+@query(f"""WITH RECURSIVE {TOLD}, others AS (SELECT entry_idx, fid, array_to_string([fid] || list_sort(list_filter(list_distinct([k, (k + 1) % 100, (7 * k) % 100]), lambda x: x <> fid)), ',') AS fids FROM told WHERE decision = 'branch') SELECT entry_idx, fids FROM others""")
+def q_branch_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best candidates of entries that no candidate leads."""
+    return told(spark, sf_dir).filter("decision = 'branch'").select("entry_idx", F.array_join(F.col("fids").cast("array<string>"), ",").alias("fids"))

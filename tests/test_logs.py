@@ -186,3 +186,31 @@ def test_resolved_neighbours(spark):
     e = spark.createDataFrame(rows, "entry_idx bigint, t string, tier int")
     assert sorted(r.entry_idx for r in resolve.near_resolved(e, "entry_idx", "tier", "t").collect()) == [3]
     assert sorted(r.entry_idx for r in resolve.near_resolved(e, "entry_idx", "tier").collect()) == [2, 3]
+
+
+def test_threads_are_walked_alike_in_blocks_of_any_size(spark):
+    import random
+
+    draw = random.Random(3)
+    rows, known = [], {(a, b): draw.randint(1, 6) for a in range(8) for b in range(8) if a != b and draw.random() < 0.5}
+    for i in range(120):
+        if draw.random() < 0.2:
+            rows.append((draw.choice(["t", None]), i, "stack_trace", draw.randrange(8), None))
+        else:
+            rows.append((draw.choice(["t", None]), i, "ambiguous", None, draw.sample(range(8), draw.randint(1, 4))))
+    last, want = {}, set()
+    for thread, i, status, fid, options in rows:
+        if status != "ambiguous":
+            last[thread] = fid
+            continue
+        before = last.get(thread)
+        score = lambda c: 0.4 if before is None else 0.9 if c == before else 0.4 + 0.5 / known[before, c] if (before, c) in known else 0.4  # noqa: E731, B023
+        best = sorted(options, key=lambda c: (-score(c), c))
+        gap = score(best[0]) - (score(best[1]) if len(best) > 1 else 0)
+        last[thread] = best[0]
+        want.add((i, "resolved" if score(best[0]) > 0.5 and gap > 0.2 else "branch", best[0]))
+    entries = spark.createDataFrame(rows, "thread_id string, entry_idx bigint, status string, fid bigint, candidates array<bigint>")
+    hops = spark.createDataFrame([(a, b, h) for (a, b), h in known.items()], "src bigint, dst bigint, hops int")
+    for block in (7, 50_000):
+        got = resolve.ambiguous_on_thread(entries, hops, block=block).collect()
+        assert {(r.entry_idx, r.decision, r.fid) for r in got} == want and len(got) == len(want)
