@@ -10,6 +10,7 @@ from ..functions import text as fn
 
 # Patterns of a test report, statuses and thresholds.
 RULE = r"^=+ (.+?) =+$"
+BLOCK_RULE = r"^_+ (.+?) _+$"
 END_OF_SUMMARY = r"^(=|!){5,}"
 ENTRY = r"^(PASSED|FAILED|ERROR|SKIPPED|XFAIL|XPASS)\b[ \t]*(.*)$"
 DURATION = r"^(\d+(?:\.\d+)?)s\s+(call|setup|teardown)\s+(\S+)$"
@@ -18,6 +19,7 @@ WALL = r"\bin\s+(\d+(?:\.\d+)?)s\b"
 INTERRUPTED = r"(?i)Interrupted:\s*(\d+)\s+error"
 STATUSES = ["confirmed", "unreproduced", "uncovered", "unlocatable", "inconclusive"]
 MIN_ROWS, MAX_MISSING = 5, 0.2
+RAW_TAIL = 2000
 
 
 def report_lines(reports: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,6 +50,43 @@ def durations(lines: DataFrame, key: str) -> DataFrame:
     return lines.filter(F.col("line").rlike(DURATION)).groupBy(key, F.regexp_extract("line", DURATION, 3).alias("node_id")).agg(F.sum(F.regexp_extract("line", DURATION, 1).cast("double")).alias("duration_s"))
 
 
+def blocks(lines: DataFrame, key: str, section: str) -> DataFrame:
+    """key, n, title, text: blocks under `___ title ___` rules in the first section of a title; lines before them belong to none."""
+    first = lines.filter(F.col("line").rlike(RULE) & (F.col("section") == section)).groupBy(key).agg(F.min("n").alias("_from"))
+    rules = lines.filter(F.col("line").rlike(RULE)).join(first, key).filter(F.col("n") > F.col("_from")).groupBy(key).agg(F.min("n").alias("_to"))
+    body = lines.filter(F.col("section") == section).join(first, key).join(rules, key, "left").filter((F.col("n") > F.col("_from")) & (F.col("_to").isNull() | (F.col("n") < F.col("_to"))))
+    rule = F.col("line").rlike(BLOCK_RULE)
+    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    told = body.withColumn("_start", F.last(F.when(rule, F.col("n")), ignorenulls=True).over(w)).filter("_start IS NOT NULL")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~rule, F.struct("n", "line")))), lambda s: s["line"]), "\n")
+    title = F.max(F.when(rule, F.trim(F.regexp_extract("line", BLOCK_RULE, 1))))
+    return told.groupBy(key, F.col("_start").alias("n")).agg(title.alias("title"), F.regexp_replace(joined, r"^\s+|\s+$", "").alias("text"))
+
+
+def tracebacks(lines: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, node_id, traceback) and (key, test, traceback): of errors by node and by name, of failures by name; the first wins."""
+    errors = blocks(lines, key, "ERRORS").filter("text <> ''").withColumn("node_id", F.element_at(F.split("title", r"\s+"), -1))
+    failures = blocks(lines, key, "FAILURES").filter("text <> ''").withColumn("test", F.trim(F.element_at(F.split("title", "::"), -1)))
+    by_node = errors.groupBy(key, "node_id").agg(F.min_by("text", "n").alias("traceback"))
+    named = errors.select(key, F.lit(0).alias("_s"), "n", F.element_at(F.split("node_id", "::"), -1).alias("test"), "text").unionByName(failures.select(key, F.lit(1).alias("_s"), "n", "test", "text"))
+    return by_node, named.groupBy(key, "test").agg(F.min_by("text", F.struct("_s", "n")).alias("traceback"))
+
+
+def cases(lines: DataFrame, key: str) -> DataFrame:
+    """key, node_id, outcome, duration_s, traceback: summary entries; failed and errored ones with their traceback, by node, then by name."""
+    by_node, by_name = tracebacks(lines, key)
+    found = summary_cases(lines, key).join(durations(lines, key), [key, "node_id"], "left").withColumn("test", F.element_at(F.split("node_id", "::"), -1))
+    both = found.join(by_node.withColumnRenamed("traceback", "_node"), [key, "node_id"], "left").join(by_name.withColumnRenamed("traceback", "_name"), [key, "test"], "left")
+    traceback = F.when(F.col("outcome").isin("failed", "error"), F.coalesce("_node", "_name"))
+    return both.select(key, "node_id", "outcome", F.coalesce("duration_s", F.lit(0.0)).alias("duration_s"), traceback.alias("traceback"))
+
+
+def raw_tail(text: Column) -> Column:
+    """The last characters of a report, without colours."""
+    plain = fn.ansi_free(text)
+    return F.substring(plain, F.greatest(F.length(plain) - RAW_TAIL + 1, F.lit(1)), F.lit(RAW_TAIL))
+
+
 def totals(lines: DataFrame, key: str) -> DataFrame:
     """key, passed, failed, errors, skipped, wall_s, interrupted: of the last rule with counts."""
     rules = lines.filter(F.col("line").rlike(r"^=") & F.col("line").rlike(COUNTS))
@@ -125,6 +164,33 @@ def related(cases: Column, needles: Column) -> Column:
     return F.exists(failing, lambda c: F.exists(needles, lambda n: (n != "") & F.contains(hay(c), n)))
 
 
+def verified(findings: DataFrame, functions: DataFrame, tests: DataFrame, reported: DataFrame, told: DataFrame) -> DataFrame:
+    """id, tests, status: findings from place to verdict.
+
+    findings: id, file_path, line. functions: fid, path, name, start_line, end_line. tests: fid, node_id (selected for a
+    function). reported: one row (or none) of `reports`. told: cases of that report (node_id, outcome, traceback). A finding is
+    located in functions, their tests are counted, and failing cases that mention its file or a function relate to it.
+    Distinct needles, not findings, are looked for, in what one report's failing cases say (a row, as the report was).
+    """
+    places = located(findings, functions)
+    spots = findings.select("id", "file_path").join(places.select("id", "fid"), "id", "left")
+    counted = spots.join(tests.select("fid", "node_id").distinct(), "fid", "left").groupBy("id").agg(F.count("fid").alias("_places"), F.count_distinct("node_id").alias("tests"))
+    named = spots.join(functions.select("fid", "name"), "fid", "left")
+    needles = named.select("id", F.explode(F.array("file_path", fn.module_name(F.col("file_path")), "name")).alias("needle")).filter("needle <> ''").distinct()
+    failing = told.filter(F.col("outcome").isin("failed", "error")).agg(F.array_join(F.collect_list(F.concat_ws("\n", "node_id", "traceback")), "\n").alias("_hay"))  # parts of one text
+    heard = needles.select("needle").distinct().crossJoin(F.broadcast(failing)).filter(F.contains("_hay", "needle")).select("needle")
+    hit = needles.join(heard, "needle", "left_semi").select("id").distinct().withColumn("_related", F.lit(True))
+    one = reported.agg(F.count("*").alias("_n"), F.bool_or("is_execution_failure").alias("_f"), F.bool_or("ran_nothing").alias("_o"), F.bool_or("is_broken").alias("_b"))  # a row
+    both = counted.join(hit, "id", "left").crossJoin(F.broadcast(one))
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return both.select("id", "tests", verdict(F.col("_places") > 0, F.col("tests"), F.col("_n") > 0, no("_f"), no("_o"), no("_b"), no("_related")).alias("status"))
+
+
+def pinned(spec: Column) -> Column:
+    """The version of a requirement that is pinned: one `==` without a wildcard."""
+    return F.nullif(F.regexp_extract(spec, r"^\s*==\s*([^\s,;*=]+)\s*$", 1), F.lit(""))
+
+
 def tally(verdicts: DataFrame, status: str = "status") -> DataFrame:
     """status, n for every status there is, zero included."""
     spark = verdicts.sparkSession

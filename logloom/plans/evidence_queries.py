@@ -181,3 +181,52 @@ def q_sse_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, substr(coalesce(list_filter(lines, lambda x: NOT regexp_matches(x, '^[-=_\\s]*$'))[1], ''), 1, 120) AS title FROM l""")
 def q_comment_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.clean_title(F.concat(F.lit("---\n<b>"), "text")).alias("title"))
+
+
+def traced_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of each hour with blocks of errors and failures."""
+    e = table(spark, sf_dir, "events").filter("event_type IN ('error', 'click')").withColumns({"hour": F.date_trunc("hour", "ts"), "k": F.get_json_object("props", "$.k"), "bad": F.col("event_type") == "error"})
+    each = e.select("hour", "k", "bad").distinct()
+    block = F.when(F.col("bad"), F.concat(F.lit("___ ERROR at setup of tests/t.py::test_"), "k", F.lit(" ___\n\nbad "), "k", F.lit("\n"))).otherwise(F.concat(F.lit("___ Suite::test_"), "k", F.lit(" ___\nboom "), "k"))
+    line = F.concat(F.when(F.col("bad"), "ERROR").otherwise("FAILED"), F.lit(" tests/t.py::test_"), "k", F.lit(" - x"))
+    listed = lambda c, bad: F.array_join(F.array_sort(F.collect_list(F.when(F.col("bad") == F.lit(bad), c))), "\n")
+    text = F.concat(F.lit("=== ERRORS ===\n"), listed(block, True), F.lit("\n=== FAILURES ===\nnothing yet\n"), listed(block, False), F.lit("\n=== slowest durations ===\n0.25s call tests/t.py::test_1\n0.50s setup tests/t.py::test_1\n=== short test summary info ===\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n======== 1 failed in 0.50s ========"))
+    return each.groupBy("hour").agg(text.alias("text"), F.lit(1).alias("exit_code"))
+
+
+@query("""WITH c AS (SELECT DISTINCT date_trunc('hour', ts) AS hour, json_extract_string(props, '$.k') AS k, event_type = 'error' AS bad FROM events WHERE event_type IN ('error', 'click'))
+SELECT strftime(hour, '%Y-%m-%d %H') AS hour, 'tests/t.py::test_' || k AS node_id, CASE WHEN bad THEN 'error' ELSE 'failed' END AS outcome, CASE WHEN k = '1' THEN 0.75 ELSE 0.0 END::DOUBLE AS duration_s,
+CASE WHEN bool_or(bad) OVER (PARTITION BY hour, k) THEN 'bad ' ELSE 'boom ' END || k AS traceback FROM c""")
+def q_report_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = evidence.report_lines(traced_reports(spark, sf_dir), "hour", "text")
+    return evidence.cases(lines, "hour").withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 2000 THEN substr(text, length(text) - 1999, 2000) ELSE text END) AS md5 FROM documents")
+def q_raw_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(evidence.raw_tail(F.col("text"))).alias("md5"))
+
+
+@query("""WITH r AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '== ' || p_size || '.1' WHEN 1 THEN '==' || p_size || '.*' WHEN 2 THEN '>=1,==' || p_size ELSE '' END AS spec, p_size FROM part)
+SELECT p_partkey, lower(replace(p_brand, '#', '-')) AS name, CASE WHEN p_size % 4 = 0 THEN p_size || '.1' END AS pin FROM r JOIN part USING (p_partkey, p_size)""")
+def q_requirement_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = F.expr("CASE p_size % 4 WHEN 0 THEN '== ' || p_size || '.1' WHEN 1 THEN '==' || p_size || '.*' WHEN 2 THEN '>=1,==' || p_size ELSE '' END")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("# made by a tool\n-r other.txt\n"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("[extra] "), spec, F.lit(" ; python_version > '3' # why")).alias("text"))
+    return evidence.requirements(p, "p_partkey", "text").select("p_partkey", "name", evidence.pinned(F.col("spec")).alias("pin"))
+
+
+@query("""WITH fn AS (SELECT c_custkey AS fid, c_mktsegment AS path, c_custkey AS lo, c_custkey + c_nationkey AS hi, c_nationkey AS span, 'fn' || c_custkey % 20 AS name FROM customer),
+fi AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'gone.py' ELSE c_mktsegment END AS file_path, o_custkey AS line FROM orders JOIN customer ON c_custkey = o_custkey),
+i AS (SELECT id, fid, span, min(span) OVER (PARTITION BY id) AS best FROM fi JOIN fn ON path = file_path AND line BETWEEN lo AND hi),
+s AS (SELECT fi.id, file_path, i.fid, name FROM fi LEFT JOIN i ON i.id = fi.id AND i.span = i.best LEFT JOIN fn ON fn.fid = i.fid),
+n AS (SELECT id, count(fid) AS places, count(DISTINCT CASE WHEN fid % 2 = 0 THEN 't::' || fid END) AS tests, bool_or(coalesce(file_path = 'BUILDING' OR name IN ('fn3', 'fn4'), false)) AS rel FROM s GROUP BY id)
+SELECT id, tests, CASE WHEN places = 0 THEN 'unlocatable' WHEN tests = 0 THEN 'uncovered' WHEN rel THEN 'confirmed' ELSE 'inconclusive' END AS status FROM n""")
+def q_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as findings, located in customers as functions; a failing report names a file and two functions."""
+    c = table(spark, sf_dir, "customer")
+    functions = c.select(F.col("c_custkey").alias("fid"), F.col("c_mktsegment").alias("path"), F.col("c_custkey").alias("start_line"), (F.col("c_custkey") + F.col("c_nationkey")).alias("end_line"), F.expr("'fn' || c_custkey % 20").alias("name"))
+    found = table(spark, sf_dir, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "gone.py").otherwise(F.col("c_mktsegment")).alias("file_path"), F.col("o_custkey").alias("line"))
+    tests = functions.filter("fid % 2 = 0").select("fid", F.expr("'t::' || fid").alias("node_id"))
+    told = c.filter("c_custkey IN (3, 4)").select(F.expr("'t::' || c_custkey").alias("node_id"), F.lit("failed").alias("outcome"), F.expr("'in fn' || c_custkey || ' of src/BUILDING'").alias("traceback"))
+    reported = evidence.flagged(told.agg(F.lit(1).alias("exit_code"), F.count("*").cast("int").alias("failed"), F.lit(0).alias("errors"), F.lit(9).alias("passed")))
+    return evidence.verified(found, functions, tests, reported, told)

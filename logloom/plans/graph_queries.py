@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as fn
-from ..operators import graph, retrieval, selection
+from ..operators import graph, lookups, retrieval, selection
 from ..sources.tables import changed
 from .registry import query, table
 
@@ -58,11 +58,7 @@ for _direction, _here, _there in (("callers", "dst", "src"), ("callees", "src",
 SELECT class_name, (SELECT count(*) FROM functions f WHERE f.class_name = c.class_name) AS methods, (SELECT count(DISTINCT b.class_name) FROM functions a JOIN calls ON src = a.fid JOIN functions b ON b.fid = dst WHERE a.class_name = c.class_name AND b.class_name <> c.class_name) AS uses
 FROM (SELECT DISTINCT class_name FROM functions) c""")
 def q_class_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = functions_of(spark, sf_dir)
-    owner = f.select("fid", "class_name")
-    pairs = calls_of(spark, sf_dir).join(owner.withColumnRenamed("fid", "src"), "src").join(owner.select(F.col("fid").alias("dst"), F.col("class_name").alias("other")), "dst")
-    uses = pairs.filter("other <> class_name").groupBy("class_name").agg(F.count_distinct("other").alias("uses"))
-    return f.groupBy("class_name").agg(F.count("*").alias("methods")).join(uses, "class_name", "left").fillna(0, ["uses"])
+    return lookups.class_info(functions_of(spark, sf_dir), calls_of(spark, sf_dir))
 
 
 @query(f"""WITH {FUNCTIONS}, hits AS (SELECT fid, min(prio) AS prio FROM (SELECT fid, 0 AS prio FROM functions WHERE contains(name, 'gear') UNION ALL SELECT fid, 1 FROM functions WHERE contains(source, 'O')) GROUP BY fid)
@@ -255,3 +251,114 @@ def q_dependency_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_module_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("src/"), F.regexp_extract("url", "^https?://[^/?#]+/([^?#]*)", 1), F.lit(".py"))
     return table(spark, sf_dir, "pages").select("page_id", fn.module_name(path).alias("module"))
+
+
+PLACED = "placed AS (SELECT p_partkey AS fid, 'fn' || p_size AS name, CASE WHEN p_size <= 40 THEN p_brand END AS class_name, '/srv/shop/old/shop/' || lower(replace(p_type, ' ', '/')) || '.py' AS path, lower(replace(p_type, ' ', '/')) || '.py' AS file_path, p_size AS start_line, p_size + 9 AS end_line, p_name AS source FROM part)"
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as functions with paths: the repository's name stands twice in each."""
+    path = F.concat(F.lit("/srv/shop/old/shop/"), F.lower(F.replace("p_type", F.lit(" "), F.lit("/"))), F.lit(".py"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fid"), F.expr("'fn' || p_size").alias("name"), F.when(F.col("p_size") <= 40, F.col("p_brand")).alias("class_name"), path.alias("path"), F.col("p_size").alias("start_line"), (F.col("p_size") + 9).alias("end_line"), F.col("p_name").alias("source"))
+
+
+@query(f"WITH {PLACED} SELECT fid, 'File: ' || path || ' | fid=' || fid || ' | Total: ' || length(source) || ' chars | Showing: 3-' || least(length(source), 9) AS info, substr(source, 4, 6) AS chunk FROM placed")
+def q_source_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.source_slice(placed(spark, sf_dir), 6, 3)
+
+
+@query(f"WITH {PLACED} SELECT fid, name, file_path, class_name, start_line, end_line FROM placed WHERE contains(path, 'promo')")
+def q_functions_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.functions_in(placed(spark, sf_dir), "promo", "shop")
+
+
+@query(f"""WITH {PLACED}, hits AS (SELECT *, CASE WHEN contains(name, '1') THEN 0 ELSE 1 END AS prio FROM placed WHERE contains(name, '1') OR contains(source, '1')) SELECT '1' AS symbol, fid, name, file_path FROM hits ORDER BY prio, fid LIMIT 15""")
+def q_contact_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.contact_points(placed(spark, sf_dir), "1", "shop", 15)
+
+
+@query("SELECT regexp_replace(url, '^https?://', '') AS file_path, regexp_extract(url, '^https?://([^/?#]+)', 1) AS imported FROM pages")
+def q_import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("/x/repo/"), F.regexp_replace("url", "^https?://", "")).alias("path"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("imported"))
+    return lookups.import_edges(pages, "repo")
+
+
+@query("""WITH e AS (SELECT DISTINCT 'S' || s_suppkey AS child, 'N' || s_nationkey AS parent FROM supplier UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation), c AS (SELECT child AS class_name FROM e UNION SELECT parent FROM e)
+SELECT class_name, coalesce((SELECT string_agg(parent, ',' ORDER BY parent) FROM e WHERE child = class_name), '') AS parents, coalesce((SELECT string_agg(child, ',' ORDER BY child) FROM e WHERE parent = class_name), '') AS children FROM c""")
+def q_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "supplier").select(F.expr("'S' || s_suppkey").alias("child"), F.expr("'N' || s_nationkey").alias("parent")).unionByName(table(spark, sf_dir, "nation").select(F.expr("'N' || n_nationkey").alias("child"), F.expr("'R' || n_regionkey").alias("parent")))
+    classes = e.select(F.col("child").alias("class_name")).unionByName(e.select(F.col("parent").alias("class_name")))
+    return lookups.inheritance(classes, e).select("class_name", F.array_join("parents", ",").alias("parents"), F.array_join("children", ",").alias("children"))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS fid, CASE WHEN l_returnflag = 'R' THEN 'WRITES' ELSE 'READS' END AS kind, 't' || l_partkey % 9 AS t FROM lineitem)
+SELECT o_orderkey AS fid, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM e WHERE fid = o_orderkey AND kind = 'READS'), '') AS reads, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM e WHERE fid = o_orderkey AND kind = 'WRITES'), '') AS writes FROM orders""")
+def q_tables_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fid"), F.when(F.col("l_returnflag") == "R", "WRITES").otherwise("READS").alias("kind"), F.expr("'t' || l_partkey % 9").alias("table"))
+    found = lookups.tables_touched(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fid")), e)
+    return found.select("fid", F.array_join("reads", ",").alias("reads"), F.array_join("writes", ",").alias("writes"))
+
+
+def order_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as log templates that customers emit."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("fid"), F.col("o_orderstatus").alias("text"), F.lower("o_orderpriority").alias("level"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 50).alias("line"), F.array(F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).otherwise(""), F.col("o_orderstatus")).alias("frags"))
+
+
+@query("SELECT c_custkey AS fid, c_mktsegment AS name, o_orderstatus AS text, lower(o_orderpriority) AS level, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 50 END AS line FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'")
+def q_function_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    functions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("fid"), F.col("c_mktsegment").alias("name")).filter("name = 'BUILDING'")
+    return lookups.templates_of(order_templates(spark, sf_dir), functions)
+
+
+def _trie(qualified: bool):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        functions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("fid"), F.when(F.col("c_nationkey") > 5, F.expr("'C' || c_nationkey")).alias("class_name"), F.col("c_mktsegment").alias("name"))
+        return lookups.trie_templates(order_templates(spark, sf_dir), functions, qualified).withColumn("frags", F.array_join("frags", "|"))
+
+    run.__name__ = "q_trie_templates" if qualified else "q_cached_templates"
+    return run
+
+
+for _qualified, _name in ((True, "CASE WHEN c_nationkey > 5 THEN 'C' || c_nationkey || '.' ELSE '' END || c_mktsegment"), (False, "c_mktsegment")):
+    query(f"SELECT c_custkey AS fid, o_orderpriority || '|' || o_orderstatus AS frags, {_name} AS fname, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 50 ELSE 0 END AS line FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'")(_trie(_qualified))
+
+
+@query(f"""WITH {PLACED}, f AS (SELECT fid, name, CASE WHEN fid % 3 = 0 THEN source END AS flow FROM placed), n AS (SELECT name, min(fid) AS nf, min_by(flow, fid) AS nflow FROM f WHERE flow IS NOT NULL GROUP BY name)
+SELECT fid, CASE WHEN flow IS NOT NULL THEN fid ELSE nf END AS flow_fid, coalesce(flow, nflow) AS flow FROM f LEFT JOIN n USING (name)""")
+def q_flow_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = placed(spark, sf_dir).withColumn("flow", F.when(F.col("fid") % 3 == 0, F.col("source")))
+    return lookups.flows_of(f, f)
+
+
+@query(f"""WITH {CALLS}, {FUNCTIONS}, {DEGREES}
+SELECT CASE WHEN coalesce(in_degree, 0) = 0 THEN 'entry' WHEN coalesce(out_degree, 0) = 0 THEN 'leaf' WHEN in_degree >= 10 THEN 'utility' WHEN in_degree <= 3 AND p_size > 25 THEN 'anchor' ELSE 'internal' END AS node_class, count(*) AS n FROM functions LEFT JOIN degrees USING (fid) GROUP BY 1""")
+def q_class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.class_histogram(graph.classified(functions_of(spark, sf_dir), calls_of(spark, sf_dir), F.col("p_size") > 25))
+
+
+SOURCES = "src AS (SELECT doc_id AS fid, text AS source, lang AS path, regexp_extract(text, '[a-z]{7,}', 0) AS w FROM documents), named AS (SELECT *, CASE WHEN w = '' THEN '' WHEN fid % 2 = 0 THEN 'get' || upper(w[1]) || w[2:] ELSE w END AS name FROM src)"
+
+
+def sources_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fid"), F.col("text").alias("source"), F.col("lang").alias("path"), F.regexp_extract("text", "[a-z]{7,}", 0).alias("w"))
+    return d.withColumn("name", F.when(F.col("w") == "", "").when(F.col("fid") % 2 == 0, F.concat(F.lit("get"), F.initcap("w"))).otherwise(F.col("w")))
+
+
+@query(f"""WITH {SOURCES}, words AS (SELECT fid AS src, unnest(list_distinct(regexp_extract_all(source, '\\w+'))) AS w FROM src),
+ranked AS (SELECT src, n.fid AS dst, row_number() OVER (PARTITION BY n.fid ORDER BY src) AS r FROM words JOIN (SELECT * FROM named WHERE fid % 2 = 0 AND w <> '') n USING (w) WHERE src <> n.fid)
+SELECT src, dst FROM ranked WHERE r <= 20""")
+def q_property_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = spark.createDataFrame([], "src bigint, dst bigint")
+    return graph.property_calls(sources_of(spark, sf_dir), none).select("src", "dst")
+
+
+@query(f"""WITH {CALLS}, {FUNCTIONS}, k AS (SELECT src AS fid, b.name, min(dst) AS d FROM calls JOIN functions b ON b.fid = dst GROUP BY 1, 2),
+n AS (SELECT fid, 0 AS node_id, name AS own FROM functions WHERE fid % 2 = 0), shown AS (SELECT n.fid, 0 AS node_id, 'x.' || n.own AS call_target, k.d AS call_target_id FROM n LEFT JOIN k ON k.fid = n.fid AND k.name = n.own)
+SELECT fid, node_id::BIGINT AS node_id, call_target, call_target_id FROM shown UNION ALL
+SELECT k.fid, (CASE WHEN n.fid IS NULL THEN -1 ELSE 0 END + row_number() OVER (PARTITION BY k.fid ORDER BY k.name))::BIGINT, k.name, d FROM k LEFT JOIN n ON n.fid = k.fid WHERE n.own IS NULL OR n.own <> k.name""")
+def q_injected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = functions_of(spark, sf_dir)
+    nodes = f.filter("fid % 2 = 0").select("fid", F.lit(0).cast("bigint").alias("node_id"), F.lit("call").alias("type"), F.concat(F.lit("x."), "name").alias("call_target"), F.lit(None).cast("bigint").alias("call_target_id"))
+    calls = calls_of(spark, sf_dir).join(f.select(F.col("fid").alias("dst"), "name"), "dst")
+    return lookups.called(nodes, calls).select("fid", "node_id", "call_target", "call_target_id")

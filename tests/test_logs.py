@@ -101,7 +101,7 @@ def test_profiles(tmp_path):
 
 
 def test_dialect():
-    assert java("(?P<a_b>x)(?P=a_b)") == r"(?<ab>x)\k<ab>" and java("^x", anchored=True) == r"\A(?:^x)"
+    assert java("(?P<a_b>x)(?P=a_b)") == r"(?<ax5Fb>x)\k<ax5Fb>" and java("(?P<ab>x)") == "(?<ab>x)" and java("^x", anchored=True) == r"\A(?:^x)"
     assert group_names(r"(a)(?P<b>c)(d)") == ["", "b", ""]
 
 

@@ -59,3 +59,25 @@ def test_related_failures(spark):
     kind = "array<struct<outcome:string,node_id:string,traceback:string>>"
     rows = spark.createDataFrame([([("failed", "t/test_a.py::x", "in core/mod.py")], ["core/mod.py"]), ([("passed", "core/mod.py", None)], ["core/mod.py"]), ([("error", "a", None)], ["", "zz"])], f"cases {kind}, needles array<string>")
     assert [r[0] for r in rows.select(evidence.related(F.col("cases"), F.col("needles"))).collect()] == [True, False, False]
+
+
+def test_paths_behind_the_last_segment_of_a_name(spark):
+    from logloom.operators import lookups
+
+    rows = [("/a/shop/b/shop/c.py",), ("/a/shopping/c.py",), ("shop/x.py",), ("C:\\w\\shop\\y.py",), ("/a/shop",)]
+    got = spark.createDataFrame(rows, "p string").select(lookups.relative(F.col("p"), "shop").alias("r")).collect()
+    assert [r.r for r in got] == ["c.py", "/a/shopping/c.py", "x.py", "y.py", ""]
+
+
+def test_blocks_and_tracebacks(spark):
+    text = "=== ERRORS ===\nlost\n___ ERROR collecting tests/x.py ___\nE one\n\n___ t::a ___\n\n=== FAILURES ===\n___ K::a ___\nfirst\n___ a ___\nsecond\n=== FAILURES ===\n___ b ___\nnot here\n=== short test summary info ===\nFAILED t.py::a - x\nERROR tests/x.py\nPASSED t.py::b\n=== 1 failed ==="
+    raw = spark.createDataFrame([(1, text), (2, ""), (3, None)], "k int, s string")
+    lines = evidence.report_lines(raw, "k", "s")
+    assert {(r.k, r.title, r.text) for r in evidence.blocks(lines, "k", "ERRORS").collect()} == {(1, "ERROR collecting tests/x.py", "E one"), (1, "t::a", "")}
+    assert {(r.node_id, r.outcome, r.traceback) for r in evidence.cases(lines, "k").collect()} == {("t.py::a", "failed", "first"), ("tests/x.py", "error", "E one"), ("t.py::b", "passed", None)}
+
+
+def test_classes_by_name_source_and_template(spark):
+    e = spark.createDataFrame([(1, "loads of save", "S"), (2, "- opening file: x", "S"), (3, "see wrote rows now", "S")], "entry_idx int, static_text string, class_name string")
+    c = spark.createDataFrame([("S", 10, "save", "log('opening file')", ["nope"]), ("S", 11, "other", "", ["wrote rows"]), ("T", 1, "save", "", None)], "class_name string, fid bigint, name string, source string, templates array<string>")
+    assert {r.entry_idx: (r.fid, r.rule) for r in resolve.by_class(e, c).collect()} == {1: (10, 2), 2: (10, 3), 3: (11, 4)}
