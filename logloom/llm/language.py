@@ -216,14 +216,15 @@ def fit(texts: list[bytes], labels: list[int], languages: list[str], hidden: int
 def train(docs: DataFrame, usable=None, text: str = "text", lang: str = "lang", id_column: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Network:
     """Fitted on a bounded sample, the same in each run, of rows with a language for which the condition `usable` holds.
 
-    Rows are counted by language over the whole table; in each language those with the smallest hashes of their id are
-    drawn. Rows with a null id, text or language, or a text over SAMPLE_BYTES, don't take part.
+    Rows are counted by language over the whole table; in each language those with the smallest hashes of their id and
+    text are drawn, so rows that share an id are drawn for themselves; equal rows share a place, and the first place of a
+    language is always drawn from. Rows with a null id, text or language, or a text over SAMPLE_BYTES, don't take part.
     """
     own = docs if usable is None else docs.filter(usable)
     own = own.select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).filter(F.col("_lang").isNotNull() & F.col("_id").isNotNull() & F.col("_text").isNotNull() & (F.octet_length("_text") <= SAMPLE_BYTES))
-    counts = own.groupBy("_lang").agg(F.count("*").alias("n"))
-    place = (F.shiftrightunsigned(F.xxhash64("_id"), 1) / F.lit(float(2**63))).alias("_place")
-    drawn = own.select("*", place).join(F.broadcast(counts), "_lang").filter(F.col("_place") <= 2.0 * per_language / F.col("n"))
+    own = own.withColumn("_place", F.shiftrightunsigned(F.xxhash64("_id", "_text"), 1) / F.lit(float(2**63)))
+    counts = own.groupBy("_lang").agg(F.count("*").alias("n"), F.min("_place").alias("_first"))
+    drawn = own.join(F.broadcast(counts), "_lang").filter(F.col("_place") <= F.greatest(2.0 * per_language / F.col("n"), F.col("_first")))
     best = drawn.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy("_place", "_id", "_text"))).filter(F.col("_r") <= per_language)
     rows = best.orderBy("_lang", "_r").select("_lang", F.col("_text").cast("binary")).toArrow()
     languages = sorted(set(rows.column(0).to_pylist()))

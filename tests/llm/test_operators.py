@@ -417,6 +417,12 @@ def test_components_by_brute_force(spark):
     assert got == {i: root(i) for p in pairs for i in p}
 
 
+def test_languages_of_rows_that_share_an_id_are_learned(spark):
+    rows = [(5, "le chat dort", "fr")] * 300 + [(6, f"bonjour {i}", "it") for i in range(300)] + [(i, f"the dog {i}", "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language.train(docs, per_language=10).languages == ["en", "fr", "it"]
+
+
 def test_languages_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = language.op8_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
