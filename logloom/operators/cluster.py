@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,3 +102,33 @@ def obvious_cause(errors: DataFrame, tier: str, root: str) -> DataFrame:
     out = errors.agg(F.count("*").alias("errors"), F.count_distinct(root).alias("roots"), F.coalesce(F.bool_and(F.col(tier) == 1), F.lit(False)).alias("_all"), F.min(root).alias("_root"))
     obvious = F.col("_all") & (F.col("roots") == 1)
     return out.select("errors", "roots", obvious.alias("obvious"), F.when(obvious, 0.9).otherwise(0.0).alias("confidence"), F.when(obvious, F.col("_root")).alias("root"))
+
+
+def cluster_id(fid: Column) -> Column:
+    return F.concat(F.lit("c_"), F.coalesce(fid, F.lit(-1)).cast("string"))
+
+
+def selected(entries: DataFrame, selection: str, fid: str, error: str = "is_error") -> DataFrame:
+    """The errors of the clusters that a user names: `all`, or ids (c_<fid>, c_-1: without a function) with commas between."""
+    errors = entries.filter(F.col(error))
+    if selection.strip().lower() == "all":
+        return errors
+    return errors.filter(cluster_id(F.col(fid)).isin([s.strip() for s in selection.split(",")]))
+
+
+def choices(clusters: DataFrame, related: DataFrame, summaries: DataFrame, most: int = 5) -> DataFrame:
+    """id, function, error_count, summary, related of error clusters: what a user picks from.
+
+    clusters: as of `error_clusters`. related: fid, related. summaries: fid, summary; without one the first two messages count.
+    """
+    both = clusters.join(related, "fid", "left").join(summaries.select("fid", "summary"), "fid", "left")
+    summary = F.coalesce(F.nullif("summary", F.lit("")), F.array_join(F.slice("samples", 1, 2), "; "))
+    few = F.slice(F.coalesce("related", F.array().cast("array<string>")), 1, most)
+    return both.select(cluster_id(F.col("fid")).alias("id"), F.col("name").alias("function"), "error_count", summary.alias("summary"), few.alias("related"))
+
+
+def error_flow(entries: DataFrame, idx: str, function: str, error: str = "is_error", before: int = 3, after: int = 2) -> DataFrame:
+    """error_idx, idx, function (`?` if unknown), marked: what ran around each error; an equi-join on the positions."""
+    around = entries.filter(F.col(error)).select(F.col(idx).alias("error_idx"), F.explode(F.sequence(F.col(idx) - before, F.col(idx) + after)).alias(idx))
+    near = around.join(entries.select(idx, F.coalesce(function, F.lit("?")).alias("function")), idx)
+    return near.select("error_idx", idx, "function", (F.col(idx) == F.col("error_idx")).alias("marked"))

@@ -276,3 +276,28 @@ def q_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_branch_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best candidates of entries that no candidate leads."""
     return told(spark, sf_dir).filter("decision = 'branch'").select("entry_idx", F.array_join(F.col("fids").cast("array<string>"), ",").alias("fids"))
+
+
+@query(f"""WITH {FAULTS}, e AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY entry_idx) AS r FROM faults WHERE is_error),
+near AS (SELECT DISTINCT e.fid, b.name FROM e JOIN faults b ON e.r <= 3 AND b.entry_idx BETWEEN e.entry_idx - 3 AND e.entry_idx + 3 AND b.name <> e.name),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY name) AS n FROM near), rel AS (SELECT fid, string_agg(name, ',' ORDER BY name) AS related FROM ranked WHERE n <= 5 GROUP BY fid),
+c AS (SELECT fid, max(name) AS function, count(*) AS error_count, string_agg(CASE WHEN r <= 2 THEN thread_id || ' ' || props END, '; ' ORDER BY entry_idx) AS s FROM e GROUP BY fid)
+SELECT 'c_' || fid AS id, function, error_count, CASE WHEN fid % 2 = 0 THEN 'about ' || function ELSE s END AS summary, coalesce(related, '') AS related FROM c LEFT JOIN rel USING (fid)""")
+def q_cluster_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even functions have a summary; the others show their first messages."""
+    named = faults_of(spark, sf_dir).withColumn("text", F.concat_ws(" ", F.col("thread_id").cast("string"), "props"))
+    clusters = cluster.error_clusters(named, "entry_idx", "fid", "name", "text")
+    summaries = named.select("fid").distinct().filter("fid % 2 = 0").withColumn("summary", F.expr("'about f' || fid"))
+    told = cluster.choices(clusters, cluster.related_functions(named, "entry_idx", "fid", "name"), summaries)
+    return told.withColumn("related", F.array_join("related", ","))
+
+
+@query(f"WITH {FAULTS} SELECT entry_idx, fid FROM faults WHERE is_error AND fid IN (3, 70, 71)")
+def q_selected_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.selected(faults_of(spark, sf_dir), "c_3, c_70,c_71", "fid").select("entry_idx", "fid")
+
+
+@query(f"""WITH {ENTRIES}, places AS (SELECT entry_idx AS error_idx, unnest(range(entry_idx - 3, entry_idx + 3)) AS entry_idx FROM entries WHERE is_error)
+SELECT error_idx, entry_idx, coalesce(function, '?') AS function, entry_idx = error_idx AS marked FROM places JOIN entries USING (entry_idx)""")
+def q_error_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.error_flow(events_of(spark, sf_dir), "entry_idx", "function")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Schemas of the engine's own tables.
 SCHEMAS = {
@@ -20,6 +21,11 @@ SCHEMAS = {
 }
 
 
+def contracts() -> dict[str, str]:
+    """The schema of each of the engine's tables as JSON, for other programs."""
+    return {name: T.StructType.fromDDL(ddl).json() for name, ddl in SCHEMAS.items()}
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """folder/name.parquet; a missing table of a known schema is empty."""
     path = f"{folder}/{name}.parquet"

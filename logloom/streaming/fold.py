@@ -15,16 +15,32 @@ STATE = "events bigint, lines bigint, phase string, red boolean, green boolean"
 FRAMES = "session_id string, seq bigint, event string, id string, data string"
 
 
-def stepped(state: tuple, event: str, new_line: bool) -> tuple:
-    """A red run resets green; green counts behind red only; a line counts once by its id."""
-    events, lines, phase, red, green = state
+#: What a stream keeps of a session: counts and the places of the events that decide. Rows may come in any order.
+MARKS = "events bigint, lines bigint, step bigint, step_event string, first_red bigint, last_red bigint, last_green bigint"
+NO_MARKS = (0, 0, None, None, None, None, None)
+
+
+def marked(marks: tuple, event: str, seq: int) -> tuple:
+    """The marks with one more event; the result doesn't depend on the order of calls."""
+    events, lines, step, step_event, first_red, last_red, last_green = marks
     if event == "red":
-        red, green, phase = True, False, "reproduced"
-    elif event == "green" and red:
-        green, phase = True, "verified"
-    elif event in ("started", "done"):
-        phase = event
-    return events + 1, lines + int(event == "line" and new_line), phase, red, green
+        first_red = seq if first_red is None else min(seq, first_red)
+        last_red = seq if last_red is None else max(seq, last_red)
+    elif event == "green":
+        last_green = seq if last_green is None else max(seq, last_green)
+    elif event in ("started", "done") and (step is None or (seq, event) > (step, step_event)):
+        step, step_event = seq, event
+    return events, lines, step, step_event, first_red, last_red, last_green
+
+
+def told(marks: tuple) -> tuple:
+    """The state that marks tell: a red run resets green, and green counts behind a red run only."""
+    events, lines, step, step_event, first_red, last_red, last_green = marks
+    places = [(step, step_event), (last_red, "reproduced")]
+    if last_red is not None and last_green is not None and last_green > first_red:
+        places.append((last_green, "verified"))
+    phase = max((p for p in places if p[0] is not None), default=(None, None))[1]
+    return events, lines, phase, last_red is not None, last_red is not None and last_green is not None and last_green > last_red
 
 
 def folded(events: DataFrame, session: str = "session_id", order: str = "seq") -> DataFrame:
@@ -39,22 +55,25 @@ def folded(events: DataFrame, session: str = "session_id", order: str = "seq") -
 
 
 class SessionFold(StatefulProcessor):
-    """Keeps each session's state and the ids of its lines; gives the state after each batch."""
+    """Keeps each session's marks and the ids of its lines; gives the state after each batch, however late rows come."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", STATE)
+        self.marks = handle.getValueState("marks", MARKS)
         self.seen = handle.getMapState("seen", "id string", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.state.get()) if self.state.exists() else (0, 0, None, False, False)
+        marks = tuple(self.marks.get()) if self.marks.exists() else NO_MARKS
         for pdf in rows:
-            for row in pdf.sort_values("seq").itertuples():
-                new = row.event == "line" and row.id is not None and not self.seen.containsKey((row.id,))
-                if new:
-                    self.seen.updateValue((row.id,), (1,))
-                state = stepped(state, row.event, new)
-        self.state.update(state)
-        yield pd.DataFrame([[key[0], *state]], columns=["session_id", "events", "lines", "phase", "red", "green"])
+            events, lines, *places = marks
+            for id_ in pdf.loc[pdf["event"] == "line", "id"].dropna().unique():
+                if not self.seen.containsKey((id_,)):
+                    self.seen.updateValue((id_,), (1,))
+                    lines += 1
+            marks = (events + len(pdf), lines, *places)
+            for event, seq in zip(pdf["event"], pdf["seq"], strict=True):
+                marks = marked(marks, event, int(seq))
+        self.marks.update(marks)
+        yield pd.DataFrame([[key[0], *told(marks)]], columns=["session_id", "events", "lines", "phase", "red", "green"])
 
     def close(self) -> None:
         pass
@@ -66,19 +85,38 @@ def fold_stream(events: DataFrame) -> DataFrame:
 
 
 class FrameReader(StatefulProcessor):
-    """Puts chunks of an SSE stream together: what stands behind the last blank line waits for the next chunk."""
+    """Puts chunks of an SSE stream together: what stands behind the last blank line waits for the next chunk.
+
+    A chunk that comes before its turn waits in the state, one that comes again is left out. A null chunk ends the stream:
+    what stands behind the last blank line is then a frame too.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rest = handle.getValueState("rest", "text string, seq bigint")
+        self.rest = handle.getValueState("rest", "text string, seq bigint, next bigint")
+        self.early = handle.getMapState("early", "n bigint", "chunk string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        text, seq = tuple(self.rest.get()) if self.rest.exists() else ("", 0)
-        out = []
+        text, seq, turn = tuple(self.rest.get()) if self.rest.exists() else ("", 0, 0)
+        waited = {k[0]: v[0] for k, v in self.early.iterator()}
+        waiting, ready, ended, out = dict(waited), [text], False, []
         for pdf in rows:
-            for chunk in pdf.sort_values("n")["chunk"]:
-                text += chunk
-        held = "\r" if text.endswith("\r") else ""  # it may be half of a line end
+            for n, chunk in zip(pdf["n"], pdf["chunk"], strict=True):
+                if n >= turn:
+                    waiting[int(n)] = None if pd.isna(chunk) else chunk
+            while turn in waiting:
+                chunk = waiting.pop(turn)
+                ended |= chunk is None
+                ready.append(chunk or "")
+                turn += 1
+        for n in waited.keys() - waiting.keys():
+            self.early.removeKey((n,))
+        for n in waiting.keys() - waited.keys():
+            self.early.updateValue((n,), (waiting[n],))
+        text = "".join(ready)
+        held = "\r" if text.endswith("\r") and not ended else ""  # it may be half of a line end
         *whole, text = text[: len(text) - len(held)].replace("\r\n", "\n").replace("\r", "\n").split("\n\n")
+        if ended:
+            whole, text = [*whole, text], ""
         for frame in whole:
             found: dict[str, list[str]] = {}
             for line in frame.split("\n"):
@@ -88,7 +126,7 @@ class FrameReader(StatefulProcessor):
             if found.keys() & {"data", "event", "id"}:
                 out.append((key[0], seq, "\n".join(found.get("event", ["message"])), "\n".join(found["id"]) if "id" in found else None, "\n".join(found["data"]) if "data" in found else None))
                 seq += 1
-        self.rest.update((text + held, seq))
+        self.rest.update((text + held, seq, turn))
         yield pd.DataFrame(out, columns=["session_id", "seq", "event", "id", "data"])
 
     def close(self) -> None:
@@ -96,7 +134,7 @@ class FrameReader(StatefulProcessor):
 
 
 def frame_stream(chunks: DataFrame) -> DataFrame:
-    """Frames of a stream of chunks (session_id, n, chunk); a chunk may end anywhere."""
+    """Frames of a stream of chunks (session_id, n, chunk); n counts a session's chunks from 0, a chunk may end anywhere."""
     return chunks.groupBy("session_id").transformWithStateInPandas(FrameReader(), FRAMES, "Append", "None")
 
 

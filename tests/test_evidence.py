@@ -136,15 +136,63 @@ def test_frames_and_json(spark):
 EVENTS = [("green", None), ("started", None), ("line", "1"), ("line", "1"), ("red", None), ("line", "2"), ("green", None), ("red", None), ("done", None)]
 
 
+def _in_order(events):
+    """The state by one pass over events in order."""
+    phase, red, green, lines = None, False, False, set()
+    for event, key in events:
+        if event == "red":
+            phase, red, green = "reproduced", True, False
+        elif event == "green" and red:
+            phase, green = "verified", True
+        elif event in ("started", "done"):
+            phase = event
+        elif event == "line" and key is not None:
+            lines.add(key)
+    return len(events), len(lines), phase, red, green
+
+
 def test_fold_of_every_prefix(spark):
     for n in range(1, len(EVENTS) + 1):
-        state, seen = (0, 0, None, False, False), set()
-        for event, key in EVENTS[:n]:
-            state = fold.stepped(state, event, event == "line" and key not in seen)
-            seen.add(key)
+        state = _in_order(EVENTS[:n])
         rows = [("s", i, e, k) for i, (e, k) in enumerate(EVENTS[:n])]
         got = fold.folded(spark.createDataFrame(rows, "session_id string, seq bigint, event string, id string")).first()
         assert tuple(got)[1:] == state, n
+        for order in (rows, rows[::-1], rows[1::2] + rows[::2]):
+            marks = fold.NO_MARKS
+            for _, seq, event, _ in order:
+                marks = fold.marked(marks, event, seq)
+            assert fold.told((n, state[1], *marks[2:])) == state, n
+
+
+def test_states_of_late_rows(spark, tmp_path):
+    rows = [("s", i, e, k) for i, (e, k) in enumerate(EVENTS)]
+    for part in (rows[1::2], rows[::2]):
+        spark.createDataFrame(part[::-1], "session_id string, seq bigint, event string, id string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema("session_id string, seq bigint, event string, id string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        job = fold.fold_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out"))).start()
+        job.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    last = spark.read.parquet(str(tmp_path / "out")).orderBy("events").collect()
+    assert len(last) == 2 and tuple(last[-1])[1:] == _in_order(EVENTS)
+
+
+def test_chunks_in_any_order(spark, tmp_path):
+    text = "".join(f"id: {i}\r\ndata: x{i}\r\n\r\n" for i in range(20)) + "data: tail\n"
+    cuts = [(n, text[i : i + 11]) for n, i in enumerate(range(0, len(text), 11))]
+    cuts.append((len(cuts), None))
+    for part in (cuts[2::3], cuts[:1] + cuts[1::3], cuts[::3]):
+        spark.createDataFrame([("s", n, c) for n, c in part[::-1]], "session_id string, n bigint, chunk string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema("session_id string, n bigint, chunk string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    job = fold.frame_stream(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    job.awaitTermination()
+    got = [(r.id, r.data) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()]
+    assert got == [(str(i), f"x{i}") for i in range(20)] + [(None, "tail")]
 
 
 def test_streams_cut_anywhere(spark, tmp_path):

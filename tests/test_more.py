@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,24 @@ def test_classes_by_name_source_and_template(spark):
     e = spark.createDataFrame([(1, "loads of save", "S"), (2, "- opening file: x", "S"), (3, "see wrote rows now", "S")], "entry_idx int, static_text string, class_name string")
     c = spark.createDataFrame([("S", 10, "save", "log('opening file')", ["nope"]), ("S", 11, "other", "", ["wrote rows"]), ("T", 1, "save", "", None)], "class_name string, fid bigint, name string, source string, templates array<string>")
     assert {r.entry_idx: (r.fid, r.rule) for r in resolve.by_class(e, c).collect()} == {1: (10, 2), 2: (10, 3), 3: (11, 4)}
+
+
+def test_contracts_tell_the_schemas(spark):
+    from pyspark.sql import types as T
+
+    from logloom.sources import tables
+
+    found = {k: T.StructType.fromJson(json.loads(v)) for k, v in tables.contracts().items()}
+    assert found.keys() == tables.SCHEMAS.keys()
+    assert all(spark.createDataFrame([], tables.SCHEMAS[k]).schema == v for k, v in found.items())
+
+
+def test_selected_clusters_and_flow(spark):
+    from logloom.operators import cluster
+
+    rows = [(1, None, None, False), (2, "a", 7, True), (3, None, None, True), (4, "b", 8, True), (9, "c", 7, False)]
+    e = spark.createDataFrame(rows, "i bigint, function string, fid bigint, is_error boolean")
+    chosen = lambda s: sorted(r.i for r in cluster.selected(e, s, "fid").collect())
+    assert chosen(" ALL ") == [2, 3, 4] and chosen("c_7, c_-1") == [2, 3] and chosen("none") == []
+    flow = cluster.error_flow(e.withColumn("is_error", F.col("i") == 4), "i", "function").orderBy("i").collect()
+    assert [(r.error_idx, r.i, r.function, r.marked) for r in flow] == [(4, 1, "?", False), (4, 2, "a", False), (4, 3, "?", False), (4, 4, "b", True)]
