@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, licenses, lm, neardup, packing, repetition, toxicity, warc, winnow
+from . import bpe, counts, language, licenses, lm, neardup, packing, periods, repetition, toxicity, variants, warc, winnow
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language.op8_language_id,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_warc": warc.op10_warc,
+        "op11_periodic_runs": periods.op11_periodic_runs,
+        "op12_spelling_variants": variants.op12_spelling_variants,
+        "op13_token_counts": counts.op13_token_counts,
     }
 
 
