@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions import languages
 from ..functions import text as fn
+from ..functions.languages import Language
 
 # Shortest key, shortest single fragment without a symbol.
 KEY, SINGLE = 3, 10
@@ -57,13 +58,29 @@ def lenient(message: Column, frags: Column) -> Column:
     return F.coalesce(F.contains(message, F.trim(long)), F.lit(False))
 
 
-def extracted(functions: DataFrame, source: str = "source", language: str = "java") -> DataFrame:
-    """fid, line (from 1), level, text, frags of log calls in function sources, up to three lines each."""
+def scanned(functions: DataFrame, source: str = "source", language: str | Language = "java") -> DataFrame:
+    """fid, line (from 1), level, text, frags of the log calls that stand on one line of a source."""
     lines = functions.select("fid", F.posexplode(F.split(source, "\n")).alias("n", "l"))
-    w = Window.partitionBy("fid").orderBy("n")
-    joined = lines.withColumn("stmt", F.concat_ws(" ", "l", F.when(~F.contains("l", F.lit(")")), F.lead("l", 1).over(w)), F.when(~F.contains("l", F.lit(")")) & ~F.contains(F.coalesce(F.lead("l", 1).over(w), F.lit(")")), F.lit(")")), F.lead("l", 2).over(w))))
-    call = r"(?i)\blog(?:ger|ging)?\s*\.\s*(trace|debug|info|warn(?:ing)?|error|fatal|critical)\s*[\(\"]"
-    text = F.coalesce(F.nullif(F.regexp_extract("stmt", "\"(.*)\"", 1), F.lit("")), F.nullif(F.regexp_extract("stmt", "'([^']*)'", 1), F.lit("")))
-    found = joined.filter(F.col("l").rlike(call)).withColumns({"level": F.replace(F.lower(F.regexp_extract("l", call, 1)), F.lit("warning"), F.lit("warn")), "text": text})
-    told = found.withColumn("frags", fn.fragments(F.col("text"))).filter(F.length(F.array_join("frags", "")) >= 3)
-    return told.select("fid", (F.col("n") + 1).alias("line"), "level", "text", "frags")
+    return _told(lines.withColumn("_c", languages.log_call(F.col("l"), language)).filter("_c IS NOT NULL").withColumn("_s", F.col("_c.rest")), language, 3)
+
+
+def extracted(functions: DataFrame, source: str = "source", language: str | Language = "java") -> DataFrame:
+    """fid, line (from 1), level, text, frags of log calls in function sources that may go on for three more lines.
+
+    A call goes on until a line ends with a closing bracket or holds `);`. The lines behind each one are known from its own source, so
+    nothing is shuffled.
+    """
+    all_lines = F.split(source, "\n")
+    lines = functions.select("fid", F.posexplode(F.transform(all_lines, lambda l, i: F.struct(l.alias("l"), F.slice(all_lines, i + 2, F.lit(3)).alias("more")))).alias("n", "x")).select("fid", "n", "x.l", "x.more")
+    called = lines.withColumn("_c", languages.log_call(F.col("l"), language)).filter("_c IS NOT NULL")
+    ends = lambda l: F.contains(l, F.lit(");")) | l.rlike(r"\)\s*\z")
+    step = lambda s, l: F.when(s["done"], s).otherwise(F.struct(F.concat(s["text"], F.lit(" "), F.regexp_replace(l, r"\A\s+|\s+\z", "")).alias("text"), ends(l).alias("done")))
+    begin = F.struct(F.col("_c.rest").alias("text"), F.col("_c.rest").rlike(r"\)(?:;)?\s*\z").alias("done"))
+    whole = called.withColumn("_s", F.aggregate("more", begin, step, lambda s: s["text"]))
+    return _told(whole, language, 1)
+
+
+def _told(called: DataFrame, language: str | Language, least: int) -> DataFrame:
+    said = called.withColumn("_q", languages.quoted(F.col("_s"))).filter("_q IS NOT NULL")
+    told = said.withColumn("frags", languages.fragments(F.col("_q"), language))
+    return told.select("fid", (F.col("n") + 1).alias("line"), F.col("_c.level").alias("level"), F.array_join("frags", "").alias("text"), "frags").filter((F.size("frags") > 0) & (F.length("text") >= least))

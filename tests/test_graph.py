@@ -134,7 +134,7 @@ SOURCE = """def run(x) {
         helper.call(x)
         log.warn("big")
     }
-    go(x)
+    x.go(x)
     return x
 }"""
 
@@ -143,12 +143,12 @@ def test_flow_graphs(spark):
     f = spark.createDataFrame([(1, SOURCE)], "fid bigint, source string")
     nodes = flows.nodes(f)
     got = [(r.node_id, r.type, r.line, r.log_level, r.call_target, r.branch_depth) for r in nodes.orderBy("node_id").collect()]
-    assert got == [(0, "log", 2, "info", None, 1), (1, "branch", 3, None, None, 1), (2, "call", 4, None, "helper.call", 2), (3, "log", 5, "warn", None, 2), (4, "call", 7, None, "go", 1), (5, "return", 8, None, None, 1)]
+    assert got == [(0, "log", 2, "info", None, 0), (1, "branch", 3, None, None, 0), (2, "call", 4, None, "helper.call", 1), (3, "log", 5, "warn", None, 1), (4, "call", 7, None, "x.go", 0), (5, "return", 8, None, None, 0)]
     links = flows.edges(nodes)
-    assert sorted((r.src, r.dst, r.edge_type) for r in links.collect()) == [(0, 1, "next"), (1, 2, "branch_true"), (1, 4, "fallthrough"), (2, 3, "next"), (3, 4, "next"), (4, 5, "next")]
+    assert sorted((r.src, r.dst, r.edge_type) for r in links.collect()) == [(0, 1, "next"), (1, 2, "next"), (1, 4, "branch_false"), (2, 3, "next"), (3, 4, "next"), (4, 5, "next")]
     stay, bridged = flows.contracted(nodes, links, spark.createDataFrame([("call",)], "name string"))
     assert sorted(r.node_id for r in stay.collect()) == [0, 1, 2, 3, 5]
-    assert sorted((r.src, r.dst, r.edge_type) for r in bridged.collect()) == [(0, 1, "next"), (1, 2, "branch_true"), (1, 5, "next"), (2, 3, "next"), (3, 5, "next")]
+    assert sorted((r.src, r.dst, r.edge_type) for r in bridged.collect()) == [(0, 1, "next"), (1, 2, "next"), (1, 5, "next"), (2, 3, "next"), (3, 5, "next")]
 
 
 def test_logs_of_callees_are_merged_in_place(spark):
