@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -34,9 +35,9 @@ class _Encoder:
     """Texts to their ids as little-endian unsigned 32-bit bytes, with id 0 at the end.
 
     The vocabulary's pieces never span white space and never join a run of letters to punctuation other than an
-    apostrophe, and upper and lower case have equal ids. So a text's ids are those of its words in a row, and each
-    distinct word, or run of letters, is encoded once while it is remembered. Texts that hold a special token's string,
-    in any case, go through the tokenizer as they are.
+    apostrophe. So a text's ids are those of its words in a row, and each distinct word, or run of letters that are
+    letters after the tokenizer's own normal form too, is encoded once while it is remembered, as it is written (what
+    composes depends on case). Texts that hold a special token's string, in any case, go through the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -86,9 +87,8 @@ class _Encoder:
                 start = end
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        lower = [t.lower() for t in texts]
-        whole = {i: self._plain(texts[i]) + b"\0\0\0\0" for i, t in enumerate(lower) if b"<|" in t and any(x in t for x in _SPECIAL)}
-        split = [() if i in whole else t.split() for i, t in enumerate(lower)]
+        whole = {i: self._plain(t) + b"\0\0\0\0" for i, t in enumerate(texts) if b"<|" in t and any(x in t.lower() for x in _SPECIAL)}
+        split = [() if i in whole else t.split() for i, t in enumerate(texts)]
         used = set().union(*split)
         new = used - self.words.keys()
         if self.held > MEMO_BYTES:
@@ -97,7 +97,7 @@ class _Encoder:
         letters, others = set(), set()
         for w in new:
             head = w.rstrip(_TAIL)
-            if (head.isalpha() if head.isascii() else head.decode("utf-8", "replace").isalpha()):
+            if head.isalpha() if head.isascii() else unicodedata.normalize("NFC", head.decode("utf-8", "replace")).lower().isalpha():
                 if head not in self.words:
                     letters.add(head)
                 if head != w:

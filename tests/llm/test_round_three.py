@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 import tokenizers
 
-from logloom.llm import counts, periods, variants
+from logloom.llm import counts, packing, periods, variants
 
 SF = "/root/testdata/sf0.001"
 
@@ -232,3 +232,13 @@ def test_token_counts_of_documents(spark, texts, odd):
     model = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for r in rows.collect():
         assert r.n_tokens == len(model.encode(r.text or "", add_special_tokens=False).ids) and r.over_limit == bool(r.text)
+
+
+def test_packing_ids_are_the_tokenizers():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = tokenizers.Tokenizer.from_file(path), packing._Encoder(path)
+    rng = random.Random(7)
+    letters = [*"abTHJWYtß éÉİıĞ\n\t.,'!’-0", "̈", "̱", "̇", "̌", "́", *"ﬁΣς漢한각", " ", "　", "😀", "Å", "K", "‍", "٣", "<|startoftext|>", "Ǆ"]
+    many = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(5000)] + ["EKONOMİ.", "T̈a.", "H̱", "ALİ'nin", "İ"]
+    got = [ids for i in range(0, len(many), 250) for ids in encoder([t.encode() for t in many[i : i + 250]])]
+    assert got == [np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in many]
