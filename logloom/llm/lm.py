@@ -28,7 +28,7 @@ HOT = 1 << 17
 CLUSTERED, AROUND, CLASSES = 16_384, 32, 128
 #: Classes of the most frequent words hold one word each. So many words have a vector of their own as context, others their class's.
 SINGLE, CONTEXT_WORDS = 32, 1024
-CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 24, 48, 4096, 0.1
+CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 4, 24, 48, 2048, 0.1
 #: Noise entries of a class, and tokens that its entries are trained on at once.
 WORD_NOISE, WORD_BATCH = 24, 1 << 15
 #: Documents that the model starts from before it is trained on the whole corpus, and their most tokens.
