@@ -202,6 +202,20 @@ def pair_hops(pairs: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
     return wanted.join(seen.select(F.col("s").alias("src"), F.col("id").alias("dst"), "hops"), ["src", "dst"])
 
 
+def hops_between(sources: DataFrame, targets: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
+    """src, dst, hops of each source (id) and each target (id) that a path of 1 to `most` calls leads to; no pair is made before a path is."""
+    edges = edges.select("src", "dst").distinct()
+    seen = sources.select(F.col("id").alias("s")).filter("s IS NOT NULL").distinct().select("s", F.col("s").alias("id"), F.lit(0).alias("hops"))
+    frontier = seen
+    for hop in range(1, most + 1):
+        step = frontier.join(edges, frontier["id"] == edges["src"]).select("s", F.col("dst").alias("id")).distinct()
+        frontier = written(step.join(seen.select("s", "id"), ["s", "id"], "left_anti").withColumn("hops", F.lit(hop)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.filter("hops > 0").join(targets.select("id").distinct(), "id", "left_semi").select(F.col("s").alias("src"), F.col("id").alias("dst"), "hops")
+
+
 def domains(functions: DataFrame, calls: DataFrame, hops: int = 5, least: int = 5) -> DataFrame:
     """entry, members (how many functions its tree holds): of entry points that call something and reach `least` or more."""
     edges = calls.select("src", "dst").distinct()

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import pair_hops, written
+from .graph import hops_between, written
+from .substrings import contained
 from .templates import matched
 
 # Confidence of each way to a function.
 CONFIDENCE = {"stack": 0.95, "hit": 0.85, "class": 0.60, "neighbour": 0.55}
 SHORTEST = 5
+#: Stands for a function that is told but isn't in the graph.
+UNKNOWN = -1
+#: Packages of the platform, whose frames are no application's.
+PLATFORM = ["java.", "javax.", "sun.", "com.sun.", "jdk.", "groovy.", "org.codehaus.groovy"]
 
 
 def first_pass(entries: DataFrame, templates: DataFrame, stacks: DataFrame | None = None, idx: str = "entry_idx", text: str = "static_text") -> DataFrame:
@@ -57,39 +62,40 @@ def hop_score(hops: Column, same: Column, first: Column) -> Column:
     return F.when(first, 0.4).when(same, 0.9).when(hops > 0, 0.4 + 0.5 / hops).otherwise(0.4)
 
 
-def pick(scores: DataFrame, idx: str = "entry_idx") -> DataFrame:
-    """idx, decision (resolved, branch, open), fid, top, gap: of candidates (idx, fid, score) of ambiguous entries.
-
-    Resolved if the best is over 0.5 and 0.2 ahead of the next; a branch point if it is over 0.3. Ties: smaller fid.
-    """
-    order = Window.partitionBy(idx).orderBy(F.desc("score"), "fid")
-    ranked = scores.withColumn("r", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).filter("r = 1")
-    gap = F.col("score") - F.coalesce("next", F.lit(0.0))
-    decision = F.when((F.col("score") > 0.5) & (gap > 0.2), "resolved").when(F.col("score") > 0.3, "branch").otherwise("open")
-    return ranked.select(idx, decision.alias("decision"), "fid", F.col("score").alias("top"), gap.alias("gap"))
-
-
 def previous_on_thread(entries: DataFrame, thread: str, idx: str, function: str) -> DataFrame:
     """Adds previous: the last non-null function on the same thread before the entry."""
     w = Window.partitionBy(thread).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
     return entries.withColumn("previous", F.last(function, ignorenulls=True).over(w))
 
 
-def _scored(hops: Column, previous: Column, candidate: Column) -> Column:
-    return hop_score(hops, F.coalesce(previous == candidate, F.lit(False)), previous.isNull())
-
-
 def transitions(sets: DataFrame, hops: DataFrame) -> DataFrame:
-    """before, candidates, moves: for each id that may have come before ('' for none), what the candidates are decided to be.
+    """before, candidates, moves: what candidates are decided to be, by the id that came before.
 
-    sets: before, candidates (arrays of ids), once each. hops: src, dst, hops. moves: map from id to (decision, fid, score).
+    sets: before, candidates (arrays of ids), once each. hops: src, dst, hops. moves: map from an id of `before` that is a
+    candidate or leads to one, to (decision, fid, score); '' has the same for all other ids and for none, with the smallest
+    candidate and a score of 0.4. Ids meet candidates through the hops, so no set is multiplied by another.
     """
-    pairs = sets.select("before", "candidates", F.explode_outer("before").alias("previous")).unionByName(sets.select("before", "candidates", F.lit(None).cast("bigint").alias("previous"))).distinct()
-    each = pairs.select("*", F.explode("candidates").alias("fid"))
-    scored = each.join(hops.select(F.col("src").alias("previous"), F.col("dst").alias("fid"), "hops"), ["previous", "fid"], "left").withColumn("score", _scored(F.col("hops"), F.col("previous"), F.col("fid")))
-    state = F.coalesce(F.col("previous").cast("string"), F.lit(""))
-    decided = pick(scored.withColumn("_k", F.struct("before", "candidates", state.alias("state"))), "_k")
-    return decided.groupBy("_k.before", "_k.candidates").agg(F.map_from_entries(F.collect_list(F.struct("_k.state", F.struct("decision", "fid", F.col("top").alias("score"))))).alias("moves"))
+    keyed = sets.select("before", "candidates", F.xxhash64("before", "candidates").alias("_k"))
+    before = keyed.select("before", "candidates", "_k", F.explode("before").alias("previous")).distinct()
+    after = keyed.select("_k", F.explode("candidates").alias("fid")).distinct()
+    same = before.select(F.col("previous").alias("src"), F.col("previous").alias("dst"), F.lit(0).alias("hops")).distinct()
+    known = hops.select("src", "dst", F.col("hops").cast("int").alias("hops")).filter("src <> dst").unionByName(same)
+    led = before.join(known, before["previous"] == known["src"]).join(after.withColumnRenamed("fid", "dst"), ["_k", "dst"])
+    score = hop_score(F.col("hops"), F.col("hops") == 0, F.lit(False))
+    top = led.groupBy("before", "candidates", "previous").agg(F.slice(F.array_sort(F.collect_list(F.struct((-score).alias("s"), F.col("dst").alias("fid")))), 1, 2).alias("_t"))
+    first = -F.get("_t", F.lit(0))["s"]
+    next_ = F.when(F.size("_t") > 1, -F.get("_t", F.lit(1))["s"]).when(F.size(F.array_distinct("candidates")) > 1, 0.4).otherwise(0.0)
+    moves = top.select("before", "candidates", F.struct(F.col("previous").cast("string").alias("state"), _decision(first, next_, F.get("_t", F.lit(0))["fid"]).alias("move")).alias("m"))
+    told = moves.groupBy("before", "candidates").agg(F.map_from_entries(F.collect_list("m")).alias("moves"))
+    other = _decision(F.lit(0.4), F.when(F.size(F.array_distinct("candidates")) > 1, 0.4).otherwise(0.0), F.array_min("candidates"))
+    plain = F.create_map(F.lit(""), other)
+    return sets.join(told, ["before", "candidates"], "left").select("before", "candidates", F.when(F.col("moves").isNull(), plain).otherwise(F.map_concat("moves", plain)).alias("moves"))
+
+
+def _decision(score: Column, following: Column, fid: Column) -> Column:
+    """resolved if the score is over 0.5 and 0.2 ahead of the next one, a branch point over 0.3, else open."""
+    told = F.when((score > 0.5) & (score - following > 0.2), "resolved").when(score > 0.3, "branch").otherwise("open")
+    return F.struct(told.alias("decision"), fid.cast("bigint").alias("fid"), score.cast("double").alias("score"))
 
 
 def thread_steps(entries: DataFrame, thread: str, idx: str, block: int) -> DataFrame:
@@ -112,8 +118,8 @@ def _in_order(steps: DataFrame, keys: list[str], order: str, run, schema: str) -
     return steps.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
 
 
-def _follow(moves, ambiguous: bool, fid, state: str) -> str:
-    return str(dict(moves)[state]["fid"]) if ambiguous else str(int(fid))
+def _move(moves: dict, state: str):
+    return moves.get(state) or moves[""]
 
 
 def _ends(batches):
@@ -123,11 +129,12 @@ def _ends(batches):
     key, ends = None, {}
     for pdf in batches:
         out = []
-        for t, b, before, fid, ambiguous, moves in zip(pdf["_t"], pdf["_b"], pdf["before"], pdf["fid"], pdf["ambiguous"], pdf["moves"], strict=True):
+        for t, b, before, fid, ambiguous, moves in zip(*[pdf[c] for c in ("_t", "_b", "before", "fid", "ambiguous", "moves")], strict=True):
             if (t, b) != key:
                 out += [(*key, *x) for x in ends.items()] if key else []
                 key, ends = (t, b), {s: s for s in ["", *(str(int(x)) for x in before)]}
-            ends = {s: _follow(moves, ambiguous, fid, now) for s, now in ends.items()}
+            told = dict(moves) if ambiguous else {}
+            ends = {s: str(_move(told, now)["fid"] if ambiguous else int(fid)) for s, now in ends.items()}
         yield pd.DataFrame(out, columns=["_t", "_b", "start", "stop"])
     yield pd.DataFrame([(*key, *x) for x in ends.items()] if key else [], columns=["_t", "_b", "start", "stop"])
 
@@ -153,11 +160,11 @@ def _decisions(batches):
     key, state = None, ""
     for pdf in batches:
         out = []
-        for t, b, i, enters, fid, ambiguous, moves in zip(pdf["_t"], pdf["_b"], pdf["_i"], pdf["enters"], pdf["fid"], pdf["ambiguous"], pdf["moves"], strict=True):
+        for t, b, i, enters, fid, ambiguous, moves in zip(*[pdf[c] for c in ("_t", "_b", "_i", "enters", "fid", "ambiguous", "moves")], strict=True):
             if (t, b) != key:
                 key, state = (t, b), enters
             if ambiguous:
-                move = dict(moves)[state]
+                move = _move(dict(moves), state)
                 out.append((i, move["decision"], move["fid"], move["score"]))
                 state = str(move["fid"])
             else:
@@ -177,8 +184,7 @@ def ambiguous_on_thread(entries: DataFrame, hops: DataFrame | None = None, threa
     steps = written(thread_steps(entries, thread, idx, block))
     sets = written(steps.filter("ambiguous").select("before", F.col("ids").alias("candidates")).distinct())
     if hops is None:
-        pairs = sets.select(F.explode("before").alias("src"), "candidates").select("src", F.explode("candidates").alias("dst")).filter("src <> dst")
-        hops = pair_hops(pairs, calls)
+        hops = hops_between(sets.select(F.explode("before").alias("id")), sets.select(F.explode("candidates").alias("id")), calls)
     known = transitions(sets, hops).withColumnRenamed("candidates", "ids").withColumn("ambiguous", F.lit(True))
     ready = written(steps.join(known, ["before", "ids", "ambiguous"], "left").select("_t", "_b", "_i", "before", F.get("ids", F.lit(0)).alias("fid"), "ambiguous", "moves"))
     ends = _in_order(ready, ["_t", "_b"], "_i", _ends, "_t string, _b bigint, start string, stop string")
@@ -201,11 +207,15 @@ def near_resolved(entries: DataFrame, idx: str, tier: str, thread: str | None =
 
 
 def logger_class(line: Column, patterns: list[str]) -> Column:
-    """The logger of a line: group `logger` of the first pattern that matches, else the word between ] and a colon."""
+    """The logger of a line: group `logger` of the first pattern that matches (null where it is empty), else the word between ] and a colon."""
     from ..config import group_names, java
 
-    found = [F.when(line.rlike(java(p, anchored=True)), F.nullif(F.regexp_extract(line, java(p, anchored=True), group_names(p).index("logger") + 1), F.lit(""))) for p in patterns if "logger" in group_names(p)]
-    return F.coalesce(*found, F.nullif(F.regexp_extract(line, r"\]\s+([\w.$]+)\s+:", 1), F.lit("")))
+    found = F.nullif(F.regexp_extract(line, r"\]\s+([\w.$]+)\s+:", 1), F.lit(""))
+    for p in reversed(patterns):
+        whole, names = java(p, anchored=True), group_names(p)
+        told = F.nullif(F.regexp_extract(line, whole, names.index("logger") + 1), F.lit("")) if "logger" in names else F.nullif(F.regexp_extract(line, r"\]\s+([\w.$]+)\s+:", 1), F.lit(""))
+        found = F.when(line.rlike(whole), told).otherwise(found)
+    return found
 
 
 def by_class(entries: DataFrame, candidates: DataFrame, idx: str = "entry_idx", text: str = "static_text") -> DataFrame:
@@ -215,44 +225,54 @@ def by_class(entries: DataFrame, candidates: DataFrame, idx: str = "entry_idx",
     The longest function name in the message leads: it wins if a template of its own is there (rule 0), else the first
     function with a template there does (1), else it wins all the same (2). Without a name, the first function whose
     source holds the head of the message (3), or with a template there (4). Ties and firsts go by fid. Entries with an
-    empty message have no candidate. Functions meet distinct messages of their class, of which few are taken further.
+    empty message have no candidate. Names, templates and heads meet texts of their class by their rarest three characters.
     """
     functions = candidates if "source" in candidates.columns else candidates.withColumn("source", F.lit(None).cast("string"))
     functions = functions.select("class_name", "fid", "name", "source", F.coalesce("templates", F.array().cast("array<string>")).alias("templates"))
+    by = ["class_name"]
     messages = entries.filter(F.length(text) > 0).select("class_name", F.col(text).alias("_m")).distinct()
-    told = lambda least: F.exists("templates", lambda t: (F.length(t) > least) & F.contains(F.col("_m"), t))
     head = F.trim(F.substring_index(F.substring_index(F.regexp_replace(F.trim("_m"), "^[- ]+", ""), "---", 1), ":", 1))
-    head = F.substring(head, 1, 40)
-    marked = messages.join(functions, "class_name").select("class_name", "_m", "fid", F.length("name").alias("_n"), F.contains(F.lower("_m"), F.lower("name")).alias("_named"), told(3).alias("_own"), told(5).alias("_told"), ((F.length(head) > 5) & F.contains("source", head)).alias("_source"))
-    first = lambda c: F.min(F.when(c, F.col("fid")))
-    best = marked.groupBy("class_name", "_m").agg(F.min(F.when(F.col("_named"), F.struct((-F.col("_n")).alias("n"), "fid", "_own"))).alias("_w"), first(F.col("_told")).alias("_t"), first(F.col("_source")).alias("_s"))
+    heads = messages.withColumn("_h", F.substring(head, 1, 40)).filter(F.length("_h") > 5)
+    own = functions.select("class_name", "fid", F.lower("name").alias("_n"), F.length("name").alias("_size")).filter("_n <> ''")
+    low = messages.withColumn("_low", F.lower("_m"))
+    said = contained(low, own, "_low", "_n", by).drop("at").join(low, [*by, "_low"]).join(own, [*by, "_n"])
+    best = said.groupBy(*by, "_m").agg(F.min(F.struct((-F.col("_size")).alias("n"), "fid")).alias("_w"))
+    texts = functions.select("class_name", "fid", F.explode("templates").alias("_x")).filter(F.length("_x") > 3).distinct()
+    told = contained(messages, texts, "_m", "_x", by).drop("at").join(texts, [*by, "_x"]).groupBy(*by, "_m", "fid").agg(F.max(F.length("_x")).alias("_l"))
+    sources = functions.select("class_name", "fid", "source").filter("source IS NOT NULL")
+    sourced = contained(sources, heads, "source", "_h", by).drop("at").join(sources, [*by, "source"]).groupBy(*by, "_h").agg(F.min("fid").alias("_s")).join(heads, [*by, "_h"]).select(*by, "_m", "_s")
+    first = told.groupBy(*by, "_m").agg(F.min(F.when(F.col("_l") > 5, F.col("fid"))).alias("_t"))
+    leads = told.select(*by, "_m", F.col("fid").alias("_f"), F.lit(True).alias("_own"))
+    best = best.withColumn("_f", F.col("_w.fid")).join(leads, [*by, "_m", "_f"], "left").drop("_f")
+    best = best.join(first, [*by, "_m"], "full").join(sourced, [*by, "_m"], "full")
     named = F.col("_w").isNotNull()
-    rule = F.when(named & F.col("_w._own"), 0).when(named & F.col("_t").isNotNull(), 1).when(named, 2).when(F.col("_s").isNotNull(), 3).when(F.col("_t").isNotNull(), 4)
+    rule = F.when(named & F.col("_own"), 0).when(named & F.col("_t").isNotNull(), 1).when(named, 2).when(F.col("_s").isNotNull(), 3).when(F.col("_t").isNotNull(), 4)
     fid = F.when(rule.isin(0, 2), F.col("_w.fid")).when(rule == 3, F.col("_s")).otherwise(F.col("_t"))
     chosen = best.select("class_name", F.col("_m").alias(text), fid.alias("fid"), rule.alias("rule")).filter("rule IS NOT NULL")
     return entries.select(idx, "class_name", text).join(chosen, ["class_name", text]).select(idx, "fid", "rule")
 
 
 def attributed(entries: DataFrame, templates: DataFrame, functions: DataFrame, calls: DataFrame, idx: str = "entry_idx", thread: str = "thread_id", text: str = "static_text", by_thread: bool = True) -> DataFrame:
-    """Entries to functions, all tiers: idx, status, tier, confidence, fid, fids, inferred, previous functions taken into account.
+    """Entries to functions, all tiers: idx, status, tier, confidence, fid, fids, inferred, fname and line of a template's, previous functions taken into account.
 
     entries: idx, thread, text, class_name (of the logger, may be null), stack (whether a trace is there), frame (its
     first frame of the application as `class.function`, null if it has none). templates: fid, frags, fname, line. functions: fid, class_name, name,
     source, templates. calls: src, dst. In order:
 
-    * tier 1, a stack frame (0.95; without an fid where no function is called so);
+    * tier 1, a stack frame (0.95; without an fid where no function is called so, and then nothing is near it);
     * tier 2, the only template that fits (0.85);
     * tier 3, a function of the logger's class (0.60), or of several templates the likeliest after the function that the
       thread told last (by frame, class or choice; the score is the confidence), with the three best where none leads;
     * tier 3, by class, for what is left near a told entry (0.55); tier 4 otherwise.
     """
     source = entries.select(idx, F.col(thread).cast("string").alias(thread) if by_thread else F.lit(None).cast("string").alias(thread), text, "class_name", F.coalesce("stack", F.lit(False)).alias("stack"), "frame")
-    first = first_pass(source, templates, source.filter("stack").select(idx), idx, text).drop("fname", "tier", "confidence")
+    first = first_pass(source, templates, source.filter("stack").select(idx), idx, text).drop("tier", "confidence")
     by_name = functions.groupBy(F.concat_ws(".", "class_name", "name").alias("frame")).agg(F.min("fid").alias("_frame_fid"))
     first = written(first.join(by_name, "frame", "left").withColumn("fids", F.transform("candidates", lambda c: c["fid"])))
     classes = by_class(first.filter(F.col("status").isin("miss", "skip")), functions, idx, text).select(idx, F.col("fid").alias("_class_fid"))
     told = written(first.join(classes, idx, "left"))
-    counts = F.coalesce(F.when(F.col("status") == "stack_trace", F.col("_frame_fid")), F.col("_class_fid"))
+    unknown = F.when((F.col("status") == "stack_trace") & F.col("frame").isNotNull(), F.coalesce("_frame_fid", F.lit(UNKNOWN)))
+    counts = F.coalesce(unknown, F.col("_class_fid"))
     walked = ambiguous_on_thread(told.select(idx, thread, "status", counts.alias("fid"), F.col("fids").alias("candidates")), None, thread, idx, calls)
     walked = walked.select(idx, "decision", F.col("fid").alias("_best"), "score")
     out = told.join(walked, idx, "left")
@@ -263,8 +283,8 @@ def attributed(entries: DataFrame, templates: DataFrame, functions: DataFrame, c
         idx, thread, text, "class_name", "status", F.coalesce("decision", F.lit("")).alias("decision"),
         F.when(framed, 1).when(F.col("status") == "hit", 2).when(ambiguous & (F.col("decision") != "open"), 3).when(F.col("_class_fid").isNotNull(), 3).otherwise(4).alias("tier"),
         F.when(framed, F.lit(CONFIDENCE["stack"])).when(F.col("status") == "hit", F.lit(CONFIDENCE["hit"])).when(ambiguous & (F.col("decision") != "open"), F.col("score")).when(F.col("_class_fid").isNotNull(), F.lit(CONFIDENCE["class"])).otherwise(F.lit(0.0)).alias("confidence"),
-        F.coalesce("fid", F.when(ambiguous & (F.col("decision") != "open"), F.col("_best")), counts).alias("fid"),
-        kept.alias("fids"), F.col("_class_fid").isNotNull().alias("inferred"),
+        F.coalesce("fid", F.when(ambiguous & (F.col("decision") != "open"), F.col("_best")), F.nullif(counts, F.lit(UNKNOWN))).alias("fid"),
+        kept.alias("fids"), F.col("_class_fid").isNotNull().alias("inferred"), "fname", F.when(F.col("status") == "hit", F.get("candidates", F.lit(0))["line"]).alias("line"),
     )
     out = written(out)
     near = near_resolved(out, idx, "tier", thread if by_thread else None)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import LogProfile
 from ..functions import text as fn
-from ..operators import cluster, logs, resolve, templates
+from ..operators import analysis, cluster, logs, resolve, templates
 from ..sources.logs import json_fields, text_lines
 from .registry import query, table
 
@@ -272,6 +272,42 @@ def q_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(spark, sf_dir).select("entry_idx", "tier", F.round("confidence", 6).alias("confidence"), "fid", "decision", "inferred")
 
 
+#: A log of events: a line for each, signups with a trace below, of which half has frames of the platform alone.
+LOG_PROFILE = LogProfile(
+    line_pattern=r"^(?P<timestamp>\S+ \S+) \[(?P<thread>[^\]]+)\] (?P<level>[A-Z]+) (?P<logger>[\w.$]*) : (?P<message>.*)",
+    continuation_patterns=[r"^\s+at ", r"^java\."], ignore_patterns=["view item 9\\d: seen"], known_errors=[{"pattern": "item 13: done"}], framework_markers=["org.apache"],
+)
+LOG_TOLD = (
+    TOLD.replace("FROM events)", "FROM events WHERE NOT (event_type = 'view' AND json_extract_string(props, '$.k')::BIGINT >= 90) AND NOT (event_type = 'click' AND json_extract_string(props, '$.k')::BIGINT = 13))", 1)
+    .replace("ks AS (SELECT DISTINCT k FROM e)", "ks AS (SELECT DISTINCT json_extract_string(props, '$.k')::BIGINT AS k FROM events)")
+    .replace("(et = 'signup' AND v <= 20)", "et = 'signup'")
+    .replace("CASE WHEN et = 'click' THEN best ELSE steps.k END", "CASE WHEN et = 'click' THEN best WHEN et = 'signup' AND v > 20 THEN -1 ELSE steps.k END")
+    .replace("WHEN et = 'signup' AND v <= 20 THEN 1", "WHEN et = 'signup' THEN 1").replace("WHEN et = 'signup' AND v <= 20 THEN 0.95", "WHEN et = 'signup' THEN 0.95")
+)
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Lines of one log file (numbered with gaps), templates, functions and calls."""
+    entries, templates_, functions, calls = told_entries(spark, sf_dir)
+    values = table(spark, sf_dir, "events").select(F.col("event_id").alias("entry_idx"), "value", "event_type")
+    e = entries.join(values, "entry_idx")
+    level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
+    message = F.when((F.col("event_type") == "purchase") & (F.col("value") <= 2), "bought by org.apache").otherwise(F.col("static_text"))
+    head = F.concat(F.lit("2024-01-01 10:00:00 [t"), F.col("thread_id").cast("string"), F.lit("] "), level, F.lit(" "), F.coalesce(F.concat(F.lit("app."), "class_name"), F.lit("")), F.lit(" : "), message)
+    own = F.coalesce(F.concat(F.lit("\tat "), "frame", F.lit("(File.java:7)")), F.lit("\tat java.util.Map.get(Map.java:2)"))
+    lines = F.when(F.col("event_type") == "signup", F.array(head, F.lit("java.lang.IllegalStateException: bad"), own, F.lit("\tat java.util.List.get(List.java:1)"))).otherwise(F.array(head))
+    told = e.select(F.lit("app.log").alias("file"), "entry_idx", F.posexplode(lines).alias("n", "line"))
+    return told.select("file", (F.col("entry_idx") * 4 + F.col("n") + 1).alias("line_no"), "line"), templates_, functions, calls
+
+
+@query(f"""WITH RECURSIVE {LOG_TOLD} SELECT entry_idx, (4 * entry_idx + CASE WHEN et = 'signup' THEN 4 ELSE 1 END)::BIGINT AS line_end, tier, round(confidence, 6)::DOUBLE AS confidence, CASE WHEN et = 'signup' AND v > 20 THEN NULL ELSE fid END AS fid, coalesce(decision, '') AS decision, inferred,
+et = 'error' AS is_error, CASE WHEN et = 'view' THEN 1 END AS line, CASE WHEN et = 'signup' THEN CASE WHEN v <= 20 THEN 'C' || k % 10 || '.fn' || k ELSE 'java.util.Map.get' END END AS trace, CASE WHEN et = 'purchase' AND v > 5 THEN 'C' || k % 10 END AS origin_class, et = 'purchase' AND v <= 2 AS framework FROM told""")
+def q_resolve_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw lines through sessions, fields, filters, traces, classes and all tiers."""
+    got = analysis.resolved(event_log(spark, sf_dir)[0], LOG_PROFILE, *event_log(spark, sf_dir)[1:])
+    return got.select(((F.col("line_number") - 1) / 4).cast("long").alias("entry_idx"), "line_end", "tier", F.round("confidence", 6).alias("confidence"), "fid", "decision", "inferred", "is_error", "line", F.get("trace", F.lit(0)).alias("trace"), "origin_class", "framework")
+
+
 @query(f"""WITH RECURSIVE {TOLD}, others AS (SELECT entry_idx, fid, array_to_string([fid] || list_sort(list_filter(list_distinct([k, (k + 1) % 100, (7 * k) % 100]), lambda x: x <> fid)), ',') AS fids FROM told WHERE decision = 'branch') SELECT entry_idx, fids FROM others""")
 def q_branch_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best candidates of entries that no candidate leads."""
