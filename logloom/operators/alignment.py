@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as fn
 from .graph import written
 from .substrings import contained
+from .traversal import depth_first
 
 # Fragments and texts of so many characters or fewer tell nothing; levels of errors; characters told of a message.
 SHORT, ERRORS, TOLD = 3, ["error", "fatal"], 60
@@ -75,24 +76,13 @@ def places(nodes: DataFrame, down: int = 4) -> DataFrame:
     """anchor, fid, at: where each function is inlined into each one with logs, as the path of places of the calls that lead to it.
 
     nodes: fid, node_id, type, call_target_id. Calls of functions with logs are followed depth first, each function once
-    for an anchor, at the first call that comes to it; one reached below `down` calls is taken and inlined nowhere. So a function's
-    place is the smallest of its callers' places with the call's place behind, among callers not below `down`: found
-    by rounds in which every place is taken anew from the last ones, until none changes. One row is held for each
-    function of an anchor, whatever the number of paths.
+    for an anchor, at the first call that comes to it; one reached below `down` calls is taken and inlined nowhere.
     """
     logged = nodes.filter("type = 'log'").select("fid").distinct()
     calls = nodes.filter("type = 'call' AND call_target_id > 0").groupBy("fid", F.col("call_target_id").alias("callee")).agg(F.min("node_id").alias("place"))
-    calls = written(calls.join(logged.withColumnRenamed("fid", "callee"), "callee", "left_semi"))
-    roots = logged.select(F.col("fid").alias("anchor"), "fid", F.array().cast("array<int>").alias("at"))
-    held = roots
-    while True:
-        step = held.filter(F.size("at") <= down).join(calls, "fid").select("anchor", F.col("callee").alias("fid"), F.concat("at", F.array(F.col("place").cast("int"))).alias("at"))
-        new = written(roots.unionByName(step).groupBy("anchor", "fid").agg(F.min("at").alias("at")))
-        old = held.select("anchor", "fid", F.col("at").alias("_was"))
-        moved = new.join(old, ["anchor", "fid"], "full").filter(~F.col("at").eqNullSafe(F.col("_was")))
-        held, still = new, moved.isEmpty()
-        if still:
-            return held
+    calls = calls.join(logged.withColumnRenamed("fid", "callee"), "callee", "left_semi")
+    reached = depth_first(logged.select(F.col("fid").alias("root")), calls.select(F.col("fid").alias("node"), F.col("callee").alias("other"), "place"), down)
+    return reached.select(F.col("root").alias("anchor"), F.col("node").alias("fid"), "at")
 
 
 def indexed_logs(nodes: DataFrame, callers: DataFrame, down: int = 4, up: int = 3) -> DataFrame:
