@@ -28,6 +28,8 @@ _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
 #: ASCII punctuation that never joins a run of letters before it (an apostrophe may).
 _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: First bytes of U+0300 to U+037F, which has all marks that a letter of A-Z is composed with.
+_MARKS = (b"\xcc", b"\xcd")
 _encoders: dict[str, object] = {}
 
 
@@ -36,8 +38,8 @@ class _Encoder:
 
     The vocabulary's pieces never span white space and never join a run of letters to punctuation other than an
     apostrophe. So a text's ids are those of its words in a row, and each distinct word, or run of letters that are
-    letters after the tokenizer's own normal form too, is encoded once while it is remembered, as it is written (what
-    composes depends on case). Texts that hold a special token's string, in any case, go through the tokenizer as they are.
+    letters after the tokenizer's own normal form too, is encoded once while it is remembered. Case goes first only in texts
+    without a mark that A-Z could be composed with, as what composes depends on case. Texts that hold a special token's string, in any case, go through the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -88,7 +90,7 @@ class _Encoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         whole = {i: self._plain(t) + b"\0\0\0\0" for i, t in enumerate(texts) if b"<|" in t and any(x in t.lower() for x in _SPECIAL)}
-        split = [() if i in whole else t.split() for i, t in enumerate(texts)]
+        split = [() if i in whole else (t if any(m in t for m in _MARKS) else t.lower()).split() for i, t in enumerate(texts)]
         used = set().union(*split)
         new = used - self.words.keys()
         if self.held > MEMO_BYTES:
