@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages
 from ..operators import flows, templates
+from ..sources import trees
 from .registry import query, table
 
 ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
@@ -186,3 +187,33 @@ def q_flow_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fid", F.size("nodes").cast("long").alias("n"), F.array_join(F.transform("nodes", lambda x: told(x["id"], x["type"], x["call_target_id"])), ",").alias("nodes"),
         F.array_join(F.transform("edges", lambda e: told(e["src"], e["dst"], e["edge_type"])), ",").alias("edges"), "entry", F.array_join(F.transform("exits", lambda x: x.cast("string")), ",").alias("exits"),
     )
+
+
+METHODS = """CASE l_partkey % 9 WHEN 0 THEN '  public void load' || l_linenumber || '(x) {' WHEN 1 THEN '}' WHEN 2 THEN 'static final List<String> find' || l_partkey % 4 || ' (a) { return b }' WHEN 3 THEN 'x = 5 // }' WHEN 4 THEN 'def run() {} {' WHEN 5 THEN 'abstract int size();' WHEN 6 THEN ' }}' WHEN 7 THEN 'new Load(x) {' ELSE 'some words of text' END"""
+
+
+@query(rf"""WITH {_lines(METHODS)}, whole AS (SELECT fid, string_agg(l, chr(10) ORDER BY n) AS t FROM src GROUP BY fid), p AS (SELECT *, (sum(length(l) + 1) OVER (PARTITION BY fid ORDER BY n) - length(l))::BIGINT AS a FROM src),
+defs AS (SELECT fid, n, a, regexp_extract(l, '(?:void|List<String>|def|int)\s+([a-z]\w*)\s*\(', 1) AS name FROM p WHERE regexp_matches(l, '^[ \t]*(?:(?:public|static|final|abstract)\s+)*(?:void|List<String>|def|int)\s+[a-z]\w*\s*\(')),
+c AS (SELECT fid, unnest(range(1, length(t) + 1)) AS ps, unnest(string_split(t, '')) AS c FROM whole), b AS (SELECT fid, ps, c, sum(CASE c WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY fid ORDER BY ps) AS depth FROM c WHERE c IN ('{{', '}}')),
+o AS (SELECT d.fid, d.n, d.a, d.name, (SELECT min(ps) FROM b WHERE b.fid = d.fid AND c = '{{' AND ps >= d.a) AS o FROM defs d), e AS (SELECT o.*, (SELECT min(x.ps) FROM b x WHERE x.fid = o.fid AND x.ps > o.o AND x.c = '}}' AND x.depth = (SELECT depth - 1 FROM b y WHERE y.fid = o.fid AND y.ps = o.o)) AS e FROM o),
+m AS (SELECT fid, n, name, CASE WHEN o IS NULL THEN '' WHEN e IS NULL THEN substr(t, a, 5000) ELSE substr(t, a, e - a + 1) END AS source FROM e JOIN whole USING (fid))
+SELECT fid AS path, name, min(n + 1)::INT AS start_line, arg_min(source, n) AS source FROM m WHERE length(source) >= 20 AND NOT (name = 'load3' AND fid % 2 = 0) GROUP BY fid, name""")
+def q_missing_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _sources(spark, sf_dir, METHODS).select(F.col("fid").alias("path"), F.col("source").alias("text"))
+    known = files.filter("path % 2 = 0").select("path", F.lit("load3").alias("name"))
+    return trees.missing_methods(files, known)
+
+
+@query("SELECT lang AS folder, count(*) AS lines, sum(length(l))::BIGINT AS chars FROM (SELECT lang, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL) WHERE lang <> 'de' GROUP BY lang")
+def q_source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files in folders by language, read back as a source tree without one of the folders."""
+    import uuid
+
+    from .evidence_queries import _shared
+
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    top = f"{_shared(spark, 'tree')}/{uuid.uuid4().hex}"
+    docs.select(F.explode(F.split("text", "\n")).alias("value"), F.col("lang").alias("folder")).write.partitionBy("folder").text(top)
+    files = trees.read_tree(spark, top, ["txt"], ["folder=de"])
+    lines = files.select(F.regexp_extract("path", "/folder=([^/]*)/", 1).alias("folder"), F.explode(F.split(F.regexp_replace("text", "\n\\z", ""), "\n")).alias("l"))
+    return lines.groupBy("folder").agg(F.count("*").alias("lines"), F.sum(F.length("l")).alias("chars"))
