@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..operators import evidence, store
 from ..sources.events import messages
-from ..streaming import fold
+from ..streaming import fold, missions
 from .registry import query, table
 
 
@@ -230,3 +230,60 @@ def q_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = c.filter("c_custkey IN (3, 4)").select(F.expr("'t::' || c_custkey").alias("node_id"), F.lit("failed").alias("outcome"), F.expr("'in fn' || c_custkey || ' of src/BUILDING'").alias("traceback"))
     reported = evidence.flagged(told.agg(F.lit(1).alias("exit_code"), F.count("*").cast("int").alias("failed"), F.lit(0).alias("errors"), F.lit(9).alias("passed")))
     return evidence.verified(found, functions, tests, reported, told)
+
+
+MISSION = """CASE event_type WHEN 'signup' THEN CASE k % 6 WHEN 0 THEN 'runtime.connecting' WHEN 1 THEN 'runtime.connected' WHEN 2 THEN 'runtime.turn.started' WHEN 3 THEN 'runtime.turn.completed' WHEN 4 THEN 'runtime.failed' ELSE 'approval.required' END
+WHEN 'error' THEN 'tests.red_observed' WHEN 'purchase' THEN 'tests.green_observed' WHEN 'view' THEN 'sandbox.line.appended'
+ELSE CASE k % 6 WHEN 0 THEN 'approval.approved' WHEN 1 THEN 'approval.denied' WHEN 2 THEN 'approval.submitting' WHEN 3 THEN 'approval.resolved' WHEN 4 THEN 'approval.failed' ELSE CASE WHEN k < 10 THEN 'mission.reset' ELSE 'proof.node.updated' END END END"""
+SAYS = "CASE WHEN event_type = 'click' AND k % 6 = 3 THEN CASE WHEN k % 4 < 2 THEN 'approve' ELSE 'deny' END WHEN event_type = 'click' AND k % 6 = 5 THEN CASE WHEN k < 10 THEN NULL ELSE 'imports' END ELSE 't' || k END"
+RUNS = "CASE WHEN event_type = 'error' THEN CASE WHEN k % 5 = 0 THEN 'baseline' ELSE 'reproduce' END WHEN event_type = 'purchase' THEN CASE WHEN k % 6 = 0 THEN 'baseline' ELSE 'verify' END END"
+EXITS = "CASE WHEN event_type = 'error' THEN 1 + k % 2 WHEN event_type = 'purchase' THEN CASE WHEN k % 4 = 3 THEN 1 ELSE 0 END END"
+
+
+# One event after the other: each step takes the next one of every session.
+MISSIONS = f"""x AS (SELECT user_id AS s, event_id AS seq, event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
+e AS (SELECT s, seq, {MISSION} AS type, {SAYS} AS text, k % 7 AS n, 'm' || k % 2 AS run, {RUNS} AS phase, {EXITS} AS code, row_number() OVER (PARTITION BY s ORDER BY seq) AS i FROM x),
+f AS (SELECT *, type = 'tests.red_observed' AND phase <> 'baseline' AS red, type = 'tests.green_observed' AND phase <> 'baseline' AS green FROM e),
+w AS (SELECT DISTINCT s, 0::BIGINT AS i, 'idle' AS status, NULL::VARCHAR AS error, FALSE AS asked, FALSE AS red, FALSE AS green, 0::BIGINT AS rt, 0::BIGINT AS gt, NULL::VARCHAR AS pending, 'idle' AS sub, NULL::VARCHAR AS ae, NULL::BOOLEAN AS approved, NULL::VARCHAR AS rr, NULL::VARCHAR AS gr, 0::BIGINT AS since FROM f UNION ALL
+SELECT w.s, f.i, CASE f.type WHEN 'mission.reset' THEN 'idle' WHEN 'runtime.connecting' THEN 'connecting' WHEN 'runtime.connected' THEN 'idle' WHEN 'runtime.turn.started' THEN 'streaming' WHEN 'runtime.turn.completed' THEN CASE WHEN asked THEN 'awaiting_approval' ELSE 'completed' END WHEN 'runtime.failed' THEN 'failed' WHEN 'approval.required' THEN 'awaiting_approval' ELSE status END,
+  CASE WHEN f.type IN ('mission.reset', 'runtime.connecting') THEN NULL WHEN f.type = 'runtime.failed' THEN f.text ELSE error END, CASE WHEN f.type = 'mission.reset' THEN FALSE ELSE asked OR f.type = 'approval.required' END,
+  CASE WHEN f.type = 'mission.reset' THEN FALSE ELSE w.red OR f.red END, CASE WHEN f.type = 'mission.reset' OR f.red THEN FALSE WHEN f.green AND w.red THEN TRUE ELSE w.green END,
+  CASE WHEN f.type = 'mission.reset' THEN 0 WHEN f.red THEN f.n WHEN f.type = 'tests.red_observed' THEN 0 ELSE rt END,
+  CASE WHEN f.type = 'mission.reset' OR f.red THEN 0 WHEN f.green AND w.red THEN f.n WHEN f.type = 'tests.green_observed' AND f.phase = 'baseline' THEN CASE WHEN f.code = 0 THEN f.n ELSE 0 END ELSE gt END,
+  CASE WHEN f.type = 'mission.reset' THEN NULL WHEN f.type = 'approval.required' THEN f.text ELSE pending END,
+  CASE WHEN f.type = 'mission.reset' OR f.red THEN 'idle' WHEN f.type = 'approval.submitting' THEN 'submitting' WHEN f.type = 'approval.failed' THEN 'failed' WHEN f.type = 'approval.resolved' THEN CASE f.text WHEN 'approve' THEN 'accepted' ELSE 'denied' END WHEN f.type = 'approval.denied' AND approved IS NULL THEN 'denied' ELSE sub END,
+  CASE WHEN f.type IN ('mission.reset', 'approval.submitting', 'approval.resolved') OR f.red THEN NULL WHEN f.type = 'approval.failed' THEN f.text ELSE ae END,
+  CASE WHEN f.type = 'mission.reset' OR f.red THEN NULL WHEN f.type = 'approval.resolved' THEN f.text = 'approve' WHEN f.type = 'approval.denied' AND approved IS NULL THEN FALSE WHEN f.type = 'approval.approved' AND approved IS NULL AND asked AND sub <> 'submitting' AND rr IS NOT NULL AND rr = gr THEN TRUE ELSE approved END,
+  CASE WHEN f.type = 'mission.reset' THEN NULL WHEN f.red THEN f.run ELSE rr END, CASE WHEN f.type = 'mission.reset' OR f.red THEN NULL WHEN f.green AND w.red THEN CASE WHEN f.code = 0 THEN f.run END ELSE gr END, CASE WHEN f.type = 'mission.reset' THEN f.seq ELSE since END
+FROM w JOIN f ON f.s = w.s AND f.i = w.i + 1),
+last AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY i DESC) = 1)"""
+MISSIONS = f"""WITH RECURSIVE {MISSIONS} SELECT s::VARCHAR AS session_id, status, error, red, green, rt AS red_tests, gt AS green_tests, pending, sub AS submission, ae AS approval_error, approved,
+(SELECT count(DISTINCT text) FROM f WHERE f.s = last.s AND type = 'sandbox.line.appended' AND seq > since OR f.s = last.s AND type = 'sandbox.line.appended' AND since = 0) AS lines,
+EXISTS (SELECT 1 FROM f WHERE f.s = last.s AND type = 'proof.node.updated' AND (seq > since OR NOT EXISTS (SELECT 1 FROM f r WHERE r.s = last.s AND r.type = 'mission.reset'))) AS imports FROM last"""
+
+
+def mission_events(e: DataFrame) -> DataFrame:
+    told = e.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return told.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.expr(MISSION).alias("type"), F.expr(SAYS).alias("text"), F.lit("amber").alias("status"), (F.col("k") % 7).alias("n"), F.expr("'m' || k % 2").alias("run"), F.expr(RUNS).alias("phase"), F.expr(EXITS).cast("bigint").alias("exit_code"))
+
+
+_TOLD = ["session_id", "status", "error", "red", "green", "red_tests", "green_tests", "pending", "submission", "approval_error", "approved", "lines"]
+
+
+@query(MISSIONS)
+def q_mission_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole states of sessions from their events."""
+    got = missions.states(mission_events(table(spark, sf_dir, "events")))
+    return got.select(*_TOLD, F.array_contains("nodes", "imports amber").alias("imports"))
+
+
+@query(MISSIONS)
+def s_mission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of the events' file."""
+    path, out = f"{sf_dir}/events.parquet", _shared(spark, "missions")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path if _is_folder(spark, path) else path.replace("events.parquet", "event[s].parquet"))
+    job = missions.state_stream(mission_events(stream)).writeStream.outputMode("update").option("checkpointLocation", _shared(spark, "missions-stream")).trigger(availableNow=True).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).start()
+    job.awaitTermination()
+    states = store.latest(spark.read.parquet(out), ["session_id"], ["batch"])
+    return states.select(*_TOLD, F.array_contains("nodes", "imports amber").alias("imports"))
