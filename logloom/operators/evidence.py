@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as fn
+from .substrings import contained
 
 # Patterns of a test report, statuses and thresholds.
 RULE = r"^=+ (.+?) =+$"
@@ -14,7 +15,7 @@ BLOCK_RULE = r"^_+ (.+?) _+$"
 END_OF_SUMMARY = r"^(=|!){5,}"
 ENTRY = r"^(PASSED|FAILED|ERROR|SKIPPED|XFAIL|XPASS)\b[ \t]*(.*)$"
 DURATION = r"^(\d+(?:\.\d+)?)s\s+(call|setup|teardown)\s+(\S+)$"
-COUNTS = r"(\d+)\s+(passed|failed|errors|error|skipped|xfailed|xpassed)"
+COUNTS = r"(\d+)\s+(passed|failed|error|errors|skipped|xfailed|xpassed)"
 WALL = r"\bin\s+(\d+(?:\.\d+)?)s\b"
 INTERRUPTED = r"(?i)Interrupted:\s*(\d+)\s+error"
 STATUSES = ["confirmed", "unreproduced", "uncovered", "unlocatable", "inconclusive"]
@@ -170,15 +171,16 @@ def verified(findings: DataFrame, functions: DataFrame, tests: DataFrame, report
     findings: id, file_path, line. functions: fid, path, name, start_line, end_line. tests: fid, node_id (selected for a
     function). reported: one row (or none) of `reports`. told: cases of that report (node_id, outcome, traceback). A finding is
     located in functions, their tests are counted, and failing cases that mention its file or a function relate to it.
-    Distinct needles, not findings, are looked for, in what one report's failing cases say (a row, as the report was).
+    Distinct needles, not findings, are looked for in failing cases, by their rarest three characters: a join, whatever
+    the number of either.
     """
     places = located(findings, functions)
     spots = findings.select("id", "file_path").join(places.select("id", "fid"), "id", "left")
     counted = spots.join(tests.select("fid", "node_id").distinct(), "fid", "left").groupBy("id").agg(F.count("fid").alias("_places"), F.count_distinct("node_id").alias("tests"))
     named = spots.join(functions.select("fid", "name"), "fid", "left")
     needles = named.select("id", F.explode(F.array("file_path", fn.module_name(F.col("file_path")), "name")).alias("needle")).filter("needle <> ''").distinct()
-    failing = told.filter(F.col("outcome").isin("failed", "error")).agg(F.array_join(F.collect_list(F.concat_ws("\n", "node_id", "traceback")), "\n").alias("_hay"))  # parts of one text
-    heard = needles.select("needle").distinct().crossJoin(F.broadcast(failing)).filter(F.contains("_hay", "needle")).select("needle")
+    failing = told.filter(F.col("outcome").isin("failed", "error")).select(F.concat_ws("\n", "node_id", "traceback").alias("_hay"))
+    heard = contained(failing, needles.select("needle").distinct(), "_hay", "needle").select("needle").distinct()
     hit = needles.join(heard, "needle", "left_semi").select("id").distinct().withColumn("_related", F.lit(True))
     one = reported.agg(F.count("*").alias("_n"), F.bool_or("is_execution_failure").alias("_f"), F.bool_or("ran_nothing").alias("_o"), F.bool_or("is_broken").alias("_b"))  # a row
     both = counted.join(hit, "id", "left").crossJoin(F.broadcast(one))

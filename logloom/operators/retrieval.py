@@ -13,6 +13,8 @@ CHUNK, STRIDE, SHORTEST = 256, 156, 20
 RRF = 60
 DOMAIN, DOMAIN_BOOST, ENTRY_BOOST, LEAF_BOOST = 0.40, 0.05, 0.03, -0.03
 CANDIDATE = 0.35
+#: Queries that are sent to every task have so many bytes at most.
+BROADCAST_BYTES = 32 << 20
 
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = CHUNK, stride: int = STRIDE) -> DataFrame:
@@ -25,13 +27,18 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = CHUNK, stride: int
     return each.select(key, "chunk_no", F.when(F.size("_w") <= size, F.col("_t")).otherwise(cut).alias("chunk"))
 
 
-def top_k(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", unique: bool = False) -> DataFrame:
     """query_id, key, score, rank of the k nearest of all vectors for each query (query_id, qvec); best chunk per key.
 
-    The queries are a stated few and are sent to every task; scores are put together by query and key before they are ranked.
+    The queries are sent to every task, so they are counted first: more than BROADCAST_BYTES of them are refused, to be
+    asked in blocks. With `unique` keys each task ranks its own rows and hands on k for each query; else the scores of a key's chunks meet first.
     """
-    scored = vectors.crossJoin(F.broadcast(query)).select("query_id", key, dot(F.col("qvec"), F.col(embedding)).alias("score"))
-    best = scored.groupBy("query_id", key).agg(F.max("score").alias("score"))
+    size = query.agg(F.coalesce(F.sum(F.size("qvec")), F.lit(0)).alias("n")).first().n * 8
+    if size > BROADCAST_BYTES:
+        raise ValueError(f"queries hold {size} bytes, more than the {BROADCAST_BYTES} that are sent to every task: ask them in blocks")
+    best = vectors.crossJoin(F.broadcast(query)).select("query_id", key, dot(F.col("qvec"), F.col(embedding)).alias("score"))
+    if not unique:
+        best = best.groupBy("query_id", key).agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
     return ranked.filter(F.col("rank") <= k)
 

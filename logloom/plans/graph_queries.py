@@ -177,7 +177,7 @@ def ranked_vectors(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """The k nearest vectors for the first vector of each label (a stated few queries)."""
     e = table(spark, sf_dir, "embeddings")
     queries = e.groupBy("label").agg(F.min("vec_id").alias("query_id")).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id").select("query_id", "qvec")
-    return retrieval.top_k(e, queries, k)
+    return retrieval.top_k(e, queries, k, unique=True)
 
 
 @query(f"WITH {SCORES} SELECT query_id, vec_id, round(score, 6)::DOUBLE AS score, rank::BIGINT AS rank FROM ranked WHERE rank <= 20")
