@@ -30,3 +30,9 @@ def test_toxic_and_copied_documents_go(spark):
     model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     toxic = {r.doc_id for r in toxicity.toxicity(docs, model).filter("score >= 0.5").collect()}
     assert not toxic & left and 0.5 * docs.count() < len(left) < docs.count()
+
+
+def test_columns_with_dots_stay(spark, folder, odd):
+    dotted = odd.withColumnRenamed("score", "a.b")
+    kept = corpus_pipeline.drop_near_duplicates(spark, dotted, f"{folder}/odd")
+    assert kept.columns == dotted.columns and kept.count() > 5
