@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -138,11 +140,18 @@ def validated(names: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df in the folder that the cluster names for checkpoints, read again; where none is named, df kept in memory and disk."""
+    """df as a table in the folder that the cluster names for checkpoints, read again.
+
+    Where none is named, a local master gets a temporary folder; on a cluster nothing that all could read can be made up.
+    """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    key = "spark.checkpoint.dir"
+    folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not folder:
-        return df.persist()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {key} to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        spark.conf.set(key, folder)
     path = f"{folder.rstrip('/')}/frontier-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
