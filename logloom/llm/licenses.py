@@ -100,6 +100,33 @@ def anchor_words(templates: dict[str, str], least: float = LEAST) -> list[str]:
     return sorted({w for t in templates.values() for w in rare_words(t, least)})
 
 
+def _range(values: Column | str, at: Column, length: Column) -> Column:
+    """`length` (1 or more) values from the place `at` (from 0, below the end) on, without a copy of all values, which F.slice makes."""
+    return F.transform(F.sequence(at, F.least(at + length, F.size(values)) - 1), lambda i: F.get(values, i))
+
+
+def _best(made: str, width: Column) -> Column:
+    """(dice, before: minus the start) of the windows (start, dice) that no better one less than `width` words away displaces.
+
+    Windows of one block of `width` starts are all that near to each other, so a block has one candidate, its best, which is
+    compared with the windows of the two blocks beside it: each window is met three times, however many a text has.
+    """
+    told = lambda x: F.struct(x["dice"].alias("dice"), (-x["start"]).alias("before"))
+    block = lambda x: F.floor(x["start"] / width)
+
+    def cut(m: Column) -> Column:
+        ends = F.filter(F.transform(m, lambda x, j: F.struct(block(x).alias("block"), j.alias("at"))), lambda e: (e["at"] == 0) | (block(F.get(m, e["at"] - 1)) < e["block"]))
+        length = lambda ends, e, k: F.coalesce(F.get(ends, k + 1)["at"], F.size(m)) - e["at"]
+        return let(ends, lambda ends: F.transform(ends, lambda e, k: F.struct(e["block"].alias("block"), F.transform(_range(m, e["at"], length(ends, e, k)), told).alias("own"))))
+
+    def kept(blocks: Column) -> Column:
+        tops = F.transform(blocks, lambda b, k: F.struct(F.array_max(b["own"]).alias("top"), b["block"].alias("block"), k.alias("k")))
+        beside = lambda t, d: F.coalesce(F.exists(F.get(blocks, t["k"] + d)["own"], lambda y: (F.abs(y["before"] - t["top"]["before"]) < width) & (y > t["top"])), F.lit(False))
+        return F.transform(F.filter(tops, lambda t: ~beside(t, -1) & ~beside(t, 1)), lambda t: t["top"])
+
+    return let(F.sort_array(made), lambda m: let(cut(m), kept))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each unit that matches a template, with the best of them: id, unit (line, paragraph, text or window), place (its number from 1), license, dice.
 
@@ -148,14 +175,15 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     all_pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get("w", i + 1)))
     near = held.select(id_column, "value", "w", F.explode(let(all_pairs, lambda p: F.transform(F.filter(placed, lambda t: F.arrays_overlap(p, t["anchors"])), lambda t: F.struct(t.alias("t"), p.alias("pairs"))))).alias("x"))
     near = near.select(id_column, "value", "w", "x.t.*", "x.pairs")
+    # a window that matches holds `needed` of the template's bigrams: a text without them has no window of it
+    reached = near.filter(F.size(F.array_intersect("pairs", "g")) * reach >= F.size("g") - 1e-9)
     start = lambda b, i: let(F.array_position("anchors", b), lambda p: F.when(p > 0, F.greatest(i - F.get("at", (p - 1).cast("int")), F.lit(0))))
-    starts = near.withColumn("starts", F.array_distinct(F.filter(F.transform("pairs", start), lambda i: i.isNotNull()))).drop("pairs")
-    made = F.transform("starts", lambda i: F.struct(let(_pairs(F.slice("w", i + 1, F.col("words"))), lambda b: dice(b, F.col("g"))).alias("dice"), (-i).alias("before")))
-    told = starts.withColumn("made", F.filter(made, lambda x: x["dice"] >= least)).filter(F.size("made") > 0)
-    told = told.filter(~F.exists(units, lambda u: let(_pairs(_words(u["s"])), lambda b: (F.size(b) > 0) & (dice(b, F.col("g")) >= least))))
-    better = lambda x, y: (F.abs(x["before"] - y["before"]) < F.col("words")) & (y > x)
-    best = F.filter("made", lambda x: ~F.exists("made", lambda y: better(x, y)))
-    windows = told.select(id_column, "license", F.explode(best).alias("m")).select(id_column, F.lit("window").alias("unit"), (1 - F.col("m.before")).alias("place"), "license", "m.dice")
+    starts = F.array_distinct(F.filter(F.transform("pairs", start), lambda i: i.isNotNull()))
+    made = F.transform(starts, lambda i: F.struct(i.alias("start"), let(F.array_distinct(_range("pairs", i, F.col("words") - 1)), lambda b: dice(b, F.col("g"))).alias("dice")))
+    alike = F.exists(units, lambda u: let(let(_words(u["s"]), _pairs), lambda b: (F.size(b) > 0) & (dice(b, F.col("g")) >= least)))
+    some = F.filter(F.array(F.filter(made, lambda x: x["dice"] >= least)), lambda m: (F.size(m) > 0) & ~alike)
+    told = reached.select(id_column, "license", "words", F.explode(some).alias("made"))
+    windows = told.select(id_column, "license", F.explode(_best("made", F.col("words"))).alias("m")).select(id_column, F.lit("window").alias("unit"), (1 - F.col("m.before")).alias("place"), "license", "m.dice")
     return matched.unionByName(windows)
 
 
