@@ -56,6 +56,28 @@ def boosted(hits: DataFrame, members: DataFrame, classes: DataFrame, key: str =
     return known.withColumn("score", F.col("score") + F.coalesce("_m", F.lit(0.0)) + by_class).drop("_m")
 
 
+def routed(domain_vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, entry, score of at most `k` domains (entry, embedding) for each query (query_id, qvec), scored DOMAIN or more."""
+    return top_k(domain_vectors, queries, k, key="entry", unique=True).filter(F.col("score") >= DOMAIN).select("query_id", "entry", "score")
+
+
+def domain_search(hits: DataFrame, domains: DataFrame, members: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """query_id, fid, score, domain_match, rank: the k best hits of each query after its routing.
+
+    `hits` (query_id, fid, score, rank) come from a search of all functions, at least 2 k of them a query; `domains` and
+    `members` from `routed` and `domain_members`. A routed query's hits are raised if they are members, or entries or
+    anchors, and lowered if they are leaves, and ranked anew; of equal scores the earlier hit is first. The hits of a
+    query without a domain stay as they are. A function without a class, or a query without hits, changes nothing.
+    """
+    sent = domains.select("query_id").distinct().withColumn("_routed", F.lit(True))
+    of = members.select("query_id", "fid").distinct().withColumn("_member", F.lit(True))
+    known = hits.join(sent, "query_id", "left").join(of, ["query_id", "fid"], "left").join(classes.select("fid", "node_class").dropDuplicates(["fid"]), "fid", "left")
+    raised = F.when(F.col("_member"), DOMAIN_BOOST).otherwise(0.0) + F.when(F.col("node_class").isin("entry", "anchor"), ENTRY_BOOST).when(F.col("node_class") == "leaf", LEAF_BOOST).otherwise(0.0)
+    scored = known.withColumn("_s", F.col("score") + F.when(F.col("_routed"), raised).otherwise(0.0))
+    again = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("_s", 12)), "rank", "fid"))
+    return scored.select("query_id", "fid", F.col("_s").alias("score"), F.coalesce("_member", F.lit(False)).alias("domain_match"), again.alias("_new")).filter(F.col("_new") <= k).withColumnRenamed("_new", "rank")
+
+
 def tiered(candidates: DataFrame, executed: DataFrame, errors: DataFrame, key: str = "fid") -> DataFrame:
     """key, tier, score, log_count: candidates that ran (1), candidates that didn't (2), error functions beside them (3)."""
     good = candidates.filter(F.col("score") >= CANDIDATE)

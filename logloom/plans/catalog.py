@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align_queries, evidence_queries, flow_queries, graph_queries, log_queries, review_queries, trace_queries  # noqa: F401
+from . import align_queries, domain_queries, evidence_queries, flow_queries, graph_queries, log_queries, review_queries, trace_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
