@@ -21,3 +21,34 @@ def test_missing_members_aren_t_held_again(spark):
     assert got == sorted({(c, f) for c, p in classes for f, q in functions if p is not None and p == q} - set(have), key=repr)
     plan = _plan(df)
     assert "Aggregate" not in plan[: plan.index("Join Inner")]
+
+
+def _edges(functions, calls, words, most):
+    out = set()
+    for dst, name, _ in functions:
+        found = sorted({src for src, _, source in functions if src != dst and words(name) in source.split() and (src, name) not in calls})
+        out |= {(src, dst) for src in found[:most]}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_edges_to_common_names_are_no_product(spark, seed):
+    rnd = random.Random(seed)
+    names = ["getAlpha", "getBeta", "setAlpha", "gammaRay"]
+    functions = [(i, rnd.choice(names), " ".join(rnd.sample(["alpha", "beta", "other", ".gammaRay("], rnd.randrange(4)))) for i in range(60)]
+    calls = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)]
+    f = spark.createDataFrame(functions, "fid bigint, name string, source string")
+    c = spark.createDataFrame(calls, "src bigint, dst bigint")
+    of = {i: n for i, n, _ in functions}
+    accessors = [x for x in functions if x[1] != "gammaRay"]
+    found = graph.property_calls(f, c, most=3)
+    want = {(s, d) for s, d in _edges(functions, {(s, of[d]) for s, d in calls}, lambda n: n[3].lower() + n[4:], 3) if d in {x[0] for x in accessors}}
+    assert {(r.src, r.dst) for r in found.collect()} == want and found.count() == len(want)
+    called = graph.token_calls(f, c, most=3)
+    open_ = {i for i, n, _ in functions if n == "gammaRay"} - {d for _, d in calls}
+    want = {(s, d) for s, d in _edges(functions, set(), lambda n: f".{n}(", 3) if d in open_}
+    assert {(r.src, r.dst) for r in called.collect()} == want and called.count() == len(want)
+    # only the first sources of a name meet its functions
+    for df in (called,):
+        plan = _plan(df)
+        assert "Window" in plan[plan.index("Join Inner") :]
