@@ -49,6 +49,6 @@ def test_edges_to_common_names_are_no_product(spark, seed):
     want = {(s, d) for s, d in _edges(functions, set(), lambda n: f".{n}(", 3) if d in open_}
     assert {(r.src, r.dst) for r in called.collect()} == want and called.count() == len(want)
     # only the first sources of a name meet its functions
-    for df in (called,):
+    for df in (found, called):
         plan = _plan(df)
         assert "Window" in plan[plan.index("Join Inner") :]
