@@ -17,6 +17,11 @@ ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
 SYMBOLS = r"[=:/\-#@]"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once: what a lambda captures is evaluated anew for every element it is called with."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def level(line: Column) -> Column:
     """The first level word in lower case, warning as warn; info where there is none."""
     found = F.lower(F.regexp_extract(line, LEVELS, 1))

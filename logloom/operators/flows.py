@@ -30,11 +30,12 @@ def function_end(source: Column, language: str | Language = "java") -> Column:
     """
     lang = languages.language(language)
     if lang.style == "indent":
-        lines = F.split(source, "\n")
-        told = F.transform(lines, lambda x, i: F.struct(i.alias("i"), (F.length(x) - F.length(F.regexp_replace(x, r"\A\s+", ""))).alias("indent"), (F.regexp_replace(x, r"\s+", "") == "").alias("blank")))
-        body = F.get(F.filter(told, lambda x: (x["i"] > 0) & ~x["blank"]), F.lit(0))
-        out = F.get(F.filter(told, lambda x: (x["i"] > body["i"]) & ~x["blank"] & (x["indent"] < body["indent"])), F.lit(0))
-        return F.when(body.isNull() | (body["indent"] == 0), F.lit(1)).otherwise(F.coalesce(out["i"], F.size(lines)))
+        white = lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(" \t\n\x0b\f\r")))
+        told = F.transform(F.split(source, "\n"), lambda x, i: F.struct(i.alias("i"), white(x).alias("indent"), (white(x) == F.length(x)).alias("blank")))
+        body = lambda lines: F.get(F.filter(lines, lambda x: (x["i"] > 0) & ~x["blank"]), F.lit(0))
+        out = lambda lines, b: F.get(F.filter(lines, lambda x: (x["i"] > b["i"]) & ~x["blank"] & (x["indent"] < b["indent"])), F.lit(0))
+        end = lambda lines, b: F.when(b.isNull() | (b["indent"] == 0), F.lit(1)).otherwise(F.coalesce(out(lines, b)["i"], F.size(lines)))
+        return fn.bound(told, lambda lines: fn.bound(body(lines), lambda b: end(lines, b)))
     marks = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(source, r'"[^"\n]*"', ""), r"'[^'\n]*'", ""), r"[^{}\n]", ""), "")
     start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("end"))
 

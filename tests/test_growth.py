@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from logloom.operators import graph
+from logloom.operators import flows, graph
 
 
 def _plan(df):
@@ -52,3 +53,10 @@ def test_edges_to_common_names_are_no_product(spark, seed):
     for df in (found, called):
         plan = _plan(df)
         assert "Window" in plan[plan.index("Join Inner") :]
+
+
+def test_ends_by_indentation_split_a_source_once(spark):
+    texts = ["def f():\n  a\n\n  b\nc", "def f():\na", "def f():", "", "def f():\n\n \n    x\n  y", "def f():\n\ta\n\t \n\tb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", flows.function_end(F.col("t"), "python").alias("n"))
+    assert [r.n for r in df.orderBy("i").collect()] == [4, 1, 1, 1, 4, 4]
+    assert _plan(df).count("split(") == 1
