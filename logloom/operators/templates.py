@@ -61,7 +61,7 @@ def lenient(message: Column, frags: Column) -> Column:
 def scanned(functions: DataFrame, source: str = "source", language: str | Language = "java") -> DataFrame:
     """fid, line (from 1), level, text, frags of the log calls that stand on one line of a source."""
     lines = functions.select("fid", F.posexplode(F.split(source, "\n")).alias("n", "l"))
-    return _told(lines.withColumn("_c", languages.log_call(F.col("l"), language)).filter("_c IS NOT NULL").withColumn("_s", F.col("_c.rest")), language, 3)
+    return _told(_there(lines, "_c", languages.log_call(F.col("l"), language)).withColumn("_s", F.col("_c.rest")), language, 3)
 
 
 def extracted(functions: DataFrame, source: str = "source", language: str | Language = "java") -> DataFrame:
@@ -70,9 +70,9 @@ def extracted(functions: DataFrame, source: str = "source", language: str | Lang
     A call goes on until a line ends with a closing bracket or holds `);`. The lines behind each one are known from its own source, so
     nothing is shuffled.
     """
-    all_lines = F.split(source, "\n")
-    lines = functions.select("fid", F.posexplode(F.transform(all_lines, lambda l, i: F.struct(l.alias("l"), F.slice(all_lines, i + 2, F.lit(3)).alias("more")))).alias("n", "x")).select("fid", "n", "x.l", "x.more")
-    called = lines.withColumn("_c", languages.log_call(F.col("l"), language)).filter("_c IS NOT NULL")
+    followed = fn.bound(F.split(source, "\n"), lambda a: F.transform(a, lambda l, i: F.struct(l.alias("l"), F.slice(a, i + 2, F.lit(3)).alias("more"))))
+    lines = functions.select("fid", F.posexplode(followed).alias("n", "x")).select("fid", "n", "x.l", "x.more")
+    called = _there(lines, "_c", languages.log_call(F.col("l"), language))
     ends = lambda l: F.contains(l, F.lit(");")) | l.rlike(r"\)\s*\z")
     step = lambda s, l: F.when(s["done"], s).otherwise(F.struct(F.concat(s["text"], F.lit(" "), F.regexp_replace(l, r"\A\s+|\s+\z", "")).alias("text"), ends(l).alias("done")))
     begin = F.struct(F.col("_c.rest").alias("text"), F.col("_c.rest").rlike(r"\)(?:;)?\s*\z").alias("done"))
@@ -80,7 +80,12 @@ def extracted(functions: DataFrame, source: str = "source", language: str | Lang
     return _told(whole, language, 1)
 
 
+def _there(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column, those where it is null left out. It is worked out once: a filter on it would work it out again."""
+    return rows.withColumn(name, F.explode(F.filter(F.array(value), lambda x: x.isNotNull())))
+
+
 def _told(called: DataFrame, language: str | Language, least: int) -> DataFrame:
-    said = called.withColumn("_q", languages.quoted(F.col("_s"))).filter("_q IS NOT NULL")
-    told = said.withColumn("frags", languages.fragments(F.col("_q"), language))
-    return told.select("fid", (F.col("n") + 1).alias("line"), F.col("_c.level").alias("level"), F.array_join("frags", "").alias("text"), "frags").filter((F.size("frags") > 0) & (F.length("text") >= least))
+    said = _there(called.select("fid", "n", F.col("_c.level").alias("level"), "_s"), "_q", languages.quoted(F.col("_s")))
+    told = _there(said, "frags", languages.fragments(F.col("_q"), language)).withColumn("text", F.array_join("frags", ""))
+    return told.filter((F.size("frags") > 0) & (F.length("text") >= least)).select("fid", (F.col("n") + 1).alias("line"), "level", "text", "frags")

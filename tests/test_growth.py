@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import flows, graph
+from logloom.operators import flows, graph, templates
 
 
 def _plan(df):
@@ -60,3 +60,11 @@ def test_ends_by_indentation_split_a_source_once(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", flows.function_end(F.col("t"), "python").alias("n"))
     assert [r.n for r in df.orderBy("i").collect()] == [4, 1, 1, 1, 4, 4]
     assert _plan(df).count("split(") == 1
+
+
+def test_log_calls_are_put_together_once(spark):
+    f = spark.createDataFrame([(1, 'log.info(\n"a {} b"\n, x)\nprint("c")\nx = 1'), (2, None), (3, "log.warn(n)")], "fid bigint, source string")
+    df = templates.extracted(f)
+    assert sorted((r.fid, r.line, r.level, r.text, r.frags) for r in df.collect()) == [(1, 1, "info", "a  b", ["a ", " b"]), (1, 4, "print", "c", ["c"])]
+    plan = _plan(df)
+    assert plan.count("aggregate(") == 1 and plan.count("split(source") == 1
