@@ -255,7 +255,8 @@ def small_plan(counts: np.ndarray, rooms: dict[int, int], length: int, small: in
                 state = by_room[room].pop()
             times = min(left, state[3])
             if times < state[3]:
-                rest = [state[0], state[1], state[2] + times, state[3] - times, list(state[4])]
+                # the bins that stay behind hold the later ranks of what was placed before
+                rest = [state[0], state[1], state[2] + times, state[3] - times, [(m, first + times) for m, first in state[4]]]
                 by_room[rest[0]].append(rest)
             placed = [state[0] - n, state[1], state[2], times, [*state[4], (n, rank)]]
             by_room[placed[0]].append(placed)

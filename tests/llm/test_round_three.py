@@ -242,3 +242,21 @@ def test_packing_ids_are_the_tokenizers():
     many = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(5000)] + ["EKONOMİ.", "T̈a.", "H̱", "ALİ'nin", "İ"]
     got = [ids for i in range(0, len(many), 250) for ids in encoder([t.encode() for t in many[i : i + 250]])]
     assert got == [np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in many]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_small_pieces_have_one_place_each(seed):
+    rng = random.Random(seed)
+    counts = np.zeros(2049, np.int64)
+    for _ in range(rng.randrange(1, 30)):
+        counts[rng.randrange(1, 257)] += rng.randrange(1, 40)
+    rooms = {rng.randrange(2048): rng.randrange(1, 30) for _ in range(rng.randrange(10))}
+    rows, kinds = packing.small_plan(counts, rooms, 2048, 256)
+    of = {kind: (room, first) for kind, room, first, _ in kinds}
+    placed, filled = collections.Counter(), collections.Counter()
+    for n, rank, times, kind, _, _ in rows:
+        for k in range(times):
+            placed[n, rank + k] += 1
+            filled[of[kind][0], of[kind][1] + k] += n
+    assert placed == collections.Counter((n, r) for n in range(257) for r in range(counts[n]))
+    assert all(total <= room and (room == 2048 or first < rooms[room]) for (room, first), total in filled.items())
