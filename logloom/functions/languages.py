@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -189,8 +190,15 @@ def _head(pattern: str) -> str:
     return rf"\A(?:{pattern})"
 
 
+def _found(line: Column, patterns: list[str], flags: str = "") -> Column:
+    """Whether any pattern is found: by one pattern of all of them, unless some refer to groups or name them."""
+    if any(re.search(r"\\[1-9k]|\(\?<[A-Za-z]|\(\?[a-zA-Z-]+\)", p) for p in patterns):
+        return reduce(lambda a, b: a | b, [line.rlike(f"{flags}{p}") for p in patterns])
+    return line.rlike(flags + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+
+
 def starts_with(line: Column, patterns: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [line.rlike(_head(p)) for p in patterns], F.lit(False))
+    return _found(line, [_head(p) for p in patterns])
 
 
 def branch(line: Column, lang: Language) -> Column:
@@ -208,7 +216,7 @@ def branch(line: Column, lang: Language) -> Column:
             condition = F.when(F.instr(rest, b.terminator) > 1, F.substring(F.trim(F.call_function("substring", rest, F.lit(1), F.length(rest) - F.length(ahead) - 1)), 1, 80)).otherwise("")
         told = F.struct(F.lit(b.name).alias("name"), condition.alias("condition"), F.lit(b.links).alias("links"))
         out = F.when(line.rlike(_head(b.pattern)), told).otherwise(out)
-    return out
+    return F.when(_found(line, [_head(b.pattern) for b in lang.branches]), out)
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -248,12 +256,10 @@ def log_call(line: Column, name: str | Language) -> Column:
         met = F.regexp_extract(line, whole, 1)
         rest = F.concat(F.when(F.endswith(met, F.lit('"')), F.lit('"')).otherwise(""), F.regexp_extract(line, whole, groups + 2))
         out = F.when(line.rlike(f"(?i){p}"), F.struct(level.alias("level"), rest.alias("rest"))).otherwise(out)
-    return out
+    return F.when(_found(line, list(lang.logs), "(?i)"), out)
 
 
 def _groups(pattern: str) -> int:
-    import re
-
     return re.compile(pattern).groups
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -120,19 +121,27 @@ def _rows(key: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
 def classified(lines: DataFrame, language: str | Language = "java") -> DataFrame:
     """Statements with type (return, throw, branch, log, call, null), what belongs to it, and the blocks they open and close.
 
-    A return comes before a branch, a branch before a log, a log before a call; blank lines and comments are nothing.
+    A return comes before a branch, a branch before a log, a log before a call; blank lines and comments are nothing. What
+    comes later is only looked for where nothing came before, and a step at a time: all in one is too much code to be compiled.
     """
     lang = languages.language(language)
-    line = F.col("line")
-    told = lines.withColumn("_silent", (F.regexp_replace(line, r"\s+", "") == "") | line.rlike(languages.COMMENT)).withColumns({"_branch": languages.branch(line, lang), "_log": languages.log_call(line, lang), "_call": languages.call(line, lang)})
-    kind = F.when(F.col("_silent"), None).when(languages.starts_with(line, lang.returns), F.when(line.rlike("throw|raise|panic"), "throw").otherwise("return")).when(F.col("_branch").isNotNull(), "branch").when(F.col("_log").isNotNull(), "log").when(F.col("_call").isNotNull(), "call")
-    told = told.withColumn("type", kind)
+    line, none = F.col("line"), lambda *names: reduce(lambda a, b: a & b, [F.col(n).isNull() for n in names])
+    once = lambda df, name, cond, value, use: df.withColumn(name, F.when(cond, fn.bound(value, use)))
+    ends = lambda l: F.when(languages.starts_with(l, lang.returns), F.when(l.rlike("throw|raise|panic"), "throw").otherwise("return"))
+    told = once(lines, "_silent", F.lit(True), line, lambda l: ~l.rlike(r"\S") | l.rlike(languages.COMMENT))
+    told = once(told, "_ends", ~F.col("_silent"), line, ends)
+    told = once(told, "_branch", ~F.col("_silent") & none("_ends"), line, lambda l: languages.branch(l, lang))
+    told = once(told, "_log", ~F.col("_silent") & none("_ends", "_branch"), line, lambda l: languages.log_call(l, lang))
+    told = once(told, "_call", ~F.col("_silent") & none("_ends", "_branch", "_log"), line, lambda l: languages.call(l, lang))
+    told = told.withColumn("type", F.coalesce("_ends", F.when(F.col("_branch").isNotNull(), "branch").when(F.col("_log").isNotNull(), "log").when(F.col("_call").isNotNull(), "call")))
     only = lambda t, c: F.when(F.col("type") == t, c)
-    said = languages.quoted(F.col("_log.rest"))
-    frags = F.when(said.isNotNull(), languages.fragments(said, language)).otherwise(F.array().cast("array<string>"))
-    text = F.when(F.size(frags) > 0, F.array_join(frags, "")).otherwise(F.coalesce(said, F.lit("")))
+    told = once(told, "_said", F.col("type") == "log", F.col("_log.rest"), languages.quoted)
+    told = once(told, "_frags", F.col("_said").isNotNull(), F.col("_said"), lambda said: languages.fragments(said, language))
+    told = told.withColumn("_frags", F.coalesce("_frags", F.array().cast("array<string>")))
+    frags = F.col("_frags")
+    text = F.when(F.size(frags) > 0, F.array_join(frags, "")).otherwise(F.coalesce("_said", F.lit("")))
     bare = F.regexp_replace(F.regexp_replace(line, r'"[^"]*"', ""), "'[^']*'", "")
-    blocks = {"braces": F.regexp_replace(bare, r"[^{}]", ""), "indent": F.lit(None).cast("int")}
+    blocks = {"braces": F.when(line.rlike("[{}]"), F.regexp_replace(bare, r"[^{}]", "")).otherwise(""), "indent": F.lit(None).cast("int")}
     if lang.style == "indent":
         blocks = {"braces": F.lit(None).cast("string"), "indent": F.when(~F.col("_silent"), F.length(line) - F.length(F.regexp_replace(line, r"\A\s+", "")))}
     return told.select(

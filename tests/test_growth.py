@@ -68,3 +68,11 @@ def test_log_calls_are_put_together_once(spark):
     assert sorted((r.fid, r.line, r.level, r.text, r.frags) for r in df.collect()) == [(1, 1, "info", "a  b", ["a ", " b"]), (1, 4, "print", "c", ["c"])]
     plan = _plan(df)
     assert plan.count("aggregate(") == 1 and plan.count("split(source") == 1
+
+
+def test_statements_are_split_into_fragments_once(spark):
+    f = spark.createDataFrame([(1, 'if (a) {\nlog.warn("late %s of " + n + " days")\nlog.info(x)\n}\nreturn a'), (2, None)], "fid bigint, source string")
+    df = flows.nodes(f)
+    got = sorted((r.fid, r.node_id, r.type, r.log_level, r.log_text, r.frags) for r in df.collect())
+    assert got == [(1, 0, "branch", None, None, None), (1, 1, "log", "warn", 'late  of " + n + " days', ["late ", ' of " + n + " days']), (1, 2, "log", "info", "", []), (1, 3, "return", None, None, None)]
+    assert _plan(df).count("%[-+0-9*.]*[sdflxvqweEgGoO]") == 1
