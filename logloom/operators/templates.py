@@ -23,17 +23,20 @@ def admitted(templates: DataFrame, frags: str = "frags") -> DataFrame:
 def longest_prefix(messages: DataFrame, templates: DataFrame, text: str = "static_text") -> DataFrame:
     """Pairs of a distinct message and every template at the longest key that the message starts with.
 
-    Each distinct message gives its prefixes of the lengths that keys have (an aggregated row of numbers) and meets whole
-    keys by equality, so a head that many messages and keys begin with is no hot key. Of a message's candidates
-    only the longest keys are kept, before fragments are looked at: a deeper key that fails isn't replaced by a shallower one.
+    Each distinct head of messages, as long as the longest key, gives its prefixes of the lengths that keys have (an aggregated
+    row of numbers) and meets whole keys by equality; a head with its templates then meets the distinct messages that begin with
+    it. So messages aren't multiplied by the lengths of keys. Of a message's candidates only the longest keys are
+    kept, before fragments are looked at: a deeper key that fails isn't replaced by a shallower one.
     """
-    distinct = messages.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
     keys = templates.select("key").distinct()
-    lengths = keys.agg(F.array_sort(F.collect_set(F.length("key"))).alias("_lengths"))
-    prefixes = distinct.crossJoin(F.broadcast(lengths)).select("_text", F.explode(F.filter("_lengths", lambda n: n <= F.length("_text"))).alias("_n"))
-    hits = prefixes.select("_text", F.expr("substring(_text, 1, _n)").alias("key")).join(keys, "key", "left_semi")
-    longest = hits.groupBy("_text").agg(F.max_by("key", F.length("key")).alias("key"))
-    return longest.join(templates, "key")
+    lengths = F.broadcast(keys.agg(F.array_sort(F.collect_set(F.length("key"))).alias("_lengths")))
+    distinct = messages.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
+    headed = distinct.crossJoin(lengths).select("_text", F.expr("substring(_text, 1, array_max(_lengths))").alias("_head"))
+    heads = messages.crossJoin(lengths).select(F.expr(f"substring(`{text}`, 1, array_max(_lengths))").alias("_head"), "_lengths").filter(F.col("_head").isNotNull()).distinct()
+    prefixes = heads.select("_head", F.explode(F.filter("_lengths", lambda n: n <= F.length("_head"))).alias("_n"))
+    hits = prefixes.select("_head", F.expr("substring(_head, 1, _n)").alias("key")).join(keys, "key", "left_semi")
+    longest = hits.groupBy("_head").agg(F.max_by("key", F.length("key")).alias("key"))
+    return headed.join(longest.join(templates, "key"), "_head").select("key", "_text", *[c for c in templates.columns if c != "key"])
 
 
 def in_order(text: Column, frags: Column) -> Column:
