@@ -22,25 +22,27 @@ PLATFORM = ["java.", "javax.", "sun.", "com.sun.", "jdk.", "groovy.", "org.codeh
 def first_pass(entries: DataFrame, templates: DataFrame, stacks: DataFrame | None = None, idx: str = "entry_idx", text: str = "static_text") -> DataFrame:
     """entries with status (stack_trace, skip, miss, hit, ambiguous), tier, confidence, fid, fname and candidates.
 
-    stacks: idx of entries with a stack trace. Templates are matched against distinct messages, then joined back.
+    stacks: idx of entries with a stack trace. Templates with equal fragments are put together first, then matched against
+    distinct messages and joined back. The status comes from a message's smallest and largest candidate, so all of them are
+    only brought together where they are asked for.
     """
-    found = matched(entries, templates, text).groupBy(text).agg(F.array_sort(F.collect_set(F.struct("fid", "fname", "line"))).alias("candidates"))
+    one = F.struct("fid", "fname", "line")
+    equal = templates.groupBy("frags").agg(F.min(one).alias("_low"), F.max(one).alias("_high"), F.collect_set(one).alias("_all"))
+    found = matched(entries, equal, text).groupBy(text).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_all")))).alias("candidates"))
     out = entries.join(found, text, "left")
     if stacks is not None:
         out = out.join(stacks.select(idx, F.lit(True).alias("_stack")).distinct(), idx, "left")
     else:
         out = out.withColumn("_stack", F.lit(None).cast("boolean"))
-    n = F.coalesce(F.size("candidates"), F.lit(0))
-    n = F.when(F.col("candidates").isNull(), F.lit(0)).otherwise(n)
+    n = F.when(F.col("_low").isNull(), 0).when(F.col("_low").eqNullSafe(F.col("_high")), 1).otherwise(2)
     status = F.when(F.col("_stack"), "stack_trace").when(F.coalesce(F.length(text), F.lit(0)) < SHORTEST, "skip").when(n == 0, "miss").when(n == 1, "hit").otherwise("ambiguous")
     out = out.withColumn("status", status).drop("_stack")
-    one = F.get("candidates", F.lit(0))
     return out.withColumns({
         "tier": F.when(F.col("status") == "stack_trace", 1).when(F.col("status") == "hit", 2).otherwise(4),
         "confidence": F.when(F.col("status") == "stack_trace", CONFIDENCE["stack"]).when(F.col("status") == "hit", CONFIDENCE["hit"]).otherwise(0.0),
-        "fid": F.when(F.col("status") == "hit", one["fid"]),
-        "fname": F.when(F.col("status") == "hit", one["fname"]),
-    })
+        "fid": F.when(F.col("status") == "hit", F.col("_low.fid")),
+        "fname": F.when(F.col("status") == "hit", F.col("_low.fname")),
+    }).drop("_low", "_high")
 
 
 def app_frames(frames: Column, markers: list[str]) -> Column:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import flows, graph, templates
+from logloom.operators import flows, graph, resolve, templates
 
 
 def _plan(df):
@@ -76,3 +76,18 @@ def test_statements_are_split_into_fragments_once(spark):
     got = sorted((r.fid, r.node_id, r.type, r.log_level, r.log_text, r.frags) for r in df.collect())
     assert got == [(1, 0, "branch", None, None, None), (1, 1, "log", "warn", 'late  of " + n + " days', ["late ", ' of " + n + " days']), (1, 2, "log", "info", "", []), (1, 3, "return", None, None, None)]
     assert _plan(df).count("%[-+0-9*.]*[sdflxvqweEgGoO]") == 1
+
+
+def test_messages_aren_t_multiplied_by_the_lengths_of_keys(spark):
+    known = [(1, ["call a", "x"]), (2, ["call a", "x"]), (3, ["call ab", "y"]), (4, ["call", "of it"]), (2, ["call a", "z"]), (None, ["call a", "z"]), (5, [None]), (6, None)]
+    t = spark.createDataFrame(known, "fid bigint, frags array<string>").withColumns({"fname": F.lit("f"), "line": F.lit(1)})
+    said = ["call a x", "call a x z", "call ab y", "call ab x", "call of it", "call", "", None, "call a z"]
+    m = spark.createDataFrame(list(enumerate(said)), "entry_idx int, static_text string")
+    prefix = templates.longest_prefix(m, templates.admitted(t))
+    got = {(r._text, r.fid, r.key) for r in prefix.collect()}
+    assert got == {(s, f, k) for s, k in [("call a x", "call a"), ("call a x z", "call a"), ("call ab y", "call ab"), ("call ab x", "call ab"), ("call of it", "call"), ("call", "call"), ("call a z", "call a")] for f, x in known if x and x[0] == k}
+    assert "explode(filter(_lengths" in _plan(prefix) and not [line for line in _plan(prefix).split("\n") if "Generate explode(filter(_lengths" in line and "_text" in line]
+    out = {r.static_text: (r.status, r.fid, [c.fid for c in r.candidates or []]) for r in resolve.first_pass(m, t).collect()}
+    assert out["call a x"] == ("ambiguous", None, [1, 2]) and out["call a x z"] == ("ambiguous", None, [None, 1, 2]) and out["call ab y"] == ("hit", 3, [3]) and out["call ab x"] == ("miss", None, []) and out["call"][0] == "skip" and out[None][0] == "skip"
+    plan = _plan(resolve.first_pass(m, t).groupBy("status").count())
+    assert "collect_set(named_struct" not in plan and "collect_list" not in plan
