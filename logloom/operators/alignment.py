@@ -92,11 +92,13 @@ def indexed_logs(nodes: DataFrame, callers: DataFrame, down: int = 4, up: int =
     those of its callees in place (see `places`). The chain of callers ends at a function that is inlined already.
     nodes: fid, node_id, type, line, log_level, log_text, call_target_id.
     """
-    at = places(nodes, down)
+    nodes = written(nodes.select("fid", "node_id", "type", "line", "log_level", "log_text", "call_target_id"))
+    at = written(places(nodes, down))
     logs = nodes.filter("type = 'log'").select("fid", "node_id", "line", F.col("log_level").alias("level"), F.col("log_text").alias("text"))
-    first = callers.groupBy(F.col("fid").alias("_of")).agg(F.min("caller").alias("caller"))
-    taken = at.select("anchor", F.col("fid").alias("caller"))
-    top = at.filter(F.size("at") == 0).select("anchor", F.col("anchor").alias("now"))
+    first = written(callers.groupBy(F.col("fid").alias("_of")).agg(F.min("caller").alias("caller")))
+    # only functions with a caller have a chain
+    taken = written(at.join(first, F.col("anchor") == F.col("_of"), "left_semi").select("anchor", F.col("fid").alias("caller")))
+    top = taken.filter("anchor = caller").select("anchor", F.col("caller").alias("now"))
     chain = None
     for k in range(1, up + 1):
         new = top.join(first, F.col("now") == F.col("_of")).select("anchor", "caller").join(taken, ["anchor", "caller"], "left_anti")
@@ -105,6 +107,9 @@ def indexed_logs(nodes: DataFrame, callers: DataFrame, down: int = 4, up: int =
         taken = taken.unionByName(new.select("anchor", "caller"))
         top = new.select("anchor", F.col("caller").alias("now"))
     above = chain.select("anchor", F.col("caller").alias("fid"), (-F.col("k")).alias("up")).join(logs, "fid").select("anchor", "fid", "up", F.array(F.col("node_id").cast("int")).alias("key"), "line", "level", "text")
-    inner = at.filter(F.size("at") <= down).join(logs, "fid").select("anchor", "fid", F.lit(0).alias("up"), F.concat("at", F.array(F.col("node_id").cast("int"))).alias("key"), "line", "level", "text")
+    own = logs.select(F.col("fid").alias("anchor"), "fid", F.lit(0).alias("up"), F.array(F.col("node_id").cast("int")).alias("key"), "line", "level", "text")
+    called = written(logs.join(nodes.filter("type = 'call'").select(F.col("call_target_id").alias("fid")).distinct(), "fid", "left_semi"))
+    below = at.filter((F.size("at") > 0) & (F.size("at") <= down)).join(called, "fid").select("anchor", "fid", F.lit(0).alias("up"), F.concat("at", F.array(F.col("node_id").cast("int"))).alias("key"), "line", "level", "text")
+    inner = own.unionByName(below)
     whole = above.unionByName(inner)
     return whole.withColumn("seq_no", F.row_number().over(Window.partitionBy("anchor").orderBy("up", "key"))).select("anchor", "seq_no", "fid", "line", "level", "text")

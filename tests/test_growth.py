@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import flows, graph, resolve, templates
+from logloom.operators import flows, graph, resolve, templates, traversal
 
 
 def _plan(df):
@@ -91,3 +91,35 @@ def test_messages_aren_t_multiplied_by_the_lengths_of_keys(spark):
     assert out["call a x"] == ("ambiguous", None, [1, 2]) and out["call a x z"] == ("ambiguous", None, [None, 1, 2]) and out["call ab y"] == ("hit", 3, [3]) and out["call ab x"] == ("miss", None, []) and out["call"][0] == "skip" and out[None][0] == "skip"
     plan = _plan(resolve.first_pass(m, t).groupBy("status").count())
     assert "collect_set(named_struct" not in plan and "collect_list" not in plan
+
+
+def _walked(root, edges, most):
+    at = {root: ()}
+
+    def walk(node):
+        if most is not None and len(at[node]) > most:
+            return
+        for place, other in sorted((p, o) for n, o, p in edges if n == node):
+            if other not in at:
+                at[other] = (*at[node], place)
+                walk(other)
+
+    walk(root)
+    return {(root, n, p) for n, p in at.items()}
+
+
+@pytest.mark.parametrize(("most", "rounds", "many"), [(None, 2, 1), (2, 1, 1), (4, 6, 1), (1, 2, 99)])
+def test_walks_of_many_roots_are_one_job_of_several_rounds(spark, monkeypatch, most, rounds, many):
+    rnd = random.Random(5)
+    pairs = {(rnd.randrange(12), rnd.randrange(12)) for _ in range(22)} | {(3, 3)}
+    edges = [(n, o, p) for p, (n, o) in enumerate(rnd.sample(sorted(pairs), len(pairs)))]
+    roots, want = [0, 3, 5, 7, 20], set()
+    for r in roots:
+        want |= _walked(r, edges, most)
+    told = traversal.depth_first(spark.createDataFrame([(r,) for r in roots], "root bigint"), spark.createDataFrame(edges, "node bigint, other bigint, place int"), most, rounds, many)
+    assert sorted((r.root, r.node, tuple(r.at)) for r in told.collect()) == sorted(want)
+    wrote = []
+    monkeypatch.setattr(traversal, "written", lambda df: wrote.append(1) or graph.written(df))
+    line = spark.createDataFrame([(i, i + 1, 0) for i in range(8)], "node bigint, other bigint, place int")
+    assert traversal.depth_first(spark.createDataFrame([(0,)], "root bigint"), line, 4).count() == 6
+    assert len(wrote) <= 4
