@@ -25,7 +25,7 @@ def depth_first(roots: DataFrame, edges: DataFrame, most: int | None = None, rou
     begin = roots.select("root").distinct()
     found = begin.select("root", F.col("root").alias("node"), F.array().cast("array<int>").alias("at"))
     near = begin.join(links, F.col("root") == F.col("node")).filter("other <> root")
-    open_ = near.select("root", F.col("other").alias("node"), F.array("place").alias("at"), F.col("place").alias("_own"))
+    open_ = written(near.select("root", F.col("other").alias("node"), F.array("place").alias("at"), F.col("place").alias("_own")))
     # beside the edges of what is led to, one without a place that keeps the node itself
     inner = links.join(links.select(F.col("other").alias("node")).distinct(), "node", "left_semi")
     keep = inner.select("node").distinct().select("node", F.col("node").alias("other"), F.lit(None).cast("int").alias("place"))
