@@ -136,5 +136,7 @@ def dependencies(files: DataFrame) -> DataFrame:
 
 def newest(releases: DataFrame, package: str = "package", version: str = "version") -> DataFrame:
     """package, version: the newest sound version of each package (of equal ones the text that comes last)."""
-    keyed = releases.select(package, version, versions.key(F.col(version)).alias("_k")).filter("_k IS NOT NULL")
-    return keyed.groupBy(package).agg(F.max(F.struct("_k", version)).alias("_m")).select(package, F.col(f"_m.{version}").alias(version))
+    # each distinct version's key once: the optimizer takes a distinct away below max, and moves filters below it, so neither is used
+    known = releases.select(package, version).distinct().withColumn("_k", versions.key(F.col(version)))
+    best = known.groupBy(package).agg(F.max_by(version, F.when(F.col("_k").isNotNull(), F.struct("_k", version))).alias("_m"))
+    return best.filter("_m IS NOT NULL").select(package, F.col("_m").alias(version))
