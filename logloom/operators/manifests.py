@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as fn
 from ..functions import versions
+from .graph import written
 from .traversal import depth_first
 
 # Manifests in order of preference.
@@ -122,11 +123,14 @@ def dependencies(files: DataFrame) -> DataFrame:
     wrong = rows.filter("error IS NOT NULL").select("repo", F.array(F.lit(0)).alias("at"), F.lit(None).cast("string").alias("spec"), F.lit(None).cast("string").alias("own"), F.lit("pyproject.toml").alias("source"), "error")
     fine = rows.filter("x IS NOT NULL").select("repo", F.array("i").alias("at"), F.trim(F.col("x")[2]).alias("spec"), F.col("x")[1].alias("own"), F.col("x")[0].alias("source"), "error")
     roots = top.filter("r > 1").select("repo", "path")
-    lines = _requirement_lines(files.join(roots.select("repo"), "repo", "left_semi"))
+    lines = written(_requirement_lines(files.join(roots.select("repo"), "repo", "left_semi")))
     places = depth_first(roots.select(_file("repo", "path").alias("root")), _includes(files, lines))
     placed = places.select(F.col("node.repo").alias("repo"), F.col("node.path").alias("path"), "at", F.col("root.path").alias("source"))
     listed = lines.filter("include IS NULL").join(placed, ["repo", "path"]).select("repo", F.concat("at", F.array(F.col("n").cast("int"))).alias("at"), F.col("line").alias("spec"), F.lit(None).cast("string").alias("own"), "source", F.lit(None).cast("string").alias("error"))
-    told = listed.unionByName(fine).withColumn("q", versions.requirement(F.col("spec")))
+    told = written(listed.unionByName(fine))
+    # requirements are much the same everywhere: each distinct one is read once
+    specs = written(told.select("spec").distinct()).withColumn("q", versions.requirement(F.col("spec")))
+    told = told.join(written(specs).withColumnRenamed("spec", "_s"), F.col("spec").eqNullSafe(F.col("_s")), "left").drop("_s")
     name = F.coalesce("q.name", "own")
     told = told.select("repo", "at", name.alias("name"), fn.canonical_package(name).alias("canonical"), "spec", F.col("q.version").alias("version"), "source", "error").filter("name IS NOT NULL").filter(~F.col("canonical").isin(versions.NO_PACKAGES))
     first = told.withColumn("_r", F.row_number().over(Window.partitionBy("repo", "canonical").orderBy("at"))).filter("_r = 1").drop("_r")

@@ -133,3 +133,11 @@ def test_keys_are_worked_out_for_distinct_versions(spark):
     plan = _plan(df).split("\n")
     distinct = next(i for i, line in enumerate(plan) if re.search(r"Aggregate \[package#\d+, version#\d+\]", line))
     assert "regexp_extract" in "".join(plan[: distinct + 1]) and "regexp_extract" not in "".join(plan[distinct + 1 :])
+
+
+def test_each_distinct_requirement_is_read_once(spark):
+    files = [(r, p, x) for r in range(4) for p, x in [("requirements.txt", "a==1.0\n-r more.txt\nB_c>=2,<3\nno requirement at all"), ("more.txt", "a==2.0\nd[x]==1.1; os_name == 'nt'")]]
+    df = manifests.dependencies(spark.createDataFrame(files, "repo bigint, path string, text string"))
+    got = sorted((r.repo, r.n, r.name, r.canonical, r.spec, r.version) for r in df.collect())
+    assert got == [(r, *x) for r in range(4) for x in [(1, "a", "a", "a==1.0", "1.0"), (2, "d", "d", "d[x]==1.1; os_name == 'nt'", "1.1"), (3, "B_c", "b-c", "B_c>=2,<3", None)]]
+    assert "regexp_extract" not in _plan(df)
