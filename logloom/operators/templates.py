@@ -55,6 +55,18 @@ def matched(messages: DataFrame, templates: DataFrame, text: str = "static_text"
     return pairs.filter(in_order(F.col("_text"), F.col(frags))).withColumnRenamed("_text", text)
 
 
+def counted(messages: DataFrame, templates: DataFrame, text: str = "static_text") -> DataFrame:
+    """text, candidates, fid: how many functions each distinct message fits, and the smallest of them.
+
+    Templates with equal fragments are one, with the number of functions that have no other template, so a message meets each only once,
+    however many functions share it. Functions with several templates are brought together by message and counted once.
+    """
+    own = templates.groupBy("fid").agg(F.collect_set("frags").alias("_own")).select("fid", (F.size("_own") > 1).alias("_several"), F.explode("_own").alias("frags"))
+    equal = own.groupBy("frags").agg(F.count(F.when(~F.col("_several"), F.col("fid"))).alias("_n"), F.min("fid").alias("_low"), F.collect_list(F.when(F.col("_several"), F.col("fid"))).alias("_several"))
+    found = matched(messages, equal, text).groupBy(text).agg(F.sum("_n").alias("_n"), F.min("_low").alias("fid"), F.size(F.array_distinct(F.flatten(F.collect_list("_several")))).alias("_m"))
+    return found.select(text, (F.col("_n") + F.col("_m")).alias("candidates"), "fid")
+
+
 def lenient(message: Column, frags: Column) -> Column:
     """Whether the first fragment of more than 3 characters occurs in a message."""
     long = F.get(F.filter(frags, lambda f: F.length(f) > 3), F.lit(0))

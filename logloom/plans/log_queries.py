@@ -94,8 +94,7 @@ def document_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LINES}, {TEMPLATES} SELECT t AS line, count(DISTINCT fid) AS candidates, min(fid) AS fid FROM pairs GROUP BY t")
 def q_template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = templates.matched(lines_of(spark, sf_dir), document_templates(spark, sf_dir).drop("line"), "line")
-    return found.groupBy("line").agg(F.count_distinct("fid").alias("candidates"), F.min("fid").alias("fid"))
+    return templates.counted(lines_of(spark, sf_dir), document_templates(spark, sf_dir).drop("line"), "line")
 
 
 @query(f"WITH {LINES}, {TEMPLATES} SELECT key, count(*) AS messages FROM longest GROUP BY key")

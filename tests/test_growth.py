@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import flows, graph, manifests, resolve, templates, traversal
+from logloom.plans.catalog import queries
 
 
 def _plan(df):
@@ -94,6 +95,16 @@ def test_messages_aren_t_multiplied_by_the_lengths_of_keys(spark):
     assert "collect_set(named_struct" not in plan and "collect_list" not in plan
 
 
+def test_templates_that_many_functions_share_meet_a_message_once(spark):
+    known = [(i, ["call a", "x"]) for i in range(50)] + [(3, ["call a", "z"]), (60, ["call a", "z"]), (61, ["call ab", "y"]), (61, ["call ab", "y"]), (None, ["call a", "x"]), (62, [None]), (63, None)]
+    t = spark.createDataFrame(known, "fid bigint, frags array<string>").withColumn("fname", F.lit("f"))
+    m = spark.createDataFrame([("call a x",), ("call a x",), ("call a xz",), ("call a z",), ("call ab y",), ("call ab",), (None,)], "static_text string")
+    df = templates.counted(m, t)
+    assert sorted(map(tuple, df.collect())) == [("call a x", 50, 0), ("call a xz", 51, 0), ("call a z", 2, 3), ("call ab y", 1, 61)]
+    query = queries()["q_template_match"](spark, "/root/testdata/sf0.001")
+    assert "count(distinct fid" not in _plan(query) and re.search(r"Aggregate \[frags", _plan(query))
+
+
 def _walked(root, edges, most):
     at = {root: ()}
 
