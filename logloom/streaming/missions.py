@@ -52,42 +52,48 @@ def states(events: DataFrame, live: bool = True) -> DataFrame:
     last reset counts, but for the clock. A red run resets what is green and approved;
     green counts behind a red run; a baseline run is neither. Who approves by hand is heard while nothing is decided and the
     evidence of the last red and green run agrees (live: once an approval is asked for). All of it is the last event of
-    some kind behind others, so it is sums and maxima by session; only runs and approvals are looked at in order.
+    some kind behind others, so events are dealt and ordered once, and sums and maxima are taken in that order.
     """
-    resets = events.groupBy("session_id").agg(F.max(F.when(F.col("type") == RESET, F.col("seq"))).alias("_reset"), F.max_by("text", F.when(F.col("type").isin(CLOCK, RESET) & F.col("text").isNotNull(), F.col("seq"))).alias("clock"))
-    e = events.join(resets.select("session_id", F.coalesce("_reset", F.lit(-(2**62))).alias("_reset")), "session_id").filter(F.col("seq") > F.col("_reset")).drop("_reset")
-    red = (F.col("type") == RED) & ~_baseline()
+    # of a line's rows only its last place counts: each is one row before events meet
+    own = [c for c in events.columns if c not in ("session_id", "seq", "type", "text")]
+    lines = events.filter(F.col("type") == LINE).groupBy("session_id", "text").agg(F.max("seq").alias("seq")).withColumn("type", F.lit(LINE))
+    few = events.filter(~F.col("type").eqNullSafe(LINE)).unionByName(lines.withColumns({c: F.lit(None).cast(events.schema[c].dataType) for c in own}))
+    # one order by session for all that follows
+    order = Window.partitionBy("session_id").orderBy("seq")
+    whole, before = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
     low = F.lit(-(2**62))
-    marks = e.groupBy("session_id").agg(F.min(F.when(red, F.col("seq"))).alias("_first"), F.coalesce(F.max(F.when(red, F.col("seq"))), low).alias("_last"), F.min(F.when(F.col("type") == "approval.required", F.col("seq"))).alias("_asked"))
-    e = e.join(marks, "session_id")
+    e = few.withColumn("_reset", F.coalesce(F.max(F.when(F.col("type") == RESET, F.col("seq"))).over(whole), low))
+    tick = F.col("type").isin(CLOCK, RESET) & F.col("text").isNotNull()
+    e = e.withColumn("_tick", F.when(tick, F.col("seq"))).withColumn("type", F.when(F.col("seq") > F.col("_reset"), F.col("type"))).drop("_reset")
+    red = (F.col("type") == RED) & ~_baseline()
+    e = e.withColumns({"_first": F.min(F.when(red, F.col("seq"))).over(whole), "_last": F.coalesce(F.max(F.when(red, F.col("seq"))).over(whole), low), "_asked": F.min(F.when(F.col("type") == "approval.required", F.col("seq"))).over(whole)})
     is_ = lambda *names: F.col("type").isin(*names)
     seen = is_(GREEN) & ~_baseline() & (F.col("seq") > F.col("_first"))
     behind = F.col("seq") > F.col("_last")
     last = lambda cond, *what: F.max_by(F.struct(*what), F.when(cond, F.col("seq")))
     # runs and approvals behind the last red run, in order
-    own = e.filter((seen & behind) | (red & (F.col("seq") == F.col("_last"))) | (behind & is_("approval.submitting", "approval.failed", "approval.resolved", "approval.approved", "approval.denied")))
-    before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     proof = F.struct("run", "phase", "exit_code")
-    asof = own.withColumns({"_r": F.last(F.when(red, proof), True).over(before), "_g": F.last(F.when(seen, proof), True).over(before), "_s": F.last(F.when(is_("approval.submitting", "approval.failed"), F.col("type")), True).over(before), "_done": F.max(is_("approval.resolved").cast("int")).over(before)})
+    e = e.withColumns({"_r": F.last(F.when(red & (F.col("seq") == F.col("_last")), proof), True).over(before), "_g": F.last(F.when(seen & behind, proof), True).over(before), "_s": F.last(F.when(behind & is_("approval.submitting", "approval.failed"), F.col("type")), True).over(before), "_done": F.max((behind & is_("approval.resolved")).cast("int")).over(before)})
     agree = (F.col("_r.run") == F.col("_g.run")) & (F.col("_r.phase") == "reproduce") & (F.col("_g.phase") == "verify") & (F.col("_r.exit_code") != 0) & (F.col("_g.exit_code") == 0)
     may = F.coalesce(agree, F.lit(False)) & F.coalesce(F.col("_s") != "approval.submitting", F.lit(True)) & (F.coalesce(F.col("_asked") < F.col("seq"), F.lit(False)) if live else F.lit(True))
-    by_hand = asof.filter((F.coalesce("_done", F.lit(0)) == 0) & (is_("approval.denied") | (is_("approval.approved") & may))).groupBy("session_id").agg(F.min(F.struct("seq", "type")).alias("_hand"))
+    by_hand = behind & (F.coalesce("_done", F.lit(0)) == 0) & (is_("approval.denied") | (is_("approval.approved") & may))
     # nodes
     node = F.when(is_("proof.node.updated") & F.col("text").isin(NODES), F.struct(F.col("text").alias("node"), F.col("status").alias("to"))).when(red, F.struct(F.lit("errors").alias("node"), F.lit("red").alias("to"))).when(is_(RED, GREEN) & _baseline(), F.struct(F.lit("tests").alias("node"), F.lit("green").alias("to"))).when(seen, F.struct(F.lit("verify").alias("node"), F.lit("green").alias("to"))).when(is_("patch.observed"), F.struct(F.lit("patch").alias("node"), F.lit("static").alias("to")))
-    nodes = e.select("session_id", "seq", node.alias("x")).filter("x.node IS NOT NULL").groupBy("session_id", "x.node").agg(F.max_by("x.to", "seq").alias("to"))
-    nodes = nodes.groupBy("session_id").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "node", "to"))).alias("nodes"))
+    e = e.withColumn("_x", node)
+    heard = {n: f"_node_{n}" for n in NODES}
+    nodes = F.array_sort(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat_ws(" ", F.lit(n), F.col(f"{c}.to"))) for n, c in heard.items()])))
     submission = F.when(is_("approval.submitting"), "submitting").when(is_("approval.failed"), "failed").when(is_("approval.resolved"), F.when(F.col("text") == "approve", "accepted").otherwise("denied")).otherwise("idle")
     decides = red | is_("approval.submitting", "approval.failed", "approval.resolved")
     green_tests = F.when(red, 0).when(_baseline(), F.when(F.col("exit_code") == 0, F.col("n")).otherwise(0)).otherwise(F.col("n"))
     out = e.groupBy("session_id").agg(
         last(is_(*STATUS), "type", "seq").alias("_status"), last(is_("runtime.connecting", "runtime.failed"), F.when(is_("runtime.failed"), F.col("text")).alias("x")).alias("_error"),
-        last(is_("runtime.connected"), "text").alias("_c"), last(is_("runtime.turn.started"), "text").alias("_t"), last(is_("sandbox.connected"), "text").alias("_b"), F.count_distinct(F.when(is_(LINE), F.col("text"))).alias("lines"),
+        last(is_("runtime.connected"), "text").alias("_c"), last(is_("runtime.turn.started"), "text").alias("_t"), last(is_("sandbox.connected"), "text").alias("_b"), F.count_if(is_(LINE) & F.col("text").isNotNull()).alias("lines"),
         F.max(F.when(seen, F.col("seq"))).alias("_green"), last(is_(RED), F.when(_baseline(), 0).otherwise(F.col("n")).alias("x")).alias("_rt"), last(red | seen | (is_(GREEN) & _baseline()), green_tests.alias("x")).alias("_gt"),
         last(is_("approval.required"), "text").alias("_p"), last(decides, submission.alias("x"), "seq").alias("_sub"), last(decides, F.when(is_("approval.failed"), F.col("text")).alias("x")).alias("_ae"),
         last(is_("approval.resolved") & behind, (F.coalesce(F.col("text") == "approve", F.lit(False))).alias("x")).alias("_res"), last(is_("patch.observed"), "text").alias("_patch"), last(is_("selection.changed"), "text").alias("_sel"),
-        (F.count_if(is_("dock.toggled")) % 2 == 0).alias("dock_open"), last(is_("inspector.tab.changed"), "text").alias("_tab"), (F.count_if(is_("popout.toggled")) % 2 == 1).alias("popout"), F.any_value("_last").alias("_last"), F.any_value("_asked").alias("_asked"),
-    ).join(by_hand, "session_id", "left").join(nodes, "session_id", "left")
-    out = resets.select("session_id", "clock").join(out, "session_id", "left")  # of a session that ends with its reset nothing else is left
+        (F.count_if(is_("dock.toggled")) % 2 == 0).alias("dock_open"), last(is_("inspector.tab.changed"), "text").alias("_tab"), (F.count_if(is_("popout.toggled")) % 2 == 1).alias("popout"), F.first("_last").alias("_last"), F.first("_asked").alias("_asked"),
+        F.min(F.when(by_hand, F.struct("seq", "type"))).alias("_hand"), F.max_by("text", "_tick").alias("clock"), *[last(F.col("_x.node") == n, F.col("_x.to").alias("to")).alias(c) for n, c in heard.items()],
+    ).withColumn("nodes", nodes)
     status = F.when((F.col("_status.type") == "runtime.turn.completed") & (F.col("_asked") < F.col("_status.seq")), "awaiting_approval")
     for name, value in STATUS.items():
         status = status.when(F.col("_status.type") == name, value)

@@ -44,6 +44,16 @@ def test_aggregation_gives_the_state_of_a_walk(spark):
     assert missions.states(_frame(spark, [])).count() == 0
 
 
+def test_events_are_dealt_and_ordered_once(spark):
+    rows = [("s", 1, missions.LINE, "a"), ("s", 2, missions.LINE, "a"), ("s", 3, missions.LINE, None), ("s", 4, None, "x"), ("t", 1, missions.LINE, "a"), ("t", 3, missions.RESET, "9:00"), ("t", 4, missions.LINE, "b"), ("t", 2, missions.LINE, "b"), ("u", 1, missions.LINE, "a"), ("u", 2, missions.RESET, None), (None, 1, missions.LINE, "a")]
+    df = missions.states(_frame(spark, [{n: None for n in ("status", "n", "run", "phase", "exit_code")} | dict(zip(("session_id", "seq", "type", "text"), r, strict=True)) for r in rows]))
+    assert {(r.session_id, r.lines, r.clock) for r in df.collect()} == {("s", 1, None), ("t", 1, "9:00"), ("u", 0, None), (None, 1, None)}
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Window [") == 3
+    done = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert done.count("Sort [session_id") == 1 and done.count("Exchange hashpartitioning") == 2
+
+
 def test_streams_give_the_same_state(spark, tmp_path):
     draw = random.Random(8)
     rows = [e for i in range(12) for e in _events(draw, f"s{i}", 40)]
