@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
@@ -25,6 +24,10 @@ STATE = (
     "pending string, submission string, approval_error string, approved boolean, patch string, selected string, dock_open boolean, tab string, popout boolean, clock string"
 )
 _FIELDS = [f.split()[0] for f in STATE.split(", ")]
+_EVENT = [f.split()[0] for f in EVENT.split(", ")][1:]
+_ROW = Row("session_id", *_FIELDS)
+#: So many events and lines of a session are kept in one value of its stream's state, and so many events in each chunk beyond.
+HELD = 1000
 _WHERE = {"mission.reset": "currentTime", "clock.ticked": "currentTime", "runtime.connected": "sessionId", "runtime.turn.started": "turnId", "sandbox.connected": "sandboxId", "proof.node.updated": "nodeId", "selection.changed": "nodeId", LINE: "line.id", "inspector.tab.changed": "tab", "approval.required": "request.id", "approval.resolved": "decision", "patch.observed": "patch.id"}
 
 
@@ -190,55 +193,86 @@ def folded(events: list[dict], live: bool = True) -> list:
 
 
 class MissionFold(StatefulProcessor):
-    """Keeps what a session's state depends on: the last place of each line, and its other events since the last reset.
+    """Keeps what a session's state depends on: the last place of each line behind the last reset, and the other events behind it.
 
     Events may come in any order and in any batches; those before a reset are dropped when it is seen. A session's state
-    is as large as its lines' ids and its other events, ticks of the clock aside.
+    is as large as its lines' ids and its other events, ticks of the clock aside. The newest lines and events are kept in one value, read
+    and written once a batch; what is more than HELD of them goes on to maps.
     """
 
-    def __init__(self, live: bool = True):
-        self.live = live
+    def __init__(self, live: bool = True, held: int = HELD):
+        self.live, self.held = live, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.marks = handle.getValueState("marks", "reset bigint, tick bigint, clock string, lines bigint")
+        self.marks = handle.getValueState("marks", "reset bigint, tick bigint, clock string, lines bigint, chunks bigint, mapped boolean, events string, ids string")
         self.seen = handle.getMapState("lines", "id string", "seq bigint")
-        self.kept = handle.getMapState("events", "seq bigint", "body string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        reset, tick, clock, lines = tuple(self.marks.get()) if self.marks.exists() else (None, None, None, 0)
-        was = reset
-        plain = lambda v: None if v is None or v != v or v is pd.NA else v
-        for pdf in rows:
-            for e in pdf.to_dict("records"):
-                e = {k: plain(v) for k, v in e.items() if k != "session_id"}
-                seq = e["seq"] = int(e["seq"])
-                for c in ("n", "exit_code"):
-                    e[c] = None if e[c] is None else int(e[c])
-                if e["type"] in (CLOCK, RESET) and e["text"] is not None and (tick is None or seq > tick):
-                    tick, clock = seq, e["text"]
-                if e["type"] == RESET:
-                    reset = seq if reset is None else max(seq, reset)
-                elif e["type"] == LINE and e["text"] is not None:
-                    old = self.seen.getValue((e["text"],))[0] if self.seen.containsKey((e["text"],)) else None
-                    lines += old is None or (was is not None and old <= was < seq)
-                    self.seen.updateValue((e["text"],), (seq if old is None else max(old, seq),))
-                elif e["type"] not in (CLOCK, LINE) and (reset is None or seq > reset):
-                    self.kept.updateValue((seq,), (json.dumps(e),))
-        if reset != was or (reset is not None and lines):
-            lines = sum(s[0] > reset for _, s in self.seen.iterator())
-        events = [json.loads(b[0]) for _, b in self.kept.iterator()]
-        for e in [e for e in events if reset is not None and e["seq"] <= reset]:
-            self.kept.removeKey((e["seq"],))
+        self.kept = handle.getMapState("events", "chunk bigint", "body string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        reset, tick, clock, lines, chunks, mapped, events, ids = self.marks.get() or (None, None, None, 0, 0, False, "[]", "{}")
+        was, tail, ids, new = reset, json.loads(events), json.loads(ids), {}
+        for _, body in rows:
+            seq, kind, text, status, n, run, phase, code = json.loads(body)
+            seq, n, code = int(seq), None if n is None else int(n), None if code is None else int(code)
+            if kind in (CLOCK, RESET) and text is not None and (tick is None or seq > tick):
+                tick, clock = seq, text
+            if kind == RESET:
+                reset = seq if reset is None else max(seq, reset)
+            elif kind == LINE and text is not None:
+                new[text] = max(seq, new.get(text, seq))
+            elif kind not in (None, CLOCK, LINE):
+                tail.append([seq, kind, text, status, n, run, phase, code])
+        mapped, lines = self._lines(ids, new, reset, reset != was, mapped, lines)
+        events = [e for _, body in sorted((k[0], b[0]) for k, b in self.kept.iterator()) for e in json.loads(body)] if chunks else []
+        if reset != was:
+            tail, chunks = [e for e in [*events, *tail] if e[0] > reset], self._drop(chunks)
+            events = []
+        elif reset is not None:
+            tail = [e for e in tail if e[0] > reset]
         state = _State(self.live)
-        for e in sorted((e for e in events if reset is None or e["seq"] > reset), key=lambda e: e["seq"]):
-            state.take(e)
-        self.marks.update((reset, tick, clock, lines))
-        yield pd.DataFrame([[key[0], *state.row(lines, clock)]], columns=["session_id", *_FIELDS])
+        for _, e in sorted({e[0]: e for e in [*events, *tail]}.items()):
+            state.take(dict(zip(_EVENT, e, strict=True)))
+        while len(tail) > self.held:
+            self.kept.updateValue((chunks,), (json.dumps(tail[: self.held]),))
+            tail, chunks = tail[self.held :], chunks + 1
+        self.marks.update((reset, tick, clock, lines, chunks, mapped, json.dumps(tail), json.dumps(ids)))
+        yield _ROW(*key, *state.row(lines, clock))
+
+    def _drop(self, chunks: int) -> int:
+        for k in range(chunks):
+            self.kept.removeKey((k,))
+        return 0
+
+    def _lines(self, ids: dict, new: dict, reset: int | None, changed: bool, mapped: bool, lines: int) -> tuple[bool, int]:
+        """Whether the map has lines, and how many lines there are behind the last reset; ids and the map take over the new ones."""
+        if changed:
+            for k in [k for k, s in ids.items() if s <= reset]:
+                del ids[k]
+            old = list(self.seen.iterator()) if mapped else []
+            for k, s in old:
+                if s[0] <= reset:
+                    self.seen.removeKey(k)
+            lines = len(ids.keys() | {k[0] for k, s in old if s[0] > reset})
+        for k, seq in new.items():
+            if reset is None or seq > reset:
+                told = ids[k] if k in ids else self.seen.getValue((k,))[0] if mapped and self.seen.containsKey((k,)) else None
+                lines += told is None
+                ids[k] = seq if told is None else max(told, seq)
+        if len(ids) > self.held:
+            for k, seq in ids.items():
+                self.seen.updateValue((k,), (seq,))
+            ids.clear()
+            mapped = True
+        return mapped, lines
 
     def close(self) -> None:
         pass
 
 
 def state_stream(events: DataFrame, live: bool = True) -> DataFrame:
-    """STATE of each session after each batch of a stream of events (see EVENT)."""
-    return events.groupBy("session_id").transformWithStateInPandas(MissionFold(live), f"session_id string, {STATE}", "Update", "None")
+    """STATE of each session after each batch of a stream of events (see EVENT).
+
+    An event goes to Python as one text, as each cell of a row is taken over on its own there.
+    """
+    packed = events.select("session_id", F.to_json(F.array(*[F.col(c).cast("string") for c in _EVENT])).alias("body"))
+    return packed.groupBy("session_id").transformWithState(MissionFold(live), f"session_id string, {STATE}", "Update", "None")

@@ -72,6 +72,65 @@ def test_streams_give_the_same_state(spark, tmp_path):
     assert last == want
 
 
+class _Handle:
+    """State of one session, with the number of times it was asked."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def getValueState(self, name, *schema):
+        return _Kept(self, self.held.setdefault(name, {}))
+
+    getMapState = getValueState
+
+
+class _Kept:
+    def __init__(self, handle, held):
+        self.handle, self.held = handle, held
+
+    def _said(self, value):
+        self.handle.asked += 1
+        return value
+
+    def get(self):
+        return self._said(self.held.get(()))
+
+    def update(self, value):
+        self._said(self.held.update({(): value}))
+
+    def getValue(self, key):
+        return self._said(self.held.get(key))
+
+    def containsKey(self, key):
+        return self._said(key in self.held)
+
+    def updateValue(self, key, value):
+        self._said(self.held.update({key: value}))
+
+    def removeKey(self, key):
+        self._said(self.held.pop(key, None))
+
+    def iterator(self):
+        return self._said(iter(list(self.held.items())))
+
+
+def test_a_batch_reads_and_writes_a_small_session_once():
+    draw = random.Random(5)
+    for trial in range(120):
+        rows = _events(draw, "s", draw.randrange(1, 120))
+        draw.shuffle(rows)
+        parts = draw.randrange(1, 5)
+        for held in (missions.HELD, 3):
+            handle, got = _Handle(), None
+            fold = missions.MissionFold(held=held)
+            fold.init(handle)
+            for k in range(parts):
+                bodies = [("s", json.dumps([None if e[c] is None else str(e[c]) for c in ("seq", "type", "text", "status", "n", "run", "phase", "exit_code")])) for e in rows[k::parts]]
+                got = list(fold.handleInputRows(("s",), iter(bodies), None)) if bodies else got
+            assert _plain(list(got[0])[1:]) == missions.folded(rows), (trial, held)
+            assert held == 3 or handle.asked <= 2 * parts
+
+
 def test_frames_become_events(spark):
     evidence = {"missionId": "m", "sandboxId": "s", "selectionKey": "k", "phase": "reproduce", "exitCode": 2}
     frames = [
