@@ -227,12 +227,13 @@ def by_class(entries: DataFrame, candidates: DataFrame, idx: str = "entry_idx",
     The longest function name in the message leads: it wins if a template of its own is there (rule 0), else the first
     function with a template there does (1), else it wins all the same (2). Without a name, the first function whose
     source holds the head of the message (3), or with a template there (4). Ties and firsts go by fid. Entries with an
-    empty message have no candidate. Names, templates and heads meet texts of their class by their rarest three characters.
+    empty message have no candidate. Names, templates and heads meet texts of their class by their rarest three characters; the
+    distinct texts are written first, as each of these asks for them several times.
     """
     functions = candidates if "source" in candidates.columns else candidates.withColumn("source", F.lit(None).cast("string"))
     functions = functions.select("class_name", "fid", "name", "source", F.coalesce("templates", F.array().cast("array<string>")).alias("templates"))
     by = ["class_name"]
-    messages = entries.filter(F.length(text) > 0).select("class_name", F.col(text).alias("_m")).distinct()
+    messages = written(entries.filter(F.length(text) > 0).select("class_name", F.col(text).alias("_m")).distinct())
     head = F.trim(F.substring_index(F.substring_index(F.regexp_replace(F.trim("_m"), "^[- ]+", ""), "---", 1), ":", 1))
     heads = messages.withColumn("_h", F.substring(head, 1, 40)).filter(F.length("_h") > 5)
     own = functions.select("class_name", "fid", F.lower("name").alias("_n"), F.length("name").alias("_size")).filter("_n <> ''")
@@ -290,7 +291,8 @@ def attributed(entries: DataFrame, templates: DataFrame, functions: DataFrame, c
     )
     out = written(out)
     near = near_resolved(out, idx, "tier", thread if by_thread else None)
-    again = by_class(out.filter("tier = 4 AND class_name IS NOT NULL").join(near, idx, "left_semi"), functions, idx, text).select(idx, F.col("fid").alias("_near_fid"))
+    lost = written(out.filter("tier = 4 AND class_name IS NOT NULL").join(near, idx, "left_semi").select(idx, "class_name", text))
+    again = by_class(lost, functions, idx, text).select(idx, F.col("fid").alias("_near_fid"))
     hit = F.col("_near_fid").isNotNull()
     final = out.join(again, idx, "left")
     return final.withColumns({"tier": F.when(hit, 3).otherwise(F.col("tier")), "confidence": F.when(hit, CONFIDENCE["neighbour"]).otherwise(F.col("confidence")), "fid": F.coalesce("fid", "_near_fid"), "inferred": F.col("inferred") | hit}).drop("_near_fid", text, "class_name")

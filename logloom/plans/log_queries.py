@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import LogProfile
 from ..functions import text as fn
-from ..operators import analysis, cluster, logs, resolve, templates
+from ..operators import analysis, cluster, graph, logs, resolve, templates
 from ..sources.logs import json_fields, text_lines
 from .registry import query, table
 
@@ -242,8 +242,11 @@ CASE WHEN et = 'signup' AND v <= 20 THEN 0.95 WHEN et = 'view' THEN 0.85 WHEN et
 near AS (SELECT DISTINCT a.entry_idx FROM told a JOIN told b ON a.t = b.t AND b.tier <= 3 AND b.entry_idx BETWEEN a.entry_idx - 3 AND a.entry_idx + 3 WHERE a.et = 'signup' AND a.tier = 4)"""
 
 
-def told_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Entries, templates, functions and calls: views fit one template, clicks several, purchases a class, signups have traces."""
+def told_entries(spark: SparkSession, sf_dir: str, *more: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Entries (and more columns of their events), templates, functions and calls: views fit one template, clicks several, purchases a class, signups have traces.
+
+    Templates, functions and calls come from the few distinct items, which are read from the events once.
+    """
     k = F.get_json_object("props", "$.k").cast("bigint")
     e = table(spark, sf_dir, "events").withColumns({"k": k, "t": F.col("user_id") % 7})
     kind = F.col("event_type")
@@ -251,8 +254,8 @@ def told_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     message = F.when(kind == "view", F.expr("'view item ' || k || ': seen'")).when(kind == "click", F.expr("'click item ' || k || ': done'")).when(kind == "error", "err")
     message = message.when((kind == "purchase") & (F.col("value") > 20), F.expr("'bought after view item ' || k || ': paid'")).when(kind == "purchase", F.expr("'bought by fn' || k")).otherwise(F.expr("'signup of fn' || k || ' here'"))
     owner = F.expr("'C' || k % 10")
-    entries = e.select(F.col("event_id").alias("entry_idx"), F.col("t").alias("thread_id"), message.alias("static_text"), F.when(known, owner).alias("class_name"), (kind == "signup").alias("stack"), F.when((kind == "signup") & (F.col("value") <= 20), F.concat(owner, F.expr("'.fn' || k"))).alias("frame"))
-    ks = e.select("k").distinct()
+    entries = e.select(F.col("event_id").alias("entry_idx"), F.col("t").alias("thread_id"), message.alias("static_text"), F.when(known, owner).alias("class_name"), (kind == "signup").alias("stack"), F.when((kind == "signup") & (F.col("value") <= 20), F.concat(owner, F.expr("'.fn' || k"))).alias("frame"), *more)
+    ks = graph.written(e.select("k").distinct())
     views = ks.select(F.col("k").alias("fid"), F.array(F.expr("'view item ' || k || ':'")).alias("frags"))
     clicks = ks.select(F.explode(F.array_distinct(F.expr("array(k, (k + 1) % 100, (7 * k) % 100)"))).alias("fid"), F.array(F.expr("'click item ' || k || ':'")).alias("frags"))
     templates_ = views.unionByName(clicks).withColumns({"fname": F.expr("'fn' || fid"), "line": F.lit(1)})
@@ -287,9 +290,7 @@ LOG_TOLD = (
 
 def event_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Lines of one log file (numbered with gaps), templates, functions and calls."""
-    entries, templates_, functions, calls = told_entries(spark, sf_dir)
-    values = table(spark, sf_dir, "events").select(F.col("event_id").alias("entry_idx"), "value", "event_type")
-    e = entries.join(values, "entry_idx")
+    e, templates_, functions, calls = told_entries(spark, sf_dir, "value", "event_type")
     level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
     message = F.when((F.col("event_type") == "purchase") & (F.col("value") <= 2), "bought by org.apache").otherwise(F.col("static_text"))
     head = F.concat(F.lit("2024-01-01 10:00:00 [t"), F.col("thread_id").cast("string"), F.lit("] "), level, F.lit(" "), F.coalesce(F.concat(F.lit("app."), "class_name"), F.lit("")), F.lit(" : "), message)
@@ -303,7 +304,8 @@ def event_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 et = 'error' AS is_error, CASE WHEN et = 'view' THEN 1 END AS line, CASE WHEN et = 'signup' THEN CASE WHEN v <= 20 THEN 'C' || k % 10 || '.fn' || k ELSE 'java.util.Map.get' END END AS trace, CASE WHEN et = 'purchase' AND v > 5 THEN 'C' || k % 10 END AS origin_class, et = 'purchase' AND v <= 2 AS framework FROM told""")
 def q_resolve_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw lines through sessions, fields, filters, traces, classes and all tiers."""
-    got = analysis.resolved(event_log(spark, sf_dir)[0], LOG_PROFILE, *event_log(spark, sf_dir)[1:])
+    lines, *rest = event_log(spark, sf_dir)
+    got = analysis.resolved(lines, LOG_PROFILE, *rest)
     return got.select(((F.col("line_number") - 1) / 4).cast("long").alias("entry_idx"), "line_end", "tier", F.round("confidence", 6).alias("confidence"), "fid", "decision", "inferred", "is_error", "line", F.get("trace", F.lit(0)).alias("trace"), "origin_class", "framework")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import flows, graph, manifests, resolve, templates, traversal
+from logloom.plans import log_queries
 from logloom.plans.catalog import queries
 
 
@@ -105,6 +106,12 @@ def test_templates_that_many_functions_share_meet_a_message_once(spark):
     assert "count(distinct fid" not in _plan(query) and re.search(r"Aggregate \[frags", _plan(query))
 
 
+def test_what_items_tell_is_not_read_from_all_events_again(spark):
+    lines, *rest = log_queries.event_log(spark, "/root/testdata/sf0.001")
+    assert "Join" not in _plan(lines) and len(rest) == 3 and all("get_json_object" not in _plan(t) for t in rest)
+    assert lines.select("file", "line_no").distinct().count() == lines.count() > 0
+
+
 def _walked(root, edges, most):
     at = {root: ()}
 
