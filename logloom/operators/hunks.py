@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import written
+
 # How the lines of a patch begin.
 HUNK, FILE, BREAKS = r"^@@", r"^\+\+\+ (?:b/)?(\S+)", r"^(?:diff --git |--- |\+\+\+ |[^ +\-\\])"
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"\s+$", "")
+    return F.rtrim(line, F.lit(" \t\n\x0b\f\r"))
 
 
 def hunks(patches: DataFrame, key: str, diff: str = "diff") -> DataFrame:
@@ -36,10 +38,10 @@ def found(wanted: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
     """keys, start (from 1) of hunks (keys, path, old) whose old lines stand in their file (sources: path, text) in one place only.
 
     A hunk meets the lines of its file that equal its rarest one there, and what stands around each of them is compared:
-    a join on lines, not on places. Lines are compared without white space at their ends.
+    a join on lines, not on places. Lines are compared without white space at their ends, which are cut once for each file: its lines are written.
     """
     lines = F.transform(F.split(F.regexp_replace("text", r"\r?\n\z", ""), r"\r?\n"), _trimmed)
-    held = sources.select("path", lines.alias("_lines")).filter(F.size("_lines") > 0)
+    held = written(sources.select("path", lines.alias("_lines")).filter(F.size("_lines") > 0))
     every = held.select("path", F.posexplode("_lines").alias("at", "line"))
     counts = every.groupBy("path", "line").agg(F.count("*").alias("_n"))
     asked = wanted.filter(F.size("old") > 0).select(*keys, "path", "old")
@@ -57,7 +59,7 @@ def anchored(patches: DataFrame, sources: DataFrame, key: str = "id", diff: str
     than once keeps its header, so that the patch fails where it is applied instead of changing another place. An
     empty patch stays as it is, a null one null.
     """
-    parts = hunks(patches, key, diff)
+    parts = written(hunks(patches, key, diff))
     starts = found(parts.filter("path IS NOT NULL"), sources, [key, "hunk"])
     header = F.concat(F.lit("@@ -"), F.col("start").cast("string"), F.lit(","), F.size("old").cast("string"), F.lit(" +"), F.col("start").cast("string"), F.lit(","), F.col("new_count").cast("string"), F.lit(" @@"))
     new = parts.join(starts, [key, "hunk"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("n", header.alias("h")))).alias("_new"))

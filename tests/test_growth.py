@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import flows, graph, manifests, resolve, templates, traversal
+from logloom.operators import flows, graph, hunks, manifests, resolve, templates, traversal
 from logloom.plans import log_queries
 from logloom.plans.catalog import queries
 
@@ -112,6 +112,15 @@ def test_what_items_tell_is_not_read_from_all_events_again(spark):
     assert lines.select("file", "line_no").distinct().count() == lines.count() > 0
 
 
+def test_lines_of_a_file_are_trimmed_once(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(hunks, "written", lambda df: held.append(df.columns) or graph.written(df))
+    patches = spark.createDataFrame([(1, "+++ b/f\n@@ x\n a \t\n-b\x0b\f\r\n+c")], "id bigint, diff string")
+    got = hunks.anchored(patches, spark.createDataFrame([("f", "z\n a\na\nb \r\n")], "path string, text string"))
+    assert [(r.diff.split("\n")[1], r.moved) for r in got.collect()] == [("@@ -3,2 +3,2 @@", 1)] and ["path", "_lines"] in held
+    assert "rtrim" not in _plan(got).lower() and "\\s+$" not in _plan(got)
+
+
 def _walked(root, edges, most):
     at = {root: ()}
 
