@@ -128,6 +128,15 @@ def _confirmed(pairs: DataFrame, percent: int, width: int) -> DataFrame:
     return common.in_arrow(pairs.select("a", "b", "ta", "tb"), run, schema)
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """df, never to be joined by sending it or the other side whole through the driver.
+
+    Spark judges by sizes that can be far too low: what is exploded counts as before, an array as one element, and a
+    written table as its compressed file, in which a class that stands in many bands is held once.
+    """
+    return df.hint("merge")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in `edges` (a, b): the smallest id reachable.
 
@@ -137,11 +146,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = common.written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     state = common.written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
     while True:
-        around = both.join(state.select(F.col("id").alias("b"), "component"), "b").select(F.col("a").alias("id"), "component", F.lit(None).cast(state.schema["id"].dataType).alias("old"))
+        around = both.join(by_merge(state.select(F.col("id").alias("b"), "component")), "b").select(F.col("a").alias("id"), "component", F.lit(None).cast(state.schema["id"].dataType).alias("old"))
         own = state.select("id", "component", F.col("component").alias("old"))
         nearest = around.unionByName(own).groupBy("id").agg(F.min("component").alias("component"), F.max("old").alias("old"))
         further = state.select(F.col("id").alias("_i"), F.col("component").alias("_c"))
-        new = nearest.join(further, nearest["component"] == further["_i"]).select("id", F.col("_c").alias("component"), "old")
+        new = nearest.join(by_merge(further), nearest["component"] == further["_i"]).select("id", F.col("_c").alias("component"), "old")
         new = common.written(new, "labels")
         state = new.select("id", "component")
         if not new.filter("component <> old").limit(1).count():
@@ -171,7 +180,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_colum
     classes = classes.withColumn("keys", F.array(*keys))
     banded = classes.select("rep", F.posexplode("keys").alias("i", "band"))
     several = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
-    banded = common.written(banded.join(several, "band"), "bands")
+    banded = common.written(banded.join(by_merge(several), "band"), "bands")
     wanted = banded.select(F.col("rep").alias("id")).distinct()
     texts = common.written(docs.join(wanted, "id", "left_semi").select("id", F.coalesce("text", F.lit("")).alias("text")), "texts")
     # classes with the number of their shingles that others of these hold as well
@@ -181,8 +190,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_colum
     facts = facts.select("rep", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m"), "registers", "keys")
     facts = facts.filter(100 * F.col("m") >= percent * F.col("n"))
     sketch = common.add_columns(texts, [("s", "array<long>")], lambda: lambda ts: [[bits(hashing.shingles(t, width)) for t in ts]], "text", ["id"])
-    facts = common.written(facts.join(sketch.withColumnRenamed("id", "rep"), "rep"), "facts")
-    members = common.written(banded.join(facts, "rep"), "members")
+    facts = common.written(facts.join(by_merge(sketch.withColumnRenamed("id", "rep")), "rep"), "facts")
+    members = common.written(banded.join(by_merge(facts), "rep"), "members")
     most = most_bits(least)
 
     def may(x: str, y: str, first_only: bool):
@@ -203,18 +212,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, id_colum
 
     first = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("share"), F.xxhash64("rep").alias("h"), "rep", "n", "m", "s", "registers", "keys", "i")
     hub = members.groupBy("band").agg(F.min(first).alias("t")).select("band", "t.rep", "t.n", "t.m", "t.s", "t.registers", "t.keys", "t.i")
-    links = confirm(members.alias("x").join(hub.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") != F.col("y.rep")) & may("x", "y", False)), "hub")
+    links = confirm(members.alias("x").join(by_merge(hub.alias("y")), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") != F.col("y.rep")) & may("x", "y", False)), "hub")
     state = components(links)
-    told = members.join(state.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    told = members.join(by_merge(state.withColumnRenamed("id", "rep")), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     mixed = told.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("band")
-    open_ = common.written(told.join(mixed, "band").select("band", "i", "rep", "c", "n", "m", "s", "registers", "keys"), "open")
-    pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep")) & may("x", "y", True))
+    open_ = common.written(told.join(by_merge(mixed), "band").select("band", "i", "rep", "c", "n", "m", "s", "registers", "keys"), "open")
+    pairs = open_.alias("x").join(by_merge(open_.alias("y")), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep")) & may("x", "y", True))
     more = confirm(pairs, "rest")
     if more.limit(1).count():
         state = components(links.unionByName(more))
     copies = classes.filter("copies > 1").select("digest", "rep")
     known = sketched.join(copies, "digest", "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
-    out = known.join(state.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    out = known.join(by_merge(state.select(F.col("id").alias("rep"), "component")), "rep", "left")
     out = out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
 
