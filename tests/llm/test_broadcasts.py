@@ -2,6 +2,7 @@
 
 import pytest
 
+import corpus_pipeline
 from logloom.llm import common, neardup
 
 
@@ -30,3 +31,12 @@ def test_bands_and_their_members_are_joined_where_they_are(spark, plans):
     for name in ("bands", "members", "open", "labels"):
         assert "SortMergeJoin" in told[name] and "BroadcastHashJoin" not in told[name], name
     assert "SortMergeJoin" in plan  # documents meet their components
+
+
+def test_near_duplicates_of_the_pipeline_stay_where_they_are(spark, plans):
+    words = [f"w{i}" for i in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(words[:k] + [f"x{i}"] + words[k:])) for i, k in enumerate([5, 60, 115])] + [(3, "other words"), (None, "other words")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [0, 3, None]
+    told = dict(plans)
+    assert all("BroadcastHashJoin" not in told[name] for name in ("bands", "members", "open", "labels"))
