@@ -71,7 +71,7 @@ def domain_search(hits: DataFrame, domains: DataFrame, members: DataFrame, class
     """
     sent = domains.select("query_id").distinct().withColumn("_routed", F.lit(True))
     of = members.select("query_id", "fid").distinct().withColumn("_member", F.lit(True))
-    known = hits.join(sent, "query_id", "left").join(of, ["query_id", "fid"], "left").join(classes.select("fid", "node_class").dropDuplicates(["fid"]), "fid", "left")
+    known = hits.join(sent, "query_id", "left").join(of, ["query_id", "fid"], "left").join(classes.select("fid", "node_class").dropDuplicates(["fid"]).hint("merge"), "fid", "left")
     raised = F.when(F.col("_member"), DOMAIN_BOOST).otherwise(0.0) + F.when(F.col("node_class").isin("entry", "anchor"), ENTRY_BOOST).when(F.col("node_class") == "leaf", LEAF_BOOST).otherwise(0.0)
     scored = known.withColumn("_s", F.col("score") + F.when(F.col("_routed"), raised).otherwise(0.0))
     again = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("_s", 12)), "rank", "fid"))

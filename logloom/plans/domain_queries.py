@@ -19,12 +19,12 @@ domains AS (SELECT entry FROM trees GROUP BY entry HAVING count(*) >= 5)"""
 
 
 def modules_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(functions, calls): calls stay within a module (a part's type) and lead to larger ids."""
+    """(functions, calls): calls stay within a module (a part's type) and lead to larger ids; they are written, as they are read again and again."""
     part = table(spark, sf_dir, "part")
-    placed = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+    placed = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_type").hint("merge"), "l_partkey")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     pairs = placed.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), "p_type", F.lead("p_type").over(w).alias("_next"))
-    calls = pairs.filter("src < dst AND p_type = _next").select("src", "dst").distinct()
+    calls = graph.written(pairs.filter("src < dst AND p_type = _next").select("src", "dst").distinct())
     path = F.concat(F.lit("src/"), "p_brand", F.lit("/"), "p_type", F.when(F.col("p_size") > 25, ".java").otherwise(".groovy"))
     return part.select(F.col("p_partkey").alias("fid"), F.col("p_name").alias("name"), path.alias("path")), calls
 
@@ -60,12 +60,13 @@ def q_domain_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     functions, calls = modules_of(spark, sf_dir)
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     index = graph.written(graph.domain_index(functions, calls, functions.select("fid", F.lit("").alias("summary"))).select("entry"))
-    vectors = e.withColumnRenamed("vec_id", "entry").join(index, "entry")
+    vectors = e.withColumnRenamed("vec_id", "entry").join(index.hint("merge"), "entry")
     ends = vectors.groupBy("label").agg(F.min_by("embedding", "entry").alias("a"), F.max_by("embedding", "entry").alias("b"))
     mixed = ends.select((F.col("label") * 2).alias("query_id"), F.zip_with("a", "b", lambda x, y: x + y).alias("v"))
     alone = e.groupBy("label").agg(F.max_by("embedding", "vec_id").alias("v")).select((F.col("label") * 2 + 1).alias("query_id"), "v")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     queries = mixed.unionByName(alone).withColumn("_l", length).select(F.col("query_id").cast("bigint").alias("query_id"), F.transform("v", lambda x: x / F.col("_l")).alias("qvec"))
+    queries = graph.written(queries)
     hits = retrieval.top_k(e, queries, 40, unique=True).withColumnRenamed("vec_id", "fid")
     domains = graph.written(retrieval.routed(vectors.select("entry", "embedding"), queries))
     classes = graph.degrees(calls).withColumn("node_class", graph.node_class(F.col("in_degree"), F.col("out_degree"), F.lit(False)))
